@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, urlfilter
-from .common import table
+from . import classify, decontaminate, simhash, spotsigs, urlfilter
+from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -33,6 +33,27 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    found = spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from a model that never saw the held-out ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = classify.predict_language(docs.select("doc_id", "text"), classify.train_language(docs), reject_below=0.0)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, from a model that never saw the held-out ones' labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = classify.train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = classify.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= classify.QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,5 +63,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_language_id": op7_language_id,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
