@@ -38,4 +38,15 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)
 """
 
-ORACLES = {"op2_decontamination": _OP2, "op3_url_filter": _OP3}
+_OP5 = """
+WITH rows AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), last AS (
+  SELECT digest, max(page_id) AS last FROM rows WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS DISTINCT FROM last AND n >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last AND n >= 1000 THEN last END AS refers_to
+FROM rows LEFT JOIN last USING (digest)
+"""
+
+ORACLES = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op5_warc": _OP5}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, simhash, spotsigs, urlfilter
+from . import classify, decontaminate, packing, simhash, spotsigs, urlfilter, warc
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
@@ -33,6 +33,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    records = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")))
+    response = F.col("warc_type") == "response"
+    return records.select(
+        "page_id",
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        "refers_to",
+    )
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     found = spotsigs.compare_edited(table(spark, sf_dir, "documents"))
@@ -60,11 +73,29 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 4096 tokens."""
+    pieces = packing.with_checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer_definition()))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def tokenizer_definition(path: str | None = None) -> str:
+    """The text of a tokenizers file, read on the driver; by default the public one of 49,408 ids."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
