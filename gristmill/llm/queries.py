@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, packing, simhash, spotsigs, urlfilter, warc
+from . import classify, decontaminate, packing, simhash, spotsigs, suffixes, urlfilter, warc
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
@@ -33,6 +33,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated 100-byte strings."""
+    found = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     records = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")))
@@ -92,6 +98,7 @@ def tokenizer_definition(path: str | None = None) -> str:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
