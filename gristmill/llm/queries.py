@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, packing, simhash, spotsigs, suffixes, urlfilter, warc
+from . import classify, decontaminate, packing, simhash, spotsigs, suffixes, template, urlfilter, warc
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = template.main_text(table(spark, sf_dir, "pages"))
+    text = F.array_join("blocks", "\n\n")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "found_by")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document."""
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -96,6 +103,7 @@ def tokenizer_definition(path: str | None = None) -> str:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
