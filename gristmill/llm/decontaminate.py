@@ -166,6 +166,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_words: int =
     return merged.mapInArrow(_united, _SCHEMA)
 
 
+def _clean_with(shared):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            yield batch.filter(pa.array([not len(p) for _, p, _ in shared.value.scan(batch.column("text").to_pylist())], pa.bool_()))
+
+    return clean
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose text has no occurrence of a test window. Several blocks of items filter one after the other."""
+    for block in _blocks(benchmark, max_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(block, size))
+        docs = docs.mapInArrow(_clean_with(shared), docs.schema)
+    return docs
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = []

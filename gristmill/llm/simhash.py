@@ -206,3 +206,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(own))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all their columns, without near duplicates: of each component the row of its least doc_id.
+
+    Of rows that share a doc_id one stays. Rows without doc_id all stay, as none of
+    them can be told from another.
+    """
+    found = near_duplicates(docs, radius)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    several = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    if not several.limit(1).count():
+        return kept
+    return kept.join(several, "doc_id", "left_anti").unionByName(kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

@@ -351,9 +351,9 @@ def _resolve(length: int, gram: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, key): whole texts; ``key`` is the doc_id, or a hash of the row where ids repeat."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """(doc_id, text, carried, key): whole texts; ``key`` is the doc_id, or a hash of the row where ids repeat."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     unique = not rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
     doc = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     return rows.withColumn("key", doc if unique else F.xxhash64(doc, "text"))
@@ -384,7 +384,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
 def _with_texts(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
     listed = candidates.groupBy("key").agg(F.collect_list(F.struct("bucket", "doc", "at")).alias("found"))
-    return keyed.join(listed, "key").select("key", "doc_id", "text", "found")
+    # the columns that the last join takes, too, so that Spark deals out the texts once for both
+    return keyed.join(listed, "key").select("key", "doc_id", "text", "carried", "found")
 
 
 def merged(spans: list, n: int) -> list[list[int]]:
@@ -413,11 +414,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(len(data) - len(rest))
             n_spans.append(len(gone))
             kept.append(rest)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], ["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], ["doc_id", "carried", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **limits: int) -> DataFrame:
-    """(doc_id, key, n_bytes, n_removed, n_spans, kept, kept_sha256) for every row: what stays of its text's UTF-8 bytes.
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, **limits: int) -> DataFrame:
+    """(doc_id, carried, n_bytes, n_removed, n_spans, kept, kept_sha256) for every row: what stays of its text's UTF-8 bytes.
+
+    ``carried`` holds the columns of ``docs`` named in ``carry``.
 
     A byte goes if a string of ``length`` bytes that covers it starts earlier, too, in
     a smaller doc_id or earlier in the same one. Null texts are empty, a null doc_id is
@@ -425,7 +428,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **limit
     at the same place of both isn't earlier in either. ``kept`` may begin or end
     within a character. An empty table gives no rows.
     """
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, carry or [])
     spans = repeated_spans(keyed, length, gram, **limits).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = keyed.join(spans, "key", "left").select("doc_id", "key", "text", "spans")
-    return rows.mapInArrow(_cut, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    rows = keyed.join(spans, "key", "left").select("key", "doc_id", "text", "carried", "spans")
+    carried = keyed.schema["carried"].dataType.simpleString()
+    return rows.mapInArrow(_cut, f"doc_id long, carried {carried}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
