@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -29,62 +30,111 @@ from .common import materialize, text_chunks
 
 #: Documents of a group, about; and the share of windows beyond the least number that a group may take rather than cut.
 GROUP_ROWS, SLACK = 1024, 0.004
-#: Chunks of text between white space whose ids a worker remembers.
-REMEMBERED = 300_000
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_SEPARATOR = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space
+#: Words whose ids a worker remembers.
+REMEMBERED = 150_000
+#: Pre-tokens of lower-case texts up to U+00FF, as the tokenizer's own pattern gives them: contractions, letters, single numerals, other signs.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+#: Texts with other characters, or with those that Python alone takes for white space, go to the tokenizer whole.
+_OTHER = re.compile(r"[^\x00-\x1b\x20-\xff]")
 
 
-class ChunkTokenizer:
-    """Token ids by a tokenizers file whose pre-tokens never reach over white space, so each chunk between white space is encoded once."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters: printable bytes stand for themselves, the others follow from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def __init__(self, definition: str, end_id: int):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+class WordTokenizer:
+    """Token ids by a tokenizers file: lower-casing, byte-level BPE with word ends. Each word is encoded once and remembered.
+
+    New words go to the model many at a time, without the normalizer and the
+    pre-tokenizer, whose work is done here for texts up to U+00FF; other texts are encoded
+    by the whole tokenizer.
+    """
+
+    def __init__(self, definition: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(definition)
+        self.whole.encode_special_tokens = True
+        bare = json.loads(definition) | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None}
+        self.words = Tokenizer.from_str(json.dumps(bare))
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = bare["model"]["vocab"]
+        suffix = bare["model"]["end_of_word_suffix"]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.letters = _byte_letters() | {32: " "}
         self.end_id = end_id
-        self.forget()
+        self._clear()
 
-    def forget(self) -> None:
+    def _clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.at, self.size, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        for encoding in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            found = encoding[1].ids
-            k = len(self.slot)
-            if k == len(self.at):
-                self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
-            while self.used + len(found) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.at[k], self.size[k] = self.used, len(found)
-            self.ids[self.used : self.used + len(found)] = found
-            self.used += len(found)
-            self.slot[encoding[0]] = k
+    def forget(self) -> None:
+        """Drop all words but those that were met again since they were learned or kept; all, if that is most of them."""
+        again = np.flatnonzero(self.uses[: len(self.slot)] > 1)
+        if len(again) >= len(self.slot) // 2:
+            self._clear()
+            return
+        words, sizes, past = list(self.slot), self.size[again], np.concatenate(([0], np.cumsum(self.size[again])))
+        ids = self.ids[np.arange(past[-1]) + np.repeat(self.at[again] - past[:-1], sizes)]
+        self._clear()
+        self._store([words[k] for k in again.tolist()], ids, past[:-1], past[1:])
+
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            groups = [part[j : j + 256] for j in range(0, len(part), 256)]
+            joined = [" ".join(g).encode().decode("latin-1").translate(self.letters) for g in groups]
+            for group, encoding in zip(groups, self.words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(encoding.ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(group):
+                    raise ValueError("the vocabulary has words without an end")
+                self._store(group, ids, np.concatenate(([0], ends[:-1])), ends)
+
+    def _store(self, words: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        k, n = len(self.slot), len(words)
+        while k + n > len(self.at):
+            self.at, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size, self.uses))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[k : k + n], self.size[k : k + n] = self.used + begins, ends - begins
+        self.used += len(ids)
+        self.slot.update(zip(words, range(k, k + n), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text, the end id included; null is like the empty text."""
-        split = [[] if not t else (_SPACE.split(t) if _SEPARATOR.search(t) else t.split()) for t in texts]
+        plain = [bool(t) and (t.isascii() and "\x1c" not in t and "\x1d" not in t and "\x1e" not in t and "\x1f" not in t or not _OTHER.search(t)) for t in texts]
+        split = [_WORD.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         if len(self.slot) > REMEMBERED:
             self.forget()
         known = self.slot
-        new = {c for chunks in split for c in chunks if c not in known}
+        new = set().union(*split).difference(known)
         if new:
-            self._learn(sorted(new))
-        out = []
-        for chunks in split:
-            slots = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-            sizes = self.size[slots]
-            total = int(sizes.sum())
-            place = np.arange(total) + np.repeat(self.at[slots] - (np.cumsum(sizes) - sizes), sizes)
-            out.append(np.append(self.ids[place], np.uint32(self.end_id)))
-        return out
+            self._learn(list(new))
+        counts = [len(words) for words in split]
+        slots = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        self.uses += np.bincount(slots, minlength=len(self.uses)).astype(np.int32)
+        sizes = self.size[slots]
+        past = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.ids[np.arange(past[-1]) + np.repeat(self.at[slots] - past[:-1], sizes)]
+        bounds = past[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        end = np.uint32(self.end_id)
+        return [
+            np.append(ids[a:b], end) if ok or not t else np.array([*self.whole.encode(t, add_special_tokens=False).ids, self.end_id], np.uint32)
+            for t, ok, a, b in zip(texts, plain, bounds, bounds[1:], strict=False)
+        ]
 
 
-_workers: dict[int, ChunkTokenizer] = {}
+_workers: dict[int, WordTokenizer] = {}
 
 
 def _tokenize(shared, end_id: int, capacity: int, width: str):
@@ -92,7 +142,7 @@ def _tokenize(shared, end_id: int, capacity: int, width: str):
         definition = shared.value
         key = hash((definition, end_id))
         if key not in _workers:
-            _workers[key] = ChunkTokenizer(definition, end_id)
+            _workers[key] = WordTokenizer(definition, end_id)
         tokenizer, task = _workers[key], TaskContext.get().partitionId() << 40
         rows, full = count(task), count(task)
         for batch in text_chunks(batches):

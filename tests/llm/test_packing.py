@@ -20,10 +20,12 @@ def reference():
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, END]
 
 
-def test_chunks_give_the_ids_of_whole_texts(reference):
-    texts = ["", None, "Hello, world! it's", "a\x1cb\x1dc d", "né NÉ \u0301 x\u0301 ΣΑΣ σας İ", "1²Ⅷ ３", "a\u00a0b\u2003c\u3000d\x85e", "<|endoftext|> x<|startoftext|>", "tab\tnew\r\nline\x0b\x0c", "😀👍🏽 ñ\u200bz", " lead and trail "]
+def test_words_give_the_ids_of_whole_texts(reference):
+    texts = ["", None, "Hello, world! it's", "a\x1cb\x1dc d", "né NÉ \u0301 x\u0301 ΣΑΣ σας İ", "1²Ⅷ ３", "a\u00a0b\u2003c\u3000d\x85e", "<|endoftext|> x<|startoftext|>", "\x01", "a\x01b \x01 c", "tab\tnew\r\nline\x0b\x0c", "😀👍🏽 ñ\u200bz", " lead and trail "]
+    texts += ["".join(chr(c) for c in range(a, a + 40)) for a in range(0, 256, 8)] + ["a" + chr(c) + "b" + chr(c) + " " + chr(c) for c in range(256)]
+    texts += ["It'S can't I'LL we've x'd 'sa ''t", "v1.2-beta_3, (see: [x])...!?", "</w> <|endoftext|>", "½x² 3³", "ß ẞ Ÿ ÿ µ"]
     texts.append(" ".join(random.Random(3).choice(["Über", "l'été", "don't", "x_y", "--", "日本語"]) for _ in range(3000)))
-    got = packing.ChunkTokenizer(tokenizer_definition(), END).encode(texts)
+    got = packing.WordTokenizer(tokenizer_definition(), END).encode(texts)
     assert [g.tolist() for g in got] == [reference(t) for t in texts]
 
 
