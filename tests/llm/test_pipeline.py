@@ -23,7 +23,7 @@ def make(spark, folder):
         good = i % 3 != 0
         text = prose(rng.randrange(20, 120)) if good else " | ".join(rng.choice(words).upper() for _ in range(60))
         if good and i % 7 == 0:
-            text += " é" + passage
+            text += " é" + passage + "éèê"[i % 3]
         if good and i % 11 == 0:
             text += " " + item
         docs.append((i, text, "en", f"s{i % 3}", len(text)))
