@@ -45,8 +45,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of at most CHUNK_CHARS bytes of ``column`` each, or one row."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most ``most`` bytes of ``column`` each, or one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -54,7 +54,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i in range(n):
-            if total and total + sizes[i] > CHUNK_CHARS:
+            if total and total + sizes[i] > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += int(sizes[i])

@@ -41,6 +41,8 @@ LENGTH, GRAM = 100, 32
 HOT, LOCALLY_HOT = 50_000, 256
 #: Anchors that a task holds before it sends on what it has.
 HELD = 2_000_000
+#: Bytes of text whose anchors are sought at once: their arrays fit the caches of a core.
+AT_ONCE = 1 << 17
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,40 +66,42 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, gram hashes, running hash) of the anchors of all ``length``-byte strings of ``data``."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, gram hashes, running hash) of the anchors of all ``length``-byte strings of texts laid end to end.
+
+    A place is an anchor if its hash is the least of some string's. Of equal least
+    hashes all are anchors, and strings that reach over a border add a few; both only
+    add to the work.
+    """
     n, span = len(data), length - gram + 1
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, n), out=running[1:])
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), running
-    h = _mixed((running[gram:] - running[:-gram]) * _powers(_INVERSE, n - gram + 1))
+    h = running[gram:] - running[:-gram]
+    h *= _powers(_INVERSE, n - gram + 1)
+    h = _mixed(h)
     m = len(h)
+    over = (ends[:-1, None] - np.arange(1, gram)).ravel()  # grams over a border
+    h[over[(over >= 0) & (over < m)]] = _U(0xFFFFFFFFFFFFFFFF)
+    least = _sliding(h, span, np.minimum)
+    # the greatest of the least hashes of the strings that hold a place
+    padded = np.zeros(m + span - 1, np.uint64)
+    padded[span - 1 : m] = least
+    places = np.flatnonzero(h == _sliding(padded, span, np.maximum))
+    found = h[places]
+    inside = found != _U(0xFFFFFFFFFFFFFFFF)
+    return places[inside], found[inside], running
+
+
+def _sliding(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
+    """``best`` of every ``span`` consecutive values."""
+    m = len(x)
     tail = -m % span
-    blocks = np.concatenate((h, np.full(tail, 0xFFFFFFFFFFFFFFFF, np.uint64))).reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.minimum.accumulate(blocks, axis=1).ravel()
-    least = np.minimum(ahead[: m - span + 1], behind[span - 1 : m])
-    # the leftmost place of each window's least hash is the first one at or after the window's start
-    where = np.flatnonzero((h == _either(least, m, span)))
-    starts = np.arange(len(least))
-    first = where[np.minimum(np.searchsorted(where, starts), len(where) - 1)]
-    odd = np.flatnonzero(h[first] != least)  # a place that is least for another window only
-    first[odd] = [s + int(np.argmin(h[s : s + span])) for s in odd.tolist()]
-    places = np.unique(first)
-    return places, h[places], running
-
-
-def _either(least: np.ndarray, m: int, span: int) -> np.ndarray:
-    """For each place the greatest of the least hashes of the windows that hold it: a place is an anchor if its own hash equals that."""
-    out = np.zeros(m + span - 1, np.uint64)
-    out[span - 1 : span - 1 + len(least)] = least
-    k = len(out)
-    tail = -k % span
-    blocks = np.concatenate((out, np.zeros(tail, np.uint64))).reshape(-1, span)
-    ahead = np.maximum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.maximum.accumulate(blocks, axis=1).ravel()
-    return np.maximum(ahead[:m], behind[span - 1 : span - 1 + m])
+    blocks = (np.concatenate((x, np.repeat(x[-1:], tail))) if tail else x).reshape(-1, span)
+    ahead = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = best.accumulate(blocks, axis=1).ravel()
+    return best(ahead[: m - span + 1], behind[span - 1 : m])
 
 
 _ROW = "kind int, bucket long, context long, doc long, key long, a long, b long"
@@ -150,24 +154,30 @@ def _find(length: int, gram: int, locally_hot: int, held: int):
             yield _batch(DEALT, bucket[hot], context[hot], doc[hot], key[hot], at[hot], np.zeros(int(hot.sum()), np.int64))
         yield _batch(ANCHOR, bucket[~hot], context[~hot], doc[~hot], key[~hot], at[~hot], np.zeros(int((~hot).sum()), np.int64))
 
+    def find(doc: np.ndarray, key: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        at, h, running = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
+        i = np.searchsorted(ends, at, "right")
+        long = sizes[i] >= length
+        at, h, i = at[long], h[long], i[long]
+        lo, hi = np.maximum(at - left, starts[i]), np.minimum(at + right, ends[i])
+        context = (running[hi] - running[lo]) * _powers(_INVERSE, len(running))[lo]
+        context = _mixed(context + (at - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - at).astype(np.uint64) * _U(0x94D049BB133111EB))
+        return h, context, doc[i], key[i], at - starts[i], lo - starts[i], hi - starts[i]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for batch in text_chunks(batches):
-            for doc, key, text in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                if len(data) < length:
-                    continue
-                at, h, running = anchors(data, length, gram)
-                lo, hi = np.maximum(at - left, 0), np.minimum(at + right, len(data))
-                context = (running[hi] - running[lo]) * _powers(_INVERSE, len(data) + 1)[lo]
-                context = _mixed(context + (at - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - at).astype(np.uint64) * _U(0x94D049BB133111EB))
-                parts.append((h, context, np.full(len(at), doc), np.full(len(at), key), at, lo, hi))
-                size += len(at)
-                if size >= held:
-                    yield from flush(parts)
-                    parts, size = [], 0
-        if parts:
+        for batch in text_chunks(batches, most=AT_ONCE):
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            parts.append(find(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key")), texts))
+            size += len(parts[-1][0])
+            if size >= held:
+                yield from flush(parts)
+                parts, size = [], 0
+        if size:
             yield from flush(parts)
 
     return run

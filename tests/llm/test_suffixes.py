@@ -70,11 +70,13 @@ def test_odd_rows(spark):
 def test_anchors_are_those_of_every_window(seed):
     rng = np.random.default_rng(seed)
     data = rng.integers(97, 97 + [1, 2, 3, 26, 200][seed] % 150, 500).astype(np.uint8)
-    places, _, _ = suffixes.anchors(data, 50, 12)
-    windows = np.lib.stride_tricks.sliding_window_view(data, 12)
-    _, h, _ = suffixes.anchors(data, 50, 12)
+    ends = np.array([200, 210, 500])
+    places, h, _ = suffixes.anchors(data, ends, 50, 12)
     by_place = dict(zip(places.tolist(), h.tolist(), strict=True))
-    for s in range(len(data) - 49):
-        inside = [(by_place[p], p) for p in range(s, s + 39) if p in by_place]
-        assert inside, "a window without an anchor"
-    assert len(windows) and len(suffixes.anchors(data[:49], 50, 12)[0]) == 0
+    for a, b in ((0, 200), (210, 500)):
+        _, own, _ = suffixes.anchors(data[a:b], np.array([b - a]), 50, 12)
+        for s in range(a, b - 49):
+            inside = {p: by_place[p] for p in range(s, s + 39) if p in by_place}
+            assert inside and min(inside.values()) in own.tolist()
+    assert not any(188 < p < 200 or 198 < p < 210 for p in places.tolist())
+    assert len(suffixes.anchors(data[:49], np.array([49]), 50, 12)[0]) == 0
