@@ -12,8 +12,7 @@ _BOM = "﻿"
 
 def markdown(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
     """(source, text): a document for each ``.md`` file; the source is its path below the given folder."""
-    options = {"wholetext": "true", "pathGlobFilter": "*.md", "recursiveFileLookup": str(recursive).lower()}
-    files = spark.read.options(**options).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), "path", F.regexp_replace("text", f"^{_BOM}", "").alias("text"))
 
 
