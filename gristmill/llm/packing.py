@@ -33,7 +33,8 @@ GROUP_ROWS, SLACK = 1024, 0.004
 #: Words whose ids a worker remembers.
 REMEMBERED = 150_000
 #: Pre-tokens of lower-case texts up to U+00FF, as the tokenizer's own pattern gives them: contractions, letters, single numerals, other signs.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+_LETTERS, _NUMERALS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(rf"[{_LETTERS}]+|[{_NUMERALS}]|'(?:[stmd]|re|ve|ll)|[^{_LETTERS}{_NUMERALS}\t-\r \x85\xa0]+")
 #: Texts with other characters, or with those that Python alone takes for white space, go to the tokenizer whole.
 _OTHER = re.compile(r"[^\x00-\x1b\x20-\xff]")
 
