@@ -38,6 +38,30 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)
 """
 
+_OP4 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)
+), f AS (
+  SELECT k, min(doc_id * 1000000000 + i) AS first FROM g GROUP BY k HAVING count(*) > 1
+), dup AS (
+  SELECT doc_id, i FROM g JOIN f USING (k) WHERE doc_id * 1000000000 + i > first
+), islands AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM dup)
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM islands GROUP BY doc_id, r
+), gaps AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM runs
+), cut AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 _OP5 = """
 WITH rows AS (
   SELECT page_id, sha1(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
@@ -49,4 +73,4 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 FROM rows LEFT JOIN last USING (digest)
 """
 
-ORACLES = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op5_warc": _OP5}
+ORACLES = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_suffix_dedup": _OP4, "op5_warc": _OP5}
