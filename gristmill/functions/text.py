@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType
 
 #: The characters that count as white space, for regular expressions of Java and RE2.
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHITE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+#: Texts without any of these are canonical as they are, if all their characters lie below U+0300 and they aren't fenced.
+_LOOSE = r"[\r\t\x0b\x0c\x1c-\x1f\x85\xa0]|  | \n|\n |\A[ \n]|[ \n]\z"
 #: Chat markers.
 USER, ASSISTANT, SYSTEM, END = "<|user|>", "<|assistant|>", "<|system|>", "<|end|>"
 _FENCE = re.compile(r"\s*(?:```|~~~)")
@@ -20,11 +23,11 @@ _TOKEN = re.compile(r"[a-z0-9]+(?:[._/-][a-z0-9]+)*")
 
 def strip(c: Column) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(c, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(c, F.lit(_WHITE_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WHITE}]+\z", "")
+    return F.rtrim(c, F.lit(_WHITE_CHARS))
 
 
 def word_list(c: Column) -> Column:
@@ -37,7 +40,7 @@ def word_count(c: Column) -> Column:
 
 
 def _normalize_line(line: Column) -> Column:
-    return F.when(line.startswith("    ") | line.startswith("\t"), rstrip(line)).otherwise(strip(F.regexp_replace(line, "[ \t]+", " ")))
+    return F.when(line.startswith("    ") | line.startswith("\t"), rstrip(line)).otherwise(strip(F.when(line.contains("  ") | line.contains("\t"), F.regexp_replace(line, "[ \t]+", " ")).otherwise(line)))
 
 
 def normalize_text(text: str) -> str:
@@ -62,7 +65,7 @@ def normalize(c: Column) -> Column:
     rare = c.rlike(r"[^\x00-\x{2ff}]|(?:```|~~~)")
     lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n", -1)
     plain = F.regexp_replace(F.array_join(F.transform(lines, _normalize_line), "\n"), r"\A\n+|\n+\z", "")
-    return F.when(rare, _normalize_rare(F.when(rare, c))).otherwise(plain)
+    return F.when(rare, _normalize_rare(F.when(rare, c))).when(~c.rlike(_LOOSE), c).otherwise(plain)
 
 
 def singular(token: Column) -> Column:

@@ -15,8 +15,9 @@ FIRST_BYTE = 4
 
 def byte_ids(c: Column) -> Column:
     """A text's UTF-8 bytes as ids: a tokenizer that needs no model."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + FIRST_BYTE)
+    # as Latin-1, each byte is one character
+    each = F.filter(F.split(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), ""), lambda x: x != "")
+    return F.transform(each, lambda x: F.ascii(x) + FIRST_BYTE)
 
 
 def encode(c: Column, begin: bool = True, stop: bool = True) -> Column:
