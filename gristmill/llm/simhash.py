@@ -16,33 +16,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_chunks
 from .graph import components
+from .shingles import resembling, shingle_hashes
 
-_LOWER = bytes(range(256)).lower()
 #: Byte b as eight bytes, one for each of its bits: sums of up to 255 of them don't overflow.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
-    """XXH64 (seed 42) of every shingle of ``size`` words, repeats included; fewer words give one shingle, none give none."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return []
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [digest(joined, 42)]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    return [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)]
-
-
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A fingerprint for each run of ``counts[i]`` hashes: bits set in over half of the run; zero for an empty run."""
     out = np.zeros(len(counts), np.uint64)
@@ -208,13 +193,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs``, all their columns, without near duplicates: of each component the row of its least doc_id.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, without near copies: of each component of ``shingles.resembling`` the row of its least doc_id.
 
-    Of rows that share a doc_id one stays. Rows without doc_id all stay, as none of
-    them can be told from another.
+    Near are texts whose sets of 5-word shingles have a Jaccard coefficient of 0.8
+    or more; the fingerprints' radius would be some 20 bits for these, too many
+    for buckets, so the sets are joined. Of rows that share a doc_id one stays.
+    Rows without doc_id all stay, as none of them can be told from another.
     """
-    found = near_duplicates(docs, radius)
+    found = resembling(docs)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     several = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
