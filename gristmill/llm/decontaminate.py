@@ -5,7 +5,7 @@ fewer). The windows' words become integers; the set of window hashes is
 broadcast, documents are scanned once with a rolling hash, and each hit of the
 hash set is verified on the words themselves. The broadcast holds at most
 MAX_WORDS words: a larger benchmark is taken in blocks of that size, each
-against all documents, and the blocks' results are merged.
+against all documents, and adds to each row's hits.
 """
 
 from __future__ import annotations
@@ -120,14 +120,17 @@ def _scan_with(shared):
         windows = shared.value
         for batch in text_chunks(batches):
             found = windows.scan(batch.column("text").to_pylist())
+            spans = [_united([*(before or []), *_runs(p)]) for before, (_, p, _) in zip(batch.column("spans").to_pylist(), found, strict=True)]
+            items = [sorted(o.union(before or [])) for before, (_, _, o) in zip(batch.column("items").to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("text"),
                     batch.column("doc_id"),
                     pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array([_runs(p) for _, p, _ in found], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([sorted(o) for _, _, o in found], pa.list_(pa.string())),
+                    pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                    pa.array(items, pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "spans", "items"],
+                ["text", "doc_id", "n_words", "spans", "items"],
             )
 
     return scan
@@ -151,19 +154,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_words: int =
 
     Null and blank texts have no words and no hits, and items without words have
     no windows. A window of an item without item_id hits, but names no item.
-    With several blocks of items, rows that share a doc_id become one, with their
-    hits united.
+    Several blocks of items scan one after the other, each adding to the row's hits.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = [narrow.mapInArrow(_scan_with(spark.sparkContext.broadcast(Windows(block, size))), _SCHEMA) for block in _blocks(benchmark, max_words)]
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    merged = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.mapInArrow(_united, _SCHEMA)
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = found.select("*", F.lit(None).cast("array<array<long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    for block in _blocks(benchmark, max_words):
+        found = found.mapInArrow(_scan_with(spark.sparkContext.broadcast(Windows(block, size))), f"text string, {_SCHEMA}")
+    return found.select("doc_id", "n_words", "spans", "items")
 
 
 def _clean_with(shared):
@@ -182,18 +180,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_words: int
     return docs
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = []
-        for each in batch.column("spans").to_pylist():
-            out: list[list[int]] = []
-            for a, b in sorted(each or []):
-                if out and a <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], b)
-                else:
-                    out.append([a, b])
-            spans.append(out)
-        yield batch.set_column(2, "spans", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
+def _united(spans: list[list[int]]) -> list[list[int]]:
+    """Runs that overlap or touch become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def removed_spans(text: str, spans: list[list[int]]) -> str:

@@ -44,3 +44,10 @@ def test_odd_tables(spark):
 
 def test_spans_are_cut_out():
     assert removed_spans("One two, three; Four.", [[1, 3]]) == "One ; Four."
+
+
+def test_blocks_keep_rows_apart(spark):
+    docs = spark.createDataFrame([(1, "a b x c"), (1, "q c"), (None, "a b"), (None, "z"), (1, "q c")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "a b"), ("j", "x c"), ("k", "c")], "item_id string, text string")
+    rows = [sorted(map(repr, decontaminate.hits(docs, items, 10, m).collect())) for m in (100, 1)]
+    assert rows[0] == rows[1] and len(rows[0]) == 5
