@@ -12,22 +12,26 @@ the same place, so only suffixes at anchors (about one in 37 bytes) are sorted.
    contexts become spans; first occurrences are candidates if their bucket holds
    other contexts, too. A bucket that is large within one task is dealt out by
    context, all its anchors being candidates.
-3. Refinement. Candidates get their bytes from the texts. Each bucket is refined,
-   once to the right of the anchors and once to the left, by sorting on the
-   buckets so far and the identifiers of the words at later offsets; buckets of one
-   are final and drop out. The common prefixes of neighbours then give the class of each
-   stretch, and the pair of a left and a right class that of each string: all of a
-   class but its first become spans. Buckets of over HOT candidates are resolved
-   by string hashes instead, with first occurrences aggregated map-side.
+3. Refinement. Candidates get their bytes from the texts, once to the right of the
+   anchors and once to the left. Each suffix is pointed at the bucket of its first
+   q bytes; a bucket is sorted by its suffixes' pointers q bytes on, which have been
+   refined before and so tell all the bytes from there on, and its parts are pointed at
+   at once, for the sort of the buckets q bytes before (``refine``). The common prefixes of
+   neighbours then give the class of each stretch, and the pair of a left and a right
+   class that of each string: all of a class but its first become spans. Buckets of over
+   HOT candidates are resolved by their strings' digests instead, with first occurrences
+   aggregated map-side.
 4. Spans are joined with the texts.
 
-Bytes are compared in step 3; contexts are equal in steps 1 and 2 if two 64-bit hashes are.
+Step 3 compares bytes. Whole contexts, and strings of buckets beyond HOT, are equal
+if their 128-bit BLAKE2b digests are. A gram's hash only says which rows meet.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,14 @@ from pyspark.sql import functions as F
 from .common import materialize, text_chunks
 
 LENGTH, GRAM = 100, 32
-#: Candidates of a bucket from which on strings are compared by hash, and contexts of one bucket in one task from which on it is dealt out.
-HOT, LOCALLY_HOT = 50_000, 256
-#: Anchors that a task holds before it sends on what it has.
-HELD = 2_000_000
-#: Bytes of text whose anchors are sought at once: their arrays fit the caches of a core.
+#: Candidates of a bucket from which on strings are compared by digest, and contexts of one bucket in one task from which on it is dealt out.
+HOT, LOCALLY_HOT = 2_000, 256
+#: Anchors that a task holds before it sends on what it has, and candidates that it refines at a time.
+HELD, REFINED = 200_000, 30_000
+#: Bytes of text whose anchors are sought at once: their arrays fit the caches of a core. Longer texts go in overlapping pieces.
 AT_ONCE = 1 << 17
+#: Bytes of the initial buckets in step 3.
+Q = 8
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -104,6 +110,7 @@ def _sliding(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
     return best(ahead[: m - span + 1], behind[span - 1 : m])
 
 
+#: Of an anchor, ``a`` is its place, and ``context`` and ``b`` are its context's digest.
 _ROW = "kind int, bucket long, context long, doc long, key long, a long, b long"
 _NAMES = ["kind", "bucket", "context", "doc", "key", "a", "b"]
 SPAN, ANCHOR, MARK, DEALT = 0, 1, 2, 3
@@ -128,57 +135,92 @@ def _spans(doc: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa
     return _batch(SPAN, _mixed(key[first].astype(np.uint64)), np.zeros(len(first), np.int64), key[first], key[first], a[first], np.maximum.reduceat(b, first))
 
 
+def _sorted(columns: list[np.ndarray], keys: tuple[int, ...]) -> list[np.ndarray]:
+    """All columns, ordered by those of the given numbers, the first of them first. Takes the columns over."""
+    order = np.lexsort([columns[k] for k in reversed(keys)])
+    for i in range(len(columns)):
+        columns[i] = columns[i][order]
+    return columns
+
+
+_digest = partial(hashlib.blake2b, digest_size=16)
+
+
+def _digests(data: bytes, starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the given stretches, as two numbers each."""
+    found = np.frombuffer(b"".join([_digest(data[a:b]).digest() for a, b in zip(starts, ends, strict=True)]), np.uint64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
 def _find(length: int, gram: int, locally_hot: int, held: int):
     left, right = length - gram, length  # how far a context reaches from its anchor
+    margin = 2 * length  # anchors depend on no bytes further off
 
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        bucket, context, doc, key, at, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((at, doc, context, bucket))
-        bucket, context, doc, key, at, lo, hi = (x[order] for x in (bucket, context, doc, key, at, lo, hi))
-        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])))
-        group = np.cumsum(new) - 1
-        head = np.flatnonzero(new)[group]
+    def flush(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, c, d, doc, key, at, lo, hi = _sorted(columns, (0, 1, 2, 3, 5))
+        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (at != at[head])
         found = _spans(doc[later], key[later], lo[later], hi[later])
         if found:
             yield found
-        bucket, context, doc, key, at = (x[~later] for x in (bucket, context, doc, key, at))
-        new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-        head = np.flatnonzero(new)
+        bucket, c, d, doc, key, at = (x[~later] for x in (bucket, c, d, doc, key, at))
+        head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         size = np.diff(np.append(head, len(bucket)))
         hot = np.repeat(size > locally_hot, size)
         if hot.any():
             marks = bucket[head[size > locally_hot]]
             nothing = np.zeros(len(marks), np.int64)
             yield _batch(MARK, marks, nothing, nothing, nothing, nothing, nothing)
-            yield _batch(DEALT, bucket[hot], context[hot], doc[hot], key[hot], at[hot], np.zeros(int(hot.sum()), np.int64))
-        yield _batch(ANCHOR, bucket[~hot], context[~hot], doc[~hot], key[~hot], at[~hot], np.zeros(int((~hot).sum()), np.int64))
+            yield _batch(DEALT, *(x[hot] for x in (bucket, c, doc, key, at, d)))
+        yield _batch(ANCHOR, *(x[~hot] for x in (bucket, c, doc, key, at, d)))
 
-    def find(doc: np.ndarray, key: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    def find(doc: np.ndarray, key: np.ndarray, texts: list[bytes], base: int = 0, core: tuple[int, int] | None = None) -> list[np.ndarray]:
+        """Columns of the anchors. One text may be a piece that begins at ``base`` of the whole, with anchors wanted from ``core`` only."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        at, h, running = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
+        joined = b"".join(texts)
+        at, h, _ = anchors(np.frombuffer(joined, np.uint8), ends, length, gram)
         i = np.searchsorted(ends, at, "right")
-        long = sizes[i] >= length
-        at, h, i = at[long], h[long], i[long]
+        wanted = sizes[i] >= length
+        if core:
+            wanted &= (at >= core[0]) & (at < core[1])
+        at, h, i = at[wanted], h[wanted], i[wanted]
         lo, hi = np.maximum(at - left, starts[i]), np.minimum(at + right, ends[i])
-        context = (running[hi] - running[lo]) * _powers(_INVERSE, len(running))[lo]
-        context = _mixed(context + (at - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - at).astype(np.uint64) * _U(0x94D049BB133111EB))
-        return h, context, doc[i], key[i], at - starts[i], lo - starts[i], hi - starts[i]
+        c, d = _digests(joined, lo.tolist(), hi.tolist())
+        c += (at - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - at).astype(np.uint64) * _U(0x94D049BB133111EB)
+        shift = base - starts[i]
+        return [h, c, d, doc[i], key[i], at + shift, lo + shift, hi + shift]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        size = 0
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in text_chunks(batches, most=AT_ONCE):
+            doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            parts.append(find(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key")), texts))
-            size += len(parts[-1][0])
+            if len(texts) > 1 or len(texts[0]) <= AT_ONCE:
+                yield find(doc, key, texts)
+                continue
+            for p in range(0, len(texts[0]), AT_ONCE):
+                base = max(0, p - margin)
+                yield find(doc, key, [texts[0][base : p + AT_ONCE + margin]], base, (p - base, p - base + AT_ONCE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        size = 0
+
+        def together() -> list[np.ndarray]:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            parts.clear()
+            return columns
+
+        for part in pieces(batches):
+            parts.append(part)
+            size += len(part[0])
             if size >= held:
-                yield from flush(parts)
-                parts, size = [], 0
+                yield from flush(together())
+                size = 0
         if size:
-            yield from flush(parts)
+            yield from flush(together())
 
     return run
 
@@ -194,35 +236,34 @@ def _meet(length: int, gram: int):
             if ready.any():
                 yield _batch(SPAN, *(c[ready] for c in columns))
             if not ready.all():
-                rows.append([c[~ready] for c in (kind, *columns)])
+                rows.append([c[~ready] for c in (kind.astype(np.int8), *columns)])
         if not rows:
             return
-        kind, bucket, context, doc, key, at, _ = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.lexsort((at, doc, context, bucket))
-        kind, bucket, context, doc, key, at = (x[order] for x in (kind, bucket, context, doc, key, at))
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+        rows.clear()
+        kind, bucket, c, doc, key, at, d = _sorted(columns, (1, 2, 6, 3, 5))
         marked = np.isin(bucket, bucket[kind == MARK])
         true = kind != MARK
-        kind, bucket, context, doc, key, at, marked = (x[true] for x in (kind, bucket, context, doc, key, at, marked))
+        kind, bucket, c, doc, key, at, d, marked = (x[true] for x in (kind, bucket, c, doc, key, at, d, marked))
         if not len(bucket):
             return
-        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])))
+        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (at != at[head])
         found = _spans(doc[later], key[later], at[later] - (length - gram), at[later] + length)
         if found:
             yield found
-        kind, bucket, context, doc, key, at, marked = (x[~later] for x in (kind, bucket, context, doc, key, at, marked))
-        several = np.zeros(len(bucket), bool)
-        differs = (bucket[1:] == bucket[:-1]) & (context[1:] != context[:-1])
-        several[1:] |= differs
-        several[:-1] |= differs
-        # a bucket is sorted by context: any change in it makes all of it candidates
+        kind, bucket, doc, key, at, marked = (x[~later] for x in (kind, bucket, doc, key, at, marked))
+        # of each context one place is left, or the same place of rows that share a doc_id
+        other = np.cumsum(new)[~later]
         head = np.concatenate(([True], bucket[1:] != bucket[:-1]))
         group = np.cumsum(head) - 1
-        some = np.zeros(int(group[-1]) + 1, bool)
-        some[group[several]] = True
-        chosen = some[group] | marked | (kind == DEALT)
-        yield _batch(ANCHOR, bucket[chosen], context[chosen], doc[chosen], key[chosen], at[chosen], np.zeros(int(chosen.sum()), np.int64))
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(bucket)) - 1
+        chosen = (other[last] > other[first])[group] | marked | (kind == DEALT)
+        bucket, doc, key, at = (x[chosen] for x in (bucket, doc, key, at))
+        nothing = np.zeros(len(bucket), np.int64)
+        yield _batch(ANCHOR, bucket, nothing, doc, key, at, nothing)
 
     return run
 
@@ -231,36 +272,35 @@ _CONTEXT = "bucket long, doc long, key long, at long, before binary, after binar
 
 
 def _contexts(length: int, gram: int, hot: bool):
-    """Candidates with the bytes before (nearest first) and from their anchor on; of hot buckets the hashes of their strings."""
+    """Candidates with the bytes before (nearest first) and from their anchor on; of hot buckets the digests of their strings."""
+    left = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out = []
-            for key, text, found in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                data = text.encode()
-                if hot:
-                    numbers = np.frombuffer(data, np.uint8)
-                    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[numbers] * _powers(_BASE, len(data)))))
-                    for f in found:
-                        start = np.arange(max(0, f["at"] - length + gram), min(f["at"], len(data) - length) + 1)
-                        string = _mixed((running[start + length] - running[start]) * _powers(_INVERSE, len(data) + 1)[start]) ^ _mixed((f["at"] - start).astype(np.uint64))
-                        out += [(f["bucket"], f["doc"], key, s, h) for s, h in zip(start.tolist(), string.view(np.int64).tolist(), strict=True)]
-                else:
-                    for f in found:
-                        at = f["at"]
-                        out.append((f["bucket"], f["doc"], key, at, data[max(0, at - length + gram) : at][::-1], data[at : at + length]))
+            for key, text, found in zip(*(batch.column(c) for c in ("key", "text", "found")), strict=True):
+                key, data = key.as_py(), text.as_py().encode()
+                for f in found.as_py():
+                    at = f["at"]
+                    if hot:
+                        out += [(f["doc"], key, s, _digest(data[s : s + length]).digest()) for s in range(max(0, at - left), min(at, len(data) - length) + 1)]
+                    else:
+                        out.append((f["bucket"], f["doc"], key, at, data[max(0, at - left) : at][::-1], data[at : at + length]))
                 if len(out) > 20_000:
                     yield _rows(out, hot)
                     out = []
-            if out:
-                yield _rows(out, hot)
+        if out:
+            yield _rows(out, hot)
 
     return run
 
 
+_STRING = "doc long, key long, start long, string binary"
+
+
 def _rows(out: list[tuple], hot: bool) -> pa.RecordBatch:
-    types = (pa.int64(),) * 5 if hot else (pa.int64(),) * 4 + (pa.binary(),) * 2
-    names = ["bucket", "doc", "key", "start", "string"] if hot else ["bucket", "doc", "key", "at", "before", "after"]
+    types = (pa.int64(),) * 3 + (pa.binary(),) if hot else (pa.int64(),) * 4 + (pa.binary(),) * 2
+    names = ["doc", "key", "start", "string"] if hot else ["bucket", "doc", "key", "at", "before", "after"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
@@ -276,29 +316,42 @@ def _words(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def refine(bucket: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): rows sorted by bucket, then bytes; and how many bytes each has in common with the one before it in its bucket, -1 for a bucket's first.
+def refine(bucket: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, common, reused): rows sorted by bucket, then bytes; how many bytes each has in common with the one before it in its bucket, -1 for a bucket's first;
+    and how many suffixes got their place by pointers that had been refined before.
 
-    Buckets are refined word by word: rows are sorted by the bucket so far and the
-    word at the next offset, and each run is a new bucket. Rows alone in their bucket are final.
+    ``data`` holds the rows' bytes, a multiple of Q, filled with zeros. The suffixes at every Q-th
+    offset of every row first point at the bucket of their first Q bytes, among all of
+    them. From the last offset to the first, the buckets of several suffixes are then sorted by
+    the pointers of the suffixes Q bytes on. These have their final bucket, that of all
+    bytes from there to the row's end, so one sort settles a bucket, and its parts get pointers of
+    their own, by which the offset before is sorted next. At the first offset the rows of
+    different ``bucket`` are apart from the start, and those alone in one are in place.
     """
     n = len(bucket)
     words = data.view(">u8").astype(np.uint64)
-    _, now = np.unique(bucket, return_inverse=True)
-    now = _first_of(now)
-    # ``now`` points each row at the first place of its bucket; a refined bucket gets the place where it begins
-    for k in range(words.shape[1]):
-        count = np.bincount(now, minlength=n)
-        open_rows = np.flatnonzero(count[now] > 1)
-        if not len(open_rows):
-            break
-        o = open_rows[np.lexsort((words[open_rows, k], now[open_rows]))]
-        b, w = now[o], words[o, k]
-        begins = np.concatenate(([True], b[1:] != b[:-1]))
-        place = b + np.arange(len(o)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        changed = begins | np.concatenate(([True], w[1:] != w[:-1]))
-        now[o] = place[np.flatnonzero(changed)][np.cumsum(changed) - 1]
-    order = np.lexsort((sizes, now))
+    pointer = np.unique(words, return_inverse=True)[1].reshape(words.shape)
+    reused = 0
+    for k in range(words.shape[1] - 1, -1, -1):
+        now = pointer[:, k]
+        if k == 0:
+            now = np.unique(np.column_stack((np.unique(bucket, return_inverse=True)[1], now)), axis=0, return_inverse=True)[1].reshape(-1)
+        size = np.bincount(now)
+        place = (np.cumsum(size) - size)[now]  # the first place of each suffix's bucket, in order
+        if k + 1 < words.shape[1]:
+            later = pointer[:, k + 1]
+            several = np.flatnonzero(size[now] > 1)
+            o = several[np.lexsort((later[several], place[several]))]
+            if len(o):
+                b, w = place[o], later[o]
+                begins = np.concatenate(([True], b[1:] != b[:-1]))
+                changed = begins | np.concatenate(([True], w[1:] != w[:-1]))
+                at = b + np.arange(len(o)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+                place[o] = at[np.flatnonzero(changed)][np.cumsum(changed) - 1]
+                same_word = np.concatenate(([False], words[o[1:], k + 1] == words[o[:-1], k + 1]))
+                reused += int(np.count_nonzero(changed & ~begins & same_word))
+        pointer[:, k] = place
+    order = np.lexsort((sizes, pointer[:, 0]))
     common = np.full(n, -1, np.int64)
     if n > 1:
         a, b = order[:-1], order[1:]
@@ -306,33 +359,23 @@ def refine(bucket: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.
         same = data[a] == data[b]
         equal = np.where(same.all(axis=1), data.shape[1], same.argmin(axis=1))
         common[1:] = np.where(together, np.minimum(equal, np.minimum(sizes[a], sizes[b])), -1)
-    return order, common
-
-
-def _first_of(bucket: np.ndarray) -> np.ndarray:
-    """Bucket numbers 0, 1, ... as the first place of each bucket in sorted order."""
-    size = np.bincount(bucket)
-    return (np.cumsum(size) - size)[bucket]
+    return order, common, reused
 
 
-def _resolve(length: int, gram: int):
+def _resolve(length: int, gram: int, at_once: int):
     left = length - gram
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts).combine_chunks()
+    def resolve(rows: pa.Table) -> pa.RecordBatch | None:
         bucket, doc, key, at = (rows.column(c).to_numpy() for c in ("bucket", "doc", "key", "at"))
-        before, n_before = _words(rows.column("before").chunk(0), -(-left // 8) * 8)
-        after, n_after = _words(rows.column("after").chunk(0), -(-length // 8) * 8)
         n = len(bucket)
-        by_left, common_left = refine(bucket, before, n_before)
-        by_right, common_right = refine(bucket, after, n_after)
-        # the furthest that each row agrees with any other of its bucket
-        most_left, most_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for most, order, common in ((most_left, by_left, common_left), (most_right, by_right, common_right)):
+        sides = []
+        # the furthest that each row agrees with any other of its bucket, to the left and to the right
+        for side, width in (("before", left), ("after", length)):
+            order, common, _ = refine(bucket, *_words(rows.column(side).combine_chunks(), -(-width // Q) * Q))
+            most = np.zeros(n, np.int64)
             most[order] = np.maximum(common, np.append(common[1:], -1))
+            sides.append((order, common, most))
+        (by_left, common_left, most_left), (by_right, common_right, most_right) = sides
         shortest, longest = np.full(n, left + 1), np.full(n, -1)
         rank = np.empty(n, np.int64)
         order = np.lexsort((at, doc))
@@ -354,9 +397,25 @@ def _resolve(length: int, gram: int):
             shortest[later] = np.minimum(shortest[later], o)
             longest[later] = np.maximum(longest[later], o)
         hit = longest >= 0  # all its strings hold the anchor, so they make one span
-        found = _spans(doc[hit], key[hit], at[hit] - longest[hit], at[hit] - shortest[hit] + length)
-        if found:
-            yield found
+        return _spans(doc[hit], key[hit], at[hit] - longest[hit], at[hit] - shortest[hit] + length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        parts.clear()
+        bucket = rows.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        start = 0
+        while start < len(bucket):  # whole buckets, about ``at_once`` rows of them
+            end = int(ends[min(np.searchsorted(ends, start + at_once), len(ends) - 1)])
+            found = resolve(rows.take(pa.array(order[start:end])))
+            if found:
+                yield found
+            start = end
 
     return run
 
@@ -369,7 +428,7 @@ def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     return rows.withColumn("key", doc if unique else F.xxhash64(doc, "text"))
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, locally_hot: int = LOCALLY_HOT, held: int = HELD) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, locally_hot: int = LOCALLY_HOT, held: int = HELD, refined: int = REFINED) -> DataFrame:
     """(key, a, b): spans of bytes, which may overlap or reach over a text's ends, whose union is all bytes to remove."""
     with_order = keyed.select("key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
     rows = with_order.mapInArrow(_find(length, gram, locally_hot, held), _ROW)
@@ -380,14 +439,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     large = candidates.groupBy("bucket").count().where(F.col("count") > hot).select("bucket")
     some_hot = bool(large.limit(1).count())
     plain = candidates.join(large, "bucket", "left_anti") if some_hot else candidates
-    spans = _with_texts(keyed, plain).mapInArrow(_contexts(length, gram, False), _CONTEXT).repartition("bucket").mapInArrow(_resolve(length, gram), _ROW)
+    spans = _with_texts(keyed, plain).mapInArrow(_contexts(length, gram, False), _CONTEXT).repartition("bucket").mapInArrow(_resolve(length, gram, refined), _ROW)
     found = found.unionByName(spans.select("key", "a", "b"))
     if some_hot:
-        # strings by hash: the first of each is aggregated before any shuffle, and the join back is one that Spark can split
-        strings = _with_texts(keyed, candidates.join(large, "bucket", "left_semi")).mapInArrow(_contexts(length, gram, True), "bucket long, doc long, key long, start long, string long")
+        # strings by digest: the first of each is aggregated before any shuffle, and the join back is one that Spark can split
+        strings = _with_texts(keyed, candidates.join(large, "bucket", "left_semi")).mapInArrow(_contexts(length, gram, True), _STRING)
         strings = materialize(strings, "strings")
-        first = strings.groupBy("bucket", "string").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = strings.join(first, ["bucket", "string"]).where(F.struct("doc", "start") != F.col("first"))
+        first = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = strings.join(first, "string").where(F.struct("doc", "start") != F.col("first"))
         found = found.unionByName(again.select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     return found
 

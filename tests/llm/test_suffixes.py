@@ -80,3 +80,38 @@ def test_anchors_are_those_of_every_window(seed):
             assert inside and min(inside.values()) in own.tolist()
     assert not any(188 < p < 200 or 198 < p < 210 for p in places.tolist())
     assert len(suffixes.anchors(data[:49], np.array([49]), 50, 12)[0]) == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_refined_buckets_are_sorted_and_reuse_pointers(seed):
+    rng = np.random.default_rng(seed)
+    heads = [rng.integers(97, 99, 40).astype(np.uint8) for _ in range(5)]
+    sizes = rng.integers(0, 97, 400)
+    data = np.zeros((400, 96), np.uint8)
+    for row, size in zip(data, sizes, strict=True):
+        row[:size] = rng.integers(97, 99, size)
+        if size > 60:
+            row[:40] = heads[rng.integers(5)]
+            row[44:60] = row[28:44]
+    data[1:200:7] = data[0]
+    sizes[1:200:7] = sizes[0]
+    bucket = rng.integers(0, 6, 400)
+    order, common, reused = suffixes.refine(bucket, data, sizes)
+    rows = [(int(b), r[:n].tobytes()) for b, r, n in zip(bucket, data, sizes, strict=True)]
+    sorted_rows = [rows[i] for i in order]
+    assert all(a <= b for a, b in zip(sorted_rows, sorted_rows[1:], strict=False) if a[0] == b[0])
+    assert len({b for b, _ in sorted_rows}) == 1 + sum(a[0] != b[0] for a, b in zip(sorted_rows, sorted_rows[1:], strict=False))
+    for i, (a, b) in enumerate(zip(sorted_rows, sorted_rows[1:], strict=False), 1):
+        same = next((j for j, (x, y) in enumerate(zip(a[1], b[1], strict=False)) if x != y), min(len(a[1]), len(b[1])))
+        assert common[i] == (same if a[0] == b[0] else -1)
+    # suffixes whose next Q bytes are equal were told apart by pointers that a later offset had refined
+    assert reused > 0
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choice("abcdefgh é") for _ in range(k))
+    n, passage = suffixes.AT_ONCE, text(300)
+    long = text(n // 2) + passage + text(n // 2 - 100) + passage + text(n)
+    rows = [(5, long), (9, text(50) + long[n - 200 : n + 200] + text(30)), (2, passage[10:200])]
+    assert got(spark, rows, 100, 32) == brute(rows, 100)
