@@ -447,7 +447,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         strings = materialize(strings, "strings")
         first = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
         again = strings.join(first, "string").where(F.struct("doc", "start") != F.col("first"))
-        found = found.unionByName(again.select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
+        # a table of its own: together with the dealt out buckets Spark could not split this join
+        found = found.unionByName(materialize(again.select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")), "string-spans"))
     return found
 
 
