@@ -1,12 +1,11 @@
 """Packing of tokenised documents into training sequences, by multiway differencing.
 
-Every document becomes token ids and an end id. Full windows are cut off as
-sequences of their own. What remains of each document is dealt into groups of
-about GROUP_ROWS rows, and each group into windows by Karmarkar-Karp
-differencing: partial partitions are merged, those of the largest difference
-first, large sums of one onto small sums of the other. If a window then exceeds
-the capacity, the count of windows rises, by SLACK at most; what still exceeds is cut
-off and moved to windows with room.
+Every document becomes token ids and an end id. Only documents longer than a
+window are cut: full windows are sequences of their own. What remains of each
+document is dealt into groups of about GROUP_ROWS rows, and each group into windows
+by Karmarkar-Karp differencing: partial partitions are merged, those of the largest
+difference first, large sums of one onto small sums of the other. For as long as a
+window exceeds the capacity, the count of windows rises by one.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -28,13 +27,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_chunks
 
-#: Documents of a group, about; and the share of windows beyond the least number that a group may take rather than cut.
-GROUP_ROWS, SLACK = 1024, 0.004
+#: Documents of a group, about.
+GROUP_ROWS = 1024
+#: Bytes of text tokenized at once.
+TOKENIZED = 1 << 22
 #: Words whose ids a worker remembers.
 REMEMBERED = 150_000
-#: Pre-tokens of lower-case texts up to U+00FF, as the tokenizer's own pattern gives them: contractions, letters, single numerals, other signs.
-_LETTERS, _NUMERALS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORD = re.compile(rf"[{_LETTERS}]+|[{_NUMERALS}]|'(?:[stmd]|re|ve|ll)|[^{_LETTERS}{_NUMERALS}\t-\r \x85\xa0]+")
+#: Kinds of the characters up to U+00FF in lower-case texts, as the tokenizer's own pattern tells them: white space, letters, numerals (each a word), other signs.
+_SPACES, _LETTERS, _NUMERALS, _SIGNS = range(4)
+_KIND = np.full(256, _SIGNS, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = _SPACES
+_KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTERS
+_KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMERALS
 #: Texts with other characters, or with those that Python alone takes for white space, go to the tokenizer whole.
 _OTHER = re.compile(r"[^\x00-\x1b\x20-\xff]")
 
@@ -72,7 +76,7 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.at, self.size, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -88,11 +92,11 @@ class WordTokenizer:
         self._clear()
         self._store([words[k] for k in again.tolist()], ids, past[:-1], past[1:])
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             groups = [part[j : j + 256] for j in range(0, len(part), 256)]
-            joined = [" ".join(g).encode().decode("latin-1").translate(self.letters) for g in groups]
+            joined = [b" ".join(g).decode("latin-1").encode().decode("latin-1").translate(self.letters) for g in groups]
             for group, encoding in zip(groups, self.words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(encoding.ids, np.uint32)
                 ends = np.flatnonzero(self.last[ids]) + 1
@@ -100,7 +104,7 @@ class WordTokenizer:
                     raise ValueError("the vocabulary has words without an end")
                 self._store(group, ids, np.concatenate(([0], ends[:-1])), ends)
 
-    def _store(self, words: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+    def _store(self, words: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
         k, n = len(self.slot), len(words)
         while k + n > len(self.at):
             self.at, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size, self.uses))
@@ -111,28 +115,63 @@ class WordTokenizer:
         self.used += len(ids)
         self.slot.update(zip(words, range(k, k + n), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each whole text, the end id included; null is like the empty text."""
-        plain = [bool(t) and (t.isascii() and "\x1c" not in t and "\x1d" not in t and "\x1e" not in t and "\x1f" not in t or not _OTHER.search(t)) for t in texts]
-        split = [_WORD.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+    def _slots(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The slot of each of some distinct words, in one byte a character. Learns new ones."""
         if len(self.slot) > REMEMBERED:
             self.forget()
         known = self.slot
-        new = set().union(*split).difference(known)
+        new = [w for w in words if w not in known]
         if new:
-            self._learn(list(new))
-        counts = [len(words) for words in split]
-        slots = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        self.uses += np.bincount(slots, minlength=len(self.uses)).astype(np.int32)
+            self._learn(new)
+        slots = np.array([known[w] for w in words], np.int64)
+        self.uses[slots] += counts.astype(np.int32)
+        return slots
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text, the end id included; null is like the empty text."""
+        plain = [not t or (t.isascii() and "\x1c" not in t and "\x1d" not in t and "\x1e" not in t and "\x1f" not in t) or not _OTHER.search(t) for t in texts]
+        # the plain texts in one byte a character, each after a line end
+        parts = [(t or "").lower().encode("latin-1") for t, ok in zip(texts, plain, strict=True) if ok]
+        begins = np.cumsum([0, *(len(x) + 1 for x in parts)])
+        offsets, letters, first = _words(np.frombuffer(b"\n".join([b"", *parts]), np.uint8), begins)
+        found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)]).dictionary_encode()
+        which = found.indices.to_numpy()
+        slots = self._slots(found.dictionary.to_pylist(), np.bincount(which, minlength=len(found.dictionary)))[which]
         sizes = self.size[slots]
         past = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.arange(past[-1]) + np.repeat(self.at[slots] - past[:-1], sizes)]
-        bounds = past[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        bounds = iter(zip(past[first[:-1]].tolist(), past[first[1:]].tolist(), strict=True))
         end = np.uint32(self.end_id)
-        return [
-            np.append(ids[a:b], end) if ok or not t else np.array([*self.whole.encode(t, add_special_tokens=False).ids, self.end_id], np.uint32)
-            for t, ok, a, b in zip(texts, plain, bounds, bounds[1:], strict=False)
-        ]
+        out = []
+        for t, ok in zip(texts, plain, strict=True):
+            if ok:
+                a, b = next(bounds)
+                out.append(np.append(ids[a:b], end))
+            else:
+                out.append(np.array([*self.whole.encode(t, add_special_tokens=False).ids, self.end_id], np.uint32))
+        return out
+
+
+def _words(letters: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(where words begin and the last ends, all without white space; the letters left; the first word of each text). Texts begin with white space, at ``begins``; its last is the end."""
+    kind = _KIND[letters]
+    start = np.ones(len(letters) + 1, bool)
+    start[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMERALS)
+    # a sign that begins a run, is a quote, and is followed by s, t, m, d, re, ve or ll makes a word with these
+    quote = np.flatnonzero((letters == 39) & start[:-1])
+    quote = quote[quote + 1 < len(letters)]
+    one, two = letters[quote + 1], letters[np.minimum(quote + 2, len(letters) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (quote + 2 < len(letters)) & (((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)))
+    start[quote[short | long] + 1] = False
+    start[quote[short] + 2] = True
+    start[quote[long] + 3] = True
+    solid = kind != _SPACES
+    start[:-1] &= solid
+    at = np.flatnonzero(start[:-1])
+    before = np.cumsum(solid, dtype=np.int32)  # letters up to each place, itself included
+    offsets = np.append(before[at] - 1, before[-1] if len(before) else 0)
+    return offsets, letters[solid], np.searchsorted(at, begins).tolist()
 
 
 _workers: dict[int, WordTokenizer] = {}
@@ -146,7 +185,7 @@ def _tokenize(shared, end_id: int, capacity: int, width: str):
             _workers[key] = WordTokenizer(definition, end_id)
         tokenizer, task = _workers[key], TaskContext.get().partitionId() << 40
         rows, full = count(task), count(task)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, most=TOKENIZED):
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text").to_pylist()), strict=True):
                 row = next(rows)
@@ -184,90 +223,56 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return found + [[] for _ in range(k - len(found))]
 
 
-def windows(sizes: list[int], capacity: int, slack: float = SLACK, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of at most ``capacity``, each a list of pieces (item, start, length); no item is larger than that.
+def windows(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows of at most ``capacity``, each a list of items; no item is larger than that.
 
-    The count starts at the least possible and rises where a window exceeds the
-    capacity: with ``cut`` to (1 + slack) times the least, beyond which the excess
-    is cut off, and without it for as long as need be.
+    The count starts at the least possible and rises by one for as long as a window exceeds the capacity.
     """
-    total = sum(sizes)
-    least = -(-total // capacity)
-    k = least
+    k = -(-sum(sizes) // capacity)
     while True:
         found = differencing(sizes, k)
-        excess = max((sum(sizes[i] for i in w) for w in found), default=0) - capacity
-        most = max(least, -(-int(total * (1 + slack)) // capacity))
-        if excess <= 0 or (cut and k >= most):
-            break
-        k = most if cut else k + max(1, k // 200)
-    out, moved = [], []
-    for w in found:
-        pieces, room = [], capacity
-        for i in sorted(w, key=lambda i: -sizes[i]):
-            kept = min(sizes[i], room)
-            if kept:
-                pieces.append((i, 0, kept))
-            if kept < sizes[i]:
-                moved.append((i, kept, sizes[i] - kept))
-            room -= kept
-        out.append((room, pieces))
-    at = 0
-    order = sorted(range(len(out)), key=lambda j: -out[j][0])
-    for i, start, length in moved:
-        while length:
-            j = order[at]
-            room, pieces = out[j]
-            if not room:
-                at += 1
-                continue
-            part = min(room, length)
-            pieces.append((i, start, part))
-            out[j] = (room - part, pieces)
-            start, length = start + part, length - part
-    return [p for _, p in out if p]
-
-
-def _plan_group(capacity: int, slack: float, cut: bool):
+        if all(sum(sizes[i] for i in w) <= capacity for w in found):
+            return [w for w in found if w]
+        k += 1
+
+
+def _plan_group(capacity: int):
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "row"], ascending=[False, True], ignore_index=True)
-        rows, group = pdf["row"].tolist(), int(pdf["g"].iloc[0])
+        rows, sizes, group = pdf["row"].tolist(), pdf["n"].tolist(), int(pdf["g"].iloc[0])
         out = []
-        for w, pieces in enumerate(windows(pdf["n"].tolist(), capacity, slack, cut)):
+        for w, items in enumerate(windows(sizes, capacity)):
             offset = 0
-            for i, start, length in pieces:
-                out.append((rows[i], start, length, group << 32 | w, offset))
-                offset += length
-        return pd.DataFrame(out, columns=["row", "within", "length", "sequence_id", "offset"])
+            for i in items:
+                out.append((rows[i], group << 32 | w, offset))
+                offset += sizes[i]
+        return pd.DataFrame(out, columns=["row", "sequence_id", "offset"])
 
     return plan
 
 
-def pack(docs: DataFrame, definition: str, end_id: int = 2, capacity: int = 4096, group_rows: int = GROUP_ROWS, slack: float = SLACK, cut: bool = True) -> DataFrame:
+def pack(docs: DataFrame, definition: str, end_id: int = 2, capacity: int = 4096, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of packed sequences: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
     ``definition`` is the text of a tokenizers file. ``ids`` are the piece's
     token ids, little-endian, in 2 bytes each (4 for vocabularies over 65,536). A null
     text counts as empty and is its end id alone; repeated rows are packed each on
-    their own; an empty table gives no pieces.
+    their own; an empty table gives no pieces. A document of more than ``capacity``
+    ids is cut into full windows and a rest, any other one is a single piece.
     """
     spark = docs.sparkSession
     size = max(json.loads(definition)["model"]["vocab"].values()) + 1
     width = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-    bytes_each = int(width[-1])
     shared = spark.sparkContext.broadcast(definition)
     schema = "row long, doc_id long, block long, n long, doc_tokens long, own long, ids binary"
     blocks = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenize(shared, end_id, capacity, width), schema), "tokens")
     rest = blocks.where("own is null")
     groups = max(1, -(-rest.count() // group_rows))
     plan = rest.select("row", "n", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("g")).groupBy("g")
-    plan = plan.applyInPandas(_plan_group(capacity, slack, cut), "row long, within long, length long, sequence_id long, offset long")
-    cut_up = rest.join(plan, "row").select(
-        "doc_id", (F.col("block") + F.col("within")).alias("start"), "length",
-        F.expr(f"substring(ids, int(within) * {bytes_each} + 1, int(length) * {bytes_each})").alias("ids"), "doc_tokens", "sequence_id", "offset",
-    )
+    plan = plan.applyInPandas(_plan_group(capacity), "row long, sequence_id long, offset long")
+    dealt = rest.join(plan, "row").select("doc_id", F.col("block").alias("start"), F.col("n").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
     whole = blocks.where("own is not null").select("doc_id", F.col("block").alias("start"), F.col("n").alias("length"), "ids", "doc_tokens", F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(cut_up)
+    return whole.unionByName(dealt)
 
 
 def with_checksums(pieces: DataFrame) -> DataFrame:
