@@ -42,9 +42,30 @@ def _word(key: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
 
 
+def _possible(keys: Column, filled: list[int]) -> Column:
+    """Those of the keys that the filter's words pass."""
+    table = F.lit(filled).cast("array<bigint>")
+
+    def passes(key: Column) -> Column:
+        # one binding of the key's bits, which are compared twice
+        return F.exists(F.array(_bits(key)), lambda b: F.element_at(table, _word(key, len(filled)) + 1).bitwiseAND(b) == b)
+
+    return F.filter(keys, passes)
+
+
+def _keys(labels: Column, path: Column, shapes: Column) -> Column:
+    """What a url could match: its host's last ``n`` labels with the first ``m`` characters of its path, for each shape (n, m) that it has."""
+    fitting = F.filter(shapes, lambda x: (F.size(labels) >= x["n"]) & (F.length(path) >= x["m"]))
+    return F.transform(fitting, lambda x: F.concat_ws("\u0001", F.array_join(F.slice(labels, -x["n"], x["n"]), "."), F.substring(path, F.lit(1), x["m"])))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``rules``: (host, path, verdict).
 
+    Each row is tried against the filter where it is read, so only rows with a
+    possible rule are exchanged: their distinct host and path join the rules
+    exactly, and what is decided joins the rows.
+
     Of several fitting rules the longest wins, and of equally long ones the last
     by text; a rule listed twice with different verdicts blocks. Rules with a
     null host are left out; a null path is empty. Columns named host, path, rule or
@@ -52,27 +73,29 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """
     listed = rules.where("host is not null").select(F.concat(lower_ascii(F.col("host")), F.coalesce("path", F.lit(""))).alias("key"), lower_ascii(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
     exact = listed.groupBy("h", "p").agg(F.first("key").alias("rule"), F.max("verdict").alias("verdict")).withColumn("key", F.concat_ws("\u0001", "h", "p"))
-    shapes = [tuple(r) for r in exact.select(F.size(F.split("h", r"\.")).alias("n"), F.length("p").alias("m")).distinct().orderBy("n", "m").collect()]  # label counts and lengths only
+    # label counts and path lengths of the rules: a value in the plan, whose size doesn't depend on how many there are
+    shapes = sorted(map(tuple, exact.select(F.size(F.split("h", r"\.")), F.length("p")).distinct().collect()))
     judged = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if not shapes:
         return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys = [
-        F.when((F.size("labels") >= n) & (F.length("path") >= m), F.concat_ws("\u0001", F.array_join(F.slice("labels", -n, n), "."), F.substring("path", 1, m) if m else F.lit("")))
-        for n, m in shapes
-    ]
-    asked = judged.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
-    asked = asked.select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    shapes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes])
+    tried = "_" * (1 + max(map(len, judged.columns)))  # no column of the table has that name
+    keyed = judged.withColumn(tried, _keys(F.split("host", r"\."), F.col("path"), shapes))
     words = 1
     while words * KEYS_PER_WORD < exact.count():
         words *= 2
     bloom = exact.select(_word(F.col("key"), words).alias("w"), _bits(F.col("key")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
-    asked = asked.withColumns({"w": _word(F.col("key"), words), "b": _bits(F.col("key"))})
     if words <= LITERAL_WORDS:
         filled = dict(map(tuple, bloom.collect()))  # at most LITERAL_WORDS longs
-        asked = asked.withColumn("bits", F.element_at(F.lit([filled.get(i, 0) for i in range(words)]).cast("array<bigint>"), F.col("w") + 1))
-    else:
-        asked = asked.join(bloom, "w")
-    possible = asked.where(F.col("bits").bitwiseAND(F.col("b")) == F.col("b")).select("host", "path", "key")
+        keyed = keyed.withColumn(tried, _possible(F.col(tried), [filled.get(i, 0) for i in range(words)]))
+    possible = keyed.where(F.size(tried) > 0)
+    asked = possible.select("host", "path", tried).distinct().select("host", "path", F.explode(tried).alias("key"))
+    if words > LITERAL_WORDS:
+        asked = asked.withColumns({"w": _word(F.col("key"), words), "b": _bits(F.col("key"))}).join(bloom, "w")
+        asked = asked.where(F.col("bits").bitwiseAND(F.col("b")) == F.col("b")).select("host", "path", "key")
     best = F.struct(F.length("rule").alias("n"), F.struct("rule", "verdict").alias("x"))
-    decided = possible.join(exact.select("key", "rule", "verdict"), "key").groupBy("host", "path").agg(F.max(best)["x"].alias("_decided"))
-    return judged.join(decided, ["host", "path"], "left").select(*judged.columns, F.col("_decided.rule").alias("rule"), F.coalesce("_decided.verdict", F.lit(default)).alias("verdict"))
+    decided = asked.join(exact.select("key", "rule", "verdict"), "key").groupBy("host", "path").agg(F.max(best)["x"].alias(tried))
+    found = possible.drop(tried).join(decided, ["host", "path"], "left")
+    found = found.select(*judged.columns, F.col(tried)["rule"].alias("rule"), F.coalesce(F.col(tried)["verdict"], F.lit(default)).alias("verdict"))
+    others = keyed.where(F.size(tried) == 0).select(*judged.columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return others.unionByName(found)
