@@ -1,8 +1,8 @@
 """Supervised subword embeddings: hashed n-gram vectors, averaged, with a linear softmax, trained by SGD in numpy.
 
-A text is its whitespace-delimited words, word pairs (pairs of equal words share
-one vector) and byte n-grams, each hashed to a bucket with a vector. The average of a text's vectors goes through a
-linear layer and a softmax. Training runs on the driver, over a bounded sample.
+A text is its whitespace-delimited words, pairs of neighbouring words, and the character n-grams
+of each word, its borders being characters too; each is hashed to a bucket with a vector. The average of a
+text's vectors goes through a linear layer and a softmax. Training runs on the driver, over a bounded sample.
 As averaging and the layer are both linear, the trained model folds to one score
 a bucket and class: a text's logits are the mean of its buckets' scores.
 """
@@ -15,8 +15,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
-_SPACE = np.zeros(256, bool)
+_SPACE = np.zeros(33, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
@@ -29,48 +28,56 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Features:
-    """Which n-grams a text is made of, and in how many buckets they go."""
+    """Which n-grams a text is made of, and in how many buckets they go. With ``repeats`` all pairs of equal words are one n-gram, whichever the word."""
 
-    byte_sizes: tuple[int, ...] = (3,)
+    char_sizes: tuple[int, ...] = (3,)
     word_pairs: bool = True
+    repeats: bool = False
     buckets: int = 1 << 17
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of all features, end of each text's features); null is like the empty text, which has none."""
-        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        joined = np.frombuffer(b" ".join([*data, b""]) or b" ", np.uint8)
-        ends = np.cumsum(sizes + 1)
-        starts = ends - sizes - 1
-        if len(joined) <= 1:
-            return np.zeros(0, np.int64), np.zeros(len(data), np.int64)
+        joined = f" {' '.join(t or '' for t in texts)} "
+        sizes = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+        ends = np.cumsum(sizes + 1)  # of the characters, one after each text's last
+        starts = ends - sizes
+        if not sizes.any():
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         shift = np.uint64(64 - (self.buckets.bit_length() - 1))
-        letters = _BYTE[joined]
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = (points + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        letters ^= letters >> np.uint64(32)
+        letters *= np.uint64(0x94D049BB133111EB)
         parts = []
-        space = _SPACE[joined]
+        space = (points < 33) & _SPACE[np.minimum(points, 32)]
         # words, by differences of a running polynomial
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-        head, tail = edge[::2], edge[1::2]
-        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * _powers(_BASE, len(joined)))))
-        word = (running[tail] - running[head]) * _powers(_INVERSE, len(joined))[head]
+        edge = np.flatnonzero(np.diff(space.astype(np.int8)))
+        head, tail = edge[::2] + 1, edge[1::2] + 1
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * _powers(_BASE, len(points)))))
+        word = (running[tail] - running[head]) * _powers(_INVERSE, len(points))[head]
         word ^= word >> np.uint64(31)
         first, last = np.searchsorted(head, starts), np.searchsorted(head, ends)
         parts.append((word * np.uint64(0xBF58476D1CE4E5B9)) >> shift)
         spans = [(first, last)]
         if self.word_pairs:
             pair = word[:-1] * np.uint64(0x94D049BB133111EB) + word[1:]
-            pair[word[:-1] == word[1:]] = 1  # a word said twice in a row, whichever it is
+            if self.repeats:
+                pair[word[:-1] == word[1:]] = 1
             parts.append((pair * np.uint64(0xD6E8FEB86659FD93)) >> shift)
             spans.append((first, np.maximum(last - 1, first)))
-        for k, size in enumerate(self.byte_sizes):
-            n = max(len(joined) - size + 1, 0)
-            gram = np.zeros(n, np.uint64)
+        spaces = np.concatenate(([0], np.cumsum(space)))
+        for k, size in enumerate(self.char_sizes):
+            n = max(len(points) - size + 1, 0)
+            # within a word and the white space at its borders
+            at = np.flatnonzero(spaces[size - 1 : size - 1 + n] == spaces[1 : 1 + n])
+            gram = np.zeros(len(at), np.uint64)
             for i in range(size):
                 gram *= np.uint64(0x2545F4914F6CDD1D)
-                gram += letters[i : i + n]
+                gram += letters[at + i]
             gram ^= gram >> np.uint64(29)
             parts.append((gram * np.uint64(0x9FB21C651E98DF25 + 2 * k)) >> shift)
-            spans.append((starts, np.maximum(ends - size, starts)))
+            begin = np.searchsorted(at, starts - 1)
+            spans.append((begin, np.where(ends > starts, np.maximum(np.searchsorted(at, ends - size + 2), begin), begin)))
         counts = np.array([b - a for a, b in spans])
         ends_of = np.cumsum(counts.sum(axis=0))
         out = np.empty(int(ends_of[-1]), np.int64)

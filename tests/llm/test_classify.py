@@ -63,13 +63,55 @@ def test_without_labels(spark):
 
 
 def test_sample_is_bounded(spark):
-    docs = spark.createDataFrame(rows(2000), DOCS)
-    shared = docs.where(classify._share(docs.doc_id, 100, 2000)).count()
-    assert 60 < shared < 140
+    docs = spark.createDataFrame([(i, "rare" if i % 400 == 0 else "often") for i in range(4000)], "key long, label string")
+    counts = {r.label: r["count"] for r in classify._chosen(docs, 200).groupBy("label").count().collect()}
+    assert 140 < counts["often"] < 260 and counts["rare"] == 10  # a rare label isn't thinned out
+    assert classify._chosen(docs, 10_000).count() == 4000
+
+
+def test_long_texts_train_within_the_budget(spark):
+    some = [(i, prose(random.Random(i), ("aa", "bb")[i % 2]), ("aa", "bb")[i % 2], "s", 0.0, 0) for i in range(60)]
+    some += [(100, "pitkä " * 40_000, "cc", "s", 0.0, 0), (101, "pitkä " * 30_000, "cc", "s", 0.0, 0)]
+    df = spark.createDataFrame([r for r in some if not held(r[0])], DOCS)
+    assert classify.train_language(df).classes == ["aa", "bb", "cc"]
+    assert "cc" not in classify.train_language(df, chars=50_000).classes
+
+
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_overlapping_classes_on_rows_held_out(spark):
+    """Classes that share most of their words: accuracy on rows never seen, against the best that their words allow."""
+    rng = random.Random(12)
+    common = ["kala", "mina", "talo", "vene", "silta", "pelto"]
+    own = {"aa": ["yksi", "kaksi"], "bb": ["yhden", "kahden"]}
+    docs = []
+    for i in range(1200):
+        lang = rng.choice(["aa", "bb"])
+        docs.append((i, " ".join(rng.choice(own[lang if rng.random() < 0.9 else "ab".replace(lang[0], "") * 2]) if rng.random() < 0.25 else rng.choice(common) for _ in range(20)), lang, "s", 0.0, 0))
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r for r in classify.predict_language(df, classify.train_language(df), 0.0).collect()}
+    unseen = [d for d in docs if held(d[0])]
+    votes = lambda text: sum(text.split().count(w) for w in own["aa"]) - sum(text.split().count(w) for w in own["bb"])
+    best = sum((votes(t) > 0) == (lang == "aa") for _, t, lang, *_ in unseen if votes(t)) + sum(0.5 for _, t, *_ in unseen if not votes(t))
+    hits = sum(got[d].lang_pred == lang for d, _, lang, *_ in unseen)
+    assert len(unseen) > 200 and hits >= 0.95 * best
+    # the score says how often the prediction is right
+    assert abs(sum(got[d].score for d, *_ in unseen) / len(unseen) - hits / len(unseen)) < 0.06
+
+
+def test_a_column_of_the_scores_name_is_replaced(spark):
+    docs = spark.createDataFrame(rows(8), DOCS)
+    got = classify.score_quality(docs, None, keep=docs.columns)
+    assert got.columns == ["doc_id", "text", "lang", "source", "quality", "score"] and {r.score for r in got.collect()} == {0.5}
+    other = classify.score_quality(docs, None, keep=["doc_id", "score"], score="q")
+    assert other.columns == ["doc_id", "score", "q"] and {(r.score, r.q) for r in other.collect()} == {(0.0, 0.5)}
+    assert classify.score_quality(docs.limit(0), None, keep=docs.columns).collect() == []
 
 
 def test_features_of_a_text_do_not_depend_on_its_neighbours():
-    f = Features(byte_sizes=(2, 5), buckets=1 << 10)
+    f = Features(char_sizes=(2, 5), buckets=1 << 10)
     texts = ["one two two", None, "", "é", " lead", "x" * 5000, "one two two"]
     bucket, ends = f.of(texts)
     parts = np.split(bucket, ends[:-1])
