@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """From edges (u, v) of longs to rows (node, root): every node of an edge with the least node it reaches.
 
-    Each round is written to the shared folder. Only a count and a checksum come
+    Each round is written to the shared folder, and the one before it removed. Only a count and a checksum come
     to the driver. A node of very many edges is aggregated map-side first; the
     joins are plain equi-joins, whose skewed partitions Spark splits.
     """
@@ -35,4 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = tuple(seen)
-        now = materialize(_small_star(_large_star(now)), "stars")
+        before, now = now, materialize(_small_star(_large_star(now)), "stars")
+        discard(before)

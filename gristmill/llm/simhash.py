@@ -2,7 +2,9 @@
 
 Fingerprints that differ in at most ``radius`` bits agree on at least two of
 ``radius + 2`` blocks of bits, so every pair of blocks gives a bucket key, and
-linked fingerprints share a bucket. Inside buckets the bits are stored as
+linked fingerprints share a bucket. A bucket of over HOT fingerprints is dealt out
+once more: of ``radius + 1`` groups of the bits that its blocks leave, linked
+fingerprints agree on one. Inside buckets the bits are stored as
 vertical planes, 64 fingerprints to a word; distances of one fingerprint to 64
 others are counted at once by carry-save bitwise counters, and a word is
 abandoned once all its distances exceed the radius. A bucket leaves a star of
@@ -23,6 +25,8 @@ from .common import materialize, text_chunks
 from .graph import components
 from .shingles import resembling, shingle_hashes
 
+#: Fingerprints of a bucket from which on it is dealt out by further bits.
+HOT = 20_000
 #: Byte b as eight bytes, one for each of its bits: sums of up to 255 of them don't overflow.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -167,11 +171,31 @@ def _link_partition(radius: int):
     return link
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """The bits outside ``mask`` in ``radius + 1`` groups: fingerprints that agree under the mask and are within the radius agree on one group."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in rest[i :: radius + 1]) for i in range(radius + 1)]
+
+
+def links(prints: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     """Links (u, v) that connect all fingerprints within the radius. ``prints``: (fp, node), a row for each fingerprint."""
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(block_masks(radius))])
-    keyed = prints.select("fp", "node", F.inline(masks)).repartition("t", "k")
-    return keyed.mapInArrow(_link_partition(radius), "u long, v long")
+    masks = block_masks(radius)
+    key = lambda m: F.col("fp").bitwiseAND(F.lit(_signed(m)))
+    keyed = prints.select("fp", "node", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), key(m).alias("k")) for i, m in enumerate(masks)])))
+    # counted map-side; few keys, if any, come of it
+    large = materialize(keyed.groupBy("t", "k").count().where(F.col("count") > hot).select("t", "k"), "large-buckets")
+    if large.limit(1).count():
+        finer = F.lit(None)
+        for i, m in enumerate(masks):
+            groups = [F.struct(F.lit(len(masks) * (g + 1) + i).alias("t"), F.xxhash64("k", key(part)).alias("k")) for g, part in enumerate(finer_masks(m, radius))]
+            finer = F.when(F.col("t") == i, F.array(*groups)).otherwise(finer)
+        dealt = keyed.join(large, ["t", "k"], "left_semi").select("fp", "node", F.inline(finer))
+        keyed = keyed.join(large, ["t", "k"], "left_anti").select("fp", "node", "t", "k").unionByName(dealt)
+    return keyed.repartition("t", "k").mapInArrow(_link_partition(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:

@@ -80,3 +80,25 @@ def test_long_chain_is_one_component(spark):
             fp ^= 1 << (3 * i + b)
     found = simhash.components(simhash.links(spark.createDataFrame([(f if f < 1 << 63 else f - (1 << 64), d) for f, d in rows], "fp long, node long")))
     assert {r.root for r in found.collect()} == {81} and found.count() == 20
+
+
+@pytest.mark.parametrize("hot", [2, 10, 1000])
+def test_large_buckets_lose_no_link(spark, hot):
+    rng = random.Random(hot)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = set()
+    while len(fps) < 500:
+        x = rng.choice(base)
+        for _ in range(rng.randrange(9)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(sorted(fps))]
+    found = simhash.components(simhash.links(spark.createDataFrame(rows, "fp long, node long"), 3, hot))
+    got = {i: i for _, i in rows} | {r.node: r.root for r in found.collect()}
+    assert got == brute_components([(i, f % (1 << 64)) for f, i in rows], 3)
+
+
+def test_finer_groups_share_the_rest():
+    for mask in simhash.block_masks(3):
+        groups = simhash.finer_masks(mask, 3)
+        assert len(groups) == 4 and sum(groups) + mask == (1 << 64) - 1
