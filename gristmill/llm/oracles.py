@@ -1,5 +1,7 @@
 """DuckDB SQL of those queries that SQL can express."""
 
+from .spotsigs import ANCHORS
+
 _OP2 = r"""
 WITH w AS (
   SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
@@ -73,4 +75,34 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 FROM rows LEFT JOIN last USING (digest)
 """
 
-ORACLES = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_suffix_dedup": _OP4, "op5_warc": _OP5}
+_ANCHORS = ", ".join(f"'{w}'" for w in sorted(set(ANCHORS)))
+
+_NEAR_CLASSES = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS words FROM documents
+), c AS (
+  SELECT doc_id, words, list_filter(words, lambda x: NOT list_contains([{_ANCHORS}], x)) AS content FROM w
+), p AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM c
+), a AS (
+  SELECT doc_id, pos, word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j FROM p WHERE word IN ({_ANCHORS})
+), s AS (
+  SELECT DISTINCT doc_id, word || '|' || content[pos - j + 1] || coalesce('|' || content[pos - j + 2], '') AS sig
+  FROM a JOIN c USING (doc_id) WHERE content[pos - j + 1] IS NOT NULL
+), all_sigs AS (
+  SELECT * FROM s UNION ALL SELECT doc_id, '=' || array_to_string(words, ' ') FROM c WHERE len(words) > 0 AND doc_id NOT IN (SELECT doc_id FROM s)
+), sets AS (
+  SELECT d.doc_id, coalesce(list(sig ORDER BY sig) FILTER (WHERE sig IS NOT NULL), []) AS sigs FROM documents d LEFT JOIN all_sigs USING (doc_id) GROUP BY d.doc_id
+), classes AS (
+  SELECT sigs, min(doc_id) AS class_id, len(sigs) AS n FROM sets GROUP BY sigs
+), e AS (
+  SELECT class_id, n, unnest(sigs) AS sig FROM classes
+), shared AS (
+  SELECT x.class_id, x.n AS n, y.n AS m, count(*) AS k FROM e x JOIN e y ON x.sig = y.sig AND x.class_id <> y.class_id GROUP BY x.class_id, y.class_id, x.n, y.n
+), links AS (
+  SELECT class_id, count(*) AS n_links FROM shared WHERE k / (n + m - k) >= 0.8 GROUP BY class_id
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM sets JOIN classes USING (sigs) LEFT JOIN links USING (class_id)
+"""
+
+ORACLES = {"spotsigs_near_classes": _NEAR_CLASSES, "op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_suffix_dedup": _OP4, "op5_warc": _OP5}

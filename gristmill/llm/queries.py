@@ -65,6 +65,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def spotsigs_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document's fingerprint, and its number of near ones, by the join that is pruned by set length and rare signatures."""
+    return spotsigs.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, from a model that never saw the held-out ones."""
     docs = table(spark, sf_dir, "documents")
@@ -109,6 +114,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
+    "spotsigs_near_classes": spotsigs_near_classes,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,

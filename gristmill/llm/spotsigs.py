@@ -21,8 +21,8 @@ ANCHORS = (
 ).split()
 #: Content words in a chain, and how many content words apart they stand.
 CHAIN, SPACING = 2, 1
-#: Documents whose ids fall in one range of this length are ordered in one task.
-RANGE = 1024
+#: Documents that are ordered in one task, about; and the quantiles of doc_id between which ids are taken to be evenly spread.
+RANGE, QUANTILES = 1024, 64
 
 
 def words(text: Column) -> Column:
@@ -77,24 +77,51 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     )
 
 
+def _below(value: Column, bounds: list[int], first: int = 0) -> Column:
+    """``first`` and how many of the ascending bounds the value reaches, by halving."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value < bounds[half], _below(value, bounds[:half], first)).otherwise(_below(value, bounds[half + 1 :], first + half + 1))
+
+
+def _ranges(rows: DataFrame, length: int) -> tuple[Column, Column]:
+    """(block, part) of a row: the quantiles that its doc_id lies between, and a range of about ``length`` rows, in the order of ids. Without id: block -1 and a part below 0, by the text's hash."""
+    steps = F.lit([i / QUANTILES for i in range(QUANTILES + 1)])
+    n, with_id, bounds = rows.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", steps, F.lit(10_000))).first()
+    bounds = sorted(set(bounds or [0]))
+    parts = max(1, round(with_id / max(len(bounds) - 1, 1) / length))
+    width = [max(1, (b - a) // parts + 1) for a, b in zip(bounds, [*bounds[1:], bounds[-1]], strict=True)]
+    block = F.greatest(_below(F.col("doc_id"), bounds) - 1, F.lit(0))
+    at = lambda values: F.element_at(F.lit(values).cast("array<bigint>"), (block + 1).cast("int"))
+    within = F.greatest(F.least(F.floor((F.col("doc_id") - at(bounds)) / at(width)), F.lit(parts)), F.lit(0))
+    unnumbered = -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, round((n - with_id) / length))))
+    none = F.col("doc_id").isNull()
+    return F.when(none, -1).otherwise(block).cast("long"), F.when(none, unnumbered).otherwise(block.cast("long") * (parts + 1) + within).cast("long")
+
+
 def with_next(docs: DataFrame, length: int = RANGE) -> DataFrame:
     """(doc_id, text, next_text): every row with the text of the next one by descending doc_id; the last is followed by the first.
 
-    Null texts become empty. Rows without doc_id come last, and rows of equal
-    doc_id by text. Rows are dealt to tasks by ranges of doc_id. Each range also
+    Null texts become empty. Rows of equal doc_id are ordered by text. Rows without
+    doc_id come last, in an order of their own. Rows are dealt to tasks by ranges of
+    doc_id, about equal in rows however the ids are spread. Each range also
     gets the first row of the range below it, so that no task needs the whole order.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("doc_id") / length), F.lit(-(1 << 62))))
-    heads = rows.groupBy("part").agg(F.max("doc_id").alias("head"))
-    # one short row a range: the global order of ranges is small
-    order = Window.orderBy(F.col("part").desc())
-    linked = heads.select("part", F.lead("part").over(order).alias("below"), F.first("part").over(order).alias("top"))
-    linked = linked.select("part", F.coalesce("below", "top").alias("below"))
-    heads = heads.withColumnRenamed("part", "below")
+    block, part = _ranges(rows, length)
+    rows = rows.withColumns({"block": block, "part": part})
+    heads = rows.groupBy("block", "part").agg(F.max("doc_id").alias("head"))
+    # one short row a range, ordered within each block; and one a block, of which there are at most QUANTILES and two
+    tops = heads.groupBy("block").agg(F.max("part").alias("highest"))
+    order = Window.orderBy(F.col("block").desc())
+    tops = tops.select("block", F.coalesce(F.lead("highest").over(order), F.first("highest").over(order)).alias("onward"))
+    linked = heads.select("block", "part", F.lead("part").over(Window.partitionBy("block").orderBy(F.col("part").desc())).alias("below"))
+    linked = linked.join(F.broadcast(tops), "block").select("part", F.coalesce("below", "onward").alias("below"))
+    heads = heads.select(F.col("part").alias("below"), "head")
     ghosts = rows.join(heads, (F.col("part") == F.col("below")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("below", "text")
     ghosts = ghosts.groupBy("below").agg(F.min("text").alias("text")).join(linked, "below").select(F.lit(None).cast("long").alias("doc_id"), "text", "part", F.lit(1).alias("ghost"))
-    dealt = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition("part")
+    dealt = rows.select("doc_id", "text", "part", F.lit(0).alias("ghost")).unionByName(ghosts).repartition("part")
     within = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.withColumn("next_text", F.lead("text").over(within)).where("ghost = 0").select("doc_id", "text", "next_text")
 
@@ -123,6 +150,20 @@ def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     return pairs.select("a", "b", likeness(F.col("sa"), F.col("sb"), at_least).alias("likeness")).where(F.col("likeness") >= at_least)
 
 
+def near_classes(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the least doc_id of its fingerprint, and how many other fingerprints are near (``near_pairs``).
+
+    Rows without any signature are one class without links. Without doc_id
+    a row gets the class of its fingerprint, null if none of that has an id.
+    """
+    key = F.sha2(fingerprint(F.col("sigs")), 256)
+    signed = docs.select(F.col("doc_id").cast("long"), signatures(words(F.col("text").cast("string"))).alias("sigs")).select("doc_id", key.alias("key"))
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    links = near_pairs(docs, at_least).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    classes = classes.join(links, "class_id", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return signed.join(classes, "key").select("doc_id", "class_id", "n_links")
+
+
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Every row with its edited text, both fingerprints, and their likeness, and that to the next row's.
 

@@ -57,15 +57,38 @@ def test_fingerprints_and_likeness_equal_brute_force(spark):
 
 
 @pytest.mark.parametrize("length", [1, 7, 100_000])
-def test_next_over_any_ranges(spark, length):
+@pytest.mark.parametrize("spread", ["dense", "sparse", "both"])
+def test_next_over_any_ranges(spark, length, spread):
     rng = random.Random(length)
-    ids = rng.sample(range(-500, 500), 80)
+    ids = {"dense": list(range(-40, 200)), "sparse": [rng.randrange(-(1 << 62), 1 << 62) for _ in range(240)], "both": [*range(120), *(rng.randrange(1 << 62) for _ in range(120))]}[spread]
+    rng.shuffle(ids)
     df = spark.createDataFrame([(i, f"t{i}", 0, "", "") for i in ids], DOCS)
     got = {r.doc_id: r.next_text for r in spotsigs.with_next(df, length).collect()}
     order = sorted(ids, reverse=True)
     assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
 
 
+def test_rows_without_ids_are_dealt_out(spark):
+    rows = [(None, f"t{i}", 0, "", "") for i in range(50)] + [(i, f"d{i}", 0, "", "") for i in range(20)]
+    got = spotsigs.with_next(spark.createDataFrame(rows, DOCS), 5).collect()
+    follows = {r.text: r.next_text for r in got}
+    at, seen = "d19", []
+    while at not in seen:
+        seen.append(at)
+        at = follows[at]
+    # one round through all rows, those with ids first
+    assert at == "d19" and seen[:20] == [f"d{i}" for i in reversed(range(20))] and sorted(seen) == sorted(r[1] for r in rows)
+
+
+def test_ranges_are_about_equal(spark):
+    rng = random.Random(3)
+    ids = [*range(10_000), *(rng.randrange(1 << 62) for _ in range(10_000))]
+    df = spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string")
+    block, part = spotsigs._ranges(df, 100)
+    sizes = [r["count"] for r in df.groupBy(part).count().collect()]
+    assert 100 <= len(sizes) <= 500 and max(sizes) < 400
+
+
 def test_odd_rows(spark):
     rows = [(None, "n", 0, "", ""), (3, "b", 0, "", ""), (3, "a", 0, "", ""), (3, "a", 0, "", ""), (1, None, 0, "", "")]
     got = [(r.doc_id, r.text, r.next_text) for r in spotsigs.with_next(spark.createDataFrame(rows, DOCS)).collect()]
@@ -93,6 +116,20 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == pytest.approx(want) and len(want) > 5
 
 
+def test_classes_and_links_equal_brute_force(spark):
+    texts = [*corpus(80), None, "", "!!"]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts[:40] if t and len(t.split()) > 10] + texts[:5]
+    df = spark.createDataFrame([(i, t, 0, "", "") for i, t in enumerate(texts)] + [(None, texts[0], 0, "", "")], DOCS)
+    sets = [frozenset(brute(t)) for t in texts]
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(x, i)
+    near = {i: sum(bool(y) and x != y and jaccard(x, y) >= 0.8 for y in first) if x else 0 for x, i in first.items()}
+    got = [tuple(r) for r in spotsigs.near_classes(df).collect()]
+    want = [(i, first[x], near[first[x]]) for i, x in enumerate(sets)] + [(None, first[sets[0]], near[first[sets[0]]])]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(n for _, _, n in want)
+
+
 def test_lengths_prune(spark):
     a, b = F.array(F.lit(1), F.lit(2)), F.array(*[F.lit(i) for i in range(1, 9)])
     r = spark.range(1).select(spotsigs.likeness(a, b).alias("x"), spotsigs.likeness(a, b, 0.5).alias("y")).first()
