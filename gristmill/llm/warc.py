@@ -41,6 +41,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    # Hadoop's names of stores that Arrow calls otherwise
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        path = ours + path.removeprefix(theirs) if path.startswith(theirs) else path
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
@@ -69,12 +72,15 @@ def record_bytes(row) -> bytes:
 
 
 def member(data: bytes, level: int = 6) -> bytes:
-    """``data`` as a gzip member that tells its own length."""
+    """``data`` as a gzip member that tells its own length, if that fits in 32 bits; a reader inflates a longer one to its end."""
     pack = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = pack.compress(data) + pack.flush()
     whole = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, whole & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    end = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if max(whole, len(data)) > 0xFFFFFFFF:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + end
+    extra = b"sl" + struct.pack("<HII", 8, whole, len(data))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + end
 
 
 class Inflater:
@@ -263,7 +269,10 @@ def archive(pages: DataFrame, path: str | None = None, level: int = 6) -> str:
 
 
 def read(spark, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives in a folder; filters on warc_type, page_id and target_uri reach the reader."""
+    """The records of the archives in a folder; filters on warc_type, page_id and target_uri reach the reader.
+
+    Turns on the session's ``spark.sql.python.filterPushdown.enabled``, which the filters need when the plan is made.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
