@@ -5,8 +5,8 @@ Sets near enough share one of their first elements in any order that holds for a
 comes last in the order; the sample decides how many rows meet, never which pairs
 are found. Rows that meet are compared by length and by a bitmap of parities, which
 reject no pair that is near enough, and then by their sets. A first round compares
-each bucket with one of its rows, a second one what isn't linked by then, so
-a large group of copies isn't compared pair by pair.
+each set with one other, the least that it meets; a second one all that meet and
+aren't linked by then, so a large group of copies isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks
+from .common import discard, materialize, text_chunks
 from .graph import components
 
 _LOWER = bytes(range(256)).lower()
@@ -32,7 +32,9 @@ BITS = 512
 #: Places of the bitmap of wanted documents.
 SLOTS = 1 << 22
 _ROWS = "node long, n long, bits binary"
-_SETS = "doc_id long, node long, hashes array<long>"
+_SETS = "doc_id long, node long, hashes binary"
+#: Sets that are compared with one other in one task, about; and the elements up to which a set is compared by 32 bits of each.
+DEALT, NARROW = 500, 10_000
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
@@ -80,80 +82,165 @@ def _keys_with(shared, size: int, near: tuple[int, int]):
     return keys
 
 
-def _sets_of(size: int, shared=None):
+def _packed(values: np.ndarray) -> bytes:
+    """A set in ascending order, of large ones all bits of their elements and of others the upper half."""
+    return (values.tobytes() if len(values) > NARROW else (values >> np.uint64(32)).astype(np.uint32).tobytes())
+
+
+def _shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """How many elements two packed sets of n and m have in common."""
+    a, b = (np.frombuffer(v, np.uint64 if k > NARROW else np.uint32) for v, k in ((x, n), (y, m)))
+    if a.dtype != b.dtype:
+        a, b = ((v >> np.uint64(32)).astype(np.uint32) if v.dtype == np.uint64 else v for v in (a, b))
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _sets_of(size: int, shared):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if shared is not None:
-                batch = batch.filter(pa.array(shared.value[batch.column("slot").to_numpy()]))
+            batch = batch.filter(pa.array(shared.value[batch.column("slot").to_numpy()]))
             for part in text_chunks([batch]):
                 found, node = _sets(part, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, _lists(found)], ["doc_id", "node", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, pa.array(list(map(_packed, found)), pa.binary())], ["doc_id", "node", "hashes"])
 
     return sets
 
 
-def _sets_of_nodes(narrow: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the rows (node, least) of ``wanted``. A bitmap of fixed size tells most other texts, so texts aren't shuffled."""
+def _hashes_of(size: int):
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            yield pa.RecordBatch.from_arrays([_lists(_sets(batch, size)[0])], ["hashes"])
+
+    return hashes
+
+
+def _compare(near: tuple[int, int]):
+    p, q = near
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("center", "node", "n", "hashes")), strict=True)]
+        centers = {c: (n, x) for c, node, n, x in rows if c == node}
+        found = []
+        for c, node, n, x in rows:
+            if c != node:
+                m, y = centers[c]
+                if _shared(x, y, n, m) * (p + q) >= (n + m) * p:
+                    found.append((node, c))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+    return compare
+
+
+def _verified(narrow: DataFrame, facts: DataFrame, pairs: DataFrame, size: int, near: tuple[int, int]) -> DataFrame:
+    """Links (u, v) of those pairs (a, b) of nodes whose sets are near. ``facts``: (node, least, n, bits).
+
+    Each b's set goes to a's once; an a of many b is dealt out in parts. A bitmap of
+    fixed size tells most texts of no pair, so these are neither hashed nor shuffled.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).alias("parts"))
+    members = pairs.join(many, "a").select(F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    tags = members.unionByName(many.select(F.col("a").alias("node"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    wanted = materialize(wanted, "wanted")
-    at = wanted.select(slot(F.col("least")).alias("at"))
+    tags = materialize(tags.join(facts.select("node", F.col("least").alias("doc_id"), "n"), "node"), "wanted")
+    at = tags.select(slot(F.col("doc_id")).alias("at"))
     words = at.groupBy(F.shiftright("at", 15).alias("word")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
     marked = np.zeros(SLOTS, bool)
     for word, bits in words.collect():
         marked[word << 15 : (word + 1) << 15] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little").astype(bool)
     shared = narrow.sparkSession.sparkContext.broadcast(marked)
+    # rows that share a doc_id may have other sets, and rows that share a set other ids; copies of a row bring the same links again
     sets = narrow.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(_sets_of(size, shared), _SETS)
-    return materialize(sets.join(wanted.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi").select("node", "hashes"), "shingle-sets")
+    dealt = sets.join(tags, ["node", "doc_id"]).select("center", "part", "node", "n", "hashes").repartition("center", "part")
+    found = materialize(dealt.mapInArrow(_compare(near), "u long, v long"), "near")
+    discard(tags)
+    return found
 
 
 def _common(narrow: DataFrame, size: int) -> np.ndarray:
     total = narrow.count()
     sample = narrow.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_DOCS / max(total, 1))))
-    counted = sample.mapInArrow(_sets_of(size), _SETS).select(F.explode("hashes").alias("h")).groupBy("h").count()
+    counted = sample.mapInArrow(_hashes_of(size), "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
     found = counted.where(F.col("count") >= COMMON).orderBy(F.col("count").desc()).limit(MOST_COMMON).select("h").toArrow()
     return np.sort(found.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct rows (key, node) whose key has two nodes or more; a task has all rows of its keys."""
+def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray] | None:
     parts = [b for b in batches if b.num_rows]
-    if not parts:
+    return [np.concatenate([b.column(c).to_numpy() for b in parts]) for c in names] if parts else None
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of keys with two nodes or more the distinct rows (key, node), with star false, and with star true (least node, other node); a task has all rows of its keys."""
+    found = _columns(batches, ("key", "node"))
+    if not found:
         return
-    key, node = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("key", "node"))
+    key, node = found
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     other = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))  # copies bring the same rows
     key, node = key[other], node[other]
     same = key[1:] == key[:-1]
     keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
+    key, node = key[keep], node[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), pa.array(key), pa.array(node)], ["star", "x", "y"])
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    least = node[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else node
+    stars = np.unique(np.column_stack((least[~new], node[~new])), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(stars), bool)), pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["star", "x", "y"])
 
 
-def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
+def _fits(near: tuple[int, int], n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m elements with these bitmaps can be near."""
     p, q = near
+    # sets near enough differ in at most (n + m) (q - p) / (q + p) elements
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (q * np.minimum(n, m) >= p * np.maximum(n, m)) & (apart * (q + p) <= (n + m) * (q - p))
+
+
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _fitting(near: tuple[int, int]):
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fits = _fits(near, b.column("n").to_numpy(), b.column("m").to_numpy(), _bitmaps(b.column("x")), _bitmaps(b.column("y")))
+                yield b.select(["a", "b"]).filter(pa.array(fits))
+
+    return fitting
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, node, root) whose key has two roots or more; a task has all rows of its keys."""
+    found = _columns(batches, ("key", "node", "root"))
+    if not found:
+        return
+    key, node, root = found
+    order = np.argsort(key, kind="stable")
+    key, node, root = key[order], node[order], root[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    keep = np.repeat(np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin), size)
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, root)], ["key", "node", "root"])
 
-    def close(a, b, n, bits):
-        # sets near enough differ in at most (n + m) (q - p) / (q + p) elements
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        return (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])) & (apart * (q + p) <= (n[a] + n[b]) * (q - p))
 
+def _pairs_with(near: tuple[int, int], step: int = 1 << 16):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
-        if not parts:
+        found = _columns(iter(parts), ("key", "node", "n", "root"))
+        if not found:
             return
-        key, node, n, root = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("key", "node", "n", "root"))
-        bits = np.frombuffer(b"".join(x for b in parts for x in b.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        key, node, n, root = found
+        bits = np.concatenate([_bitmaps(b.column("bits")) for b in parts])
         order = np.lexsort((node, key))
         key, node, n, root, bits = key[order], node[order], n[order], root[order], bits[order]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         end = np.append(begin[1:], len(key))
         rows = np.arange(len(key))
-        bucket = np.searchsorted(begin, rows, "right") - 1
-        # a row meets those after it in its bucket, or, in the first round, its bucket's first row meets them
-        others = np.where((rows == begin[bucket]) | every, end[bucket] - rows - 1, 0)
-        if every:
-            mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
-            others = np.where(mixed[bucket], others, 0)
+        others = end[np.searchsorted(begin, rows, "right") - 1] - rows - 1  # a row meets those after it in its bucket
         ahead = np.concatenate(([0], np.cumsum(others)))
         for start in range(0, int(ahead[-1]), step):
             at = np.arange(start, min(start + step, int(ahead[-1])))
@@ -161,7 +248,7 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
             b = a + 1 + at - ahead[a]
             unlinked = root[a] != root[b]
             a, b = a[unlinked], b[unlinked]
-            fit = close(a, b, n, bits)
+            fit = _fits(near, n[a], n[b], bits[a], bits[b])
             if fit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(node[a[fit]]), pa.array(node[b[fit]])], ["a", "b"])
 
@@ -181,24 +268,26 @@ def resembling(docs: DataFrame, size: int = SIZE, near: tuple[int, int] = NEAR)
     shared = spark.sparkContext.broadcast(_common(narrow, size))
     prints = materialize(narrow.mapInArrow(_keys_with(shared, size, near), f"doc_id long, {_ROWS}, keys array<long>"), "shingles")
     # equal sets are one node, and its least doc_id stands for it
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "shingle-nodes")
-    met = prints.select(F.explode("keys").alias("key"), "node").repartition("key").mapInArrow(_several, "key long, node long")
-    met = materialize(met.join(prints.select("node", "n", "bits").dropDuplicates(["node"]), "node"), "shared-shingles")
+    facts = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-nodes")
+    rows = materialize(prints.select("doc_id", "node"), "shingle-rows")
+    met = materialize(prints.select(F.explode("keys").alias("key"), "node").repartition("key").mapInArrow(_several, "star boolean, x long, y long"), "shared-shingles")
+    discard(prints)
     # a doc_id of several rows joins their nodes
-    several = prints.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id", "low")
-    links = prints.join(several, "doc_id").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    roots = None
-    for every in (False, True):
-        known = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = known.select("key", "node", "n", "bits", "root").repartition("key").mapInArrow(_pairs_with(near, every), "a long, b long").distinct()
-        found = materialize(found, "shingle-pairs")
-        sets = _sets_of_nodes(narrow, nodes.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), size)
-        found = found.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        exact = common * (near[0] + near[1]) >= (F.size("x") + F.size("y")) * near[0]
-        links = links.unionByName(found.where(exact).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        roots = components(links)
-        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    rooted = prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("doc_id", "low")
+    own = rows.join(several, "doc_id").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    # each node with the least that it meets and may be near to
+    stars = met.where("star").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    stars = stars.join(facts.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    stars = materialize(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_fitting(near), "a long, b long").groupBy("b").agg(F.min("a").alias("a")), "stars")
+    roots = components(own.unionByName(_verified(narrow, facts, stars, size, near)))
+    # then all that meet and have no link yet
+    keyed = met.where("not star").select(F.col("x").alias("key"), F.col("y").alias("node")).join(roots, "node", "left")
+    mixed = keyed.select("key", "node", F.coalesce("root", "node").alias("root")).repartition("key").mapInArrow(_mixed, "key long, node long, root long")
+    mixed = materialize(mixed.join(facts.select("node", "n", "bits"), "node"), "mixed-shingles")
+    discard(met)
+    pairs = materialize(mixed.repartition("key").mapInArrow(_pairs_with(near), "a long, b long").distinct(), "shingle-pairs")
+    links = _verified(narrow, facts, pairs, size, near)
+    roots = components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    rooted = rows.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "component_id")
