@@ -39,10 +39,6 @@ def word_count(c: Column) -> Column:
     return F.size(word_list(c)).cast("long")
 
 
-def _normalize_line(line: Column) -> Column:
-    return F.when(line.startswith("    ") | line.startswith("\t"), rstrip(line)).otherwise(strip(F.when(line.contains("  ") | line.contains("\t"), F.regexp_replace(line, "[ \t]+", " ")).otherwise(line)))
-
-
 def normalize_text(text: str) -> str:
     """Canonical form of a text: NFC, LF line ends, no blank lines around, prose lines with single blanks; code keeps its inner and leading white space."""
     out, fenced = [], False
@@ -56,16 +52,19 @@ def normalize_text(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def _normalize_rare(texts: pd.Series) -> pd.Series:
+def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 
 
+def is_canonical(c: Column) -> Column:
+    """Whether a text surely is in canonical form as it is: in NFC because all is below U+0300, nothing to strip, and no fence."""
+    return ~c.rlike(r"[^\x00-\x{2ff}]|(?:```|~~~)") & ~c.rlike(_LOOSE)
+
+
 def normalize(c: Column) -> Column:
-    """``normalize_text`` as an expression. Texts below U+0300 are in NFC as they are; only others, and fenced ones, go through Python."""
-    rare = c.rlike(r"[^\x00-\x{2ff}]|(?:```|~~~)")
-    lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n", -1)
-    plain = F.regexp_replace(F.array_join(F.transform(lines, _normalize_line), "\n"), r"\A\n+|\n+\z", "")
-    return F.when(rare, _normalize_rare(F.when(rare, c))).when(~c.rlike(_LOOSE), c).otherwise(plain)
+    """``normalize_text`` as an expression. Texts that are canonical as they are never reach Python; the others go there in Arrow batches."""
+    plain = is_canonical(c)
+    return F.when(plain, c).otherwise(_normalized(F.when(~plain, c)))
 
 
 def singular(token: Column) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -15,20 +21,62 @@ class DataQualityError(ValueError):
     """A relation breaks a rule that it has to keep."""
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, source, and document_id and explicit_split if they exist) with raw and canonical fingerprints, and derived ids where none is given.
-
-    Rows whose text is null or blank are invalid documents and left out; ``invalid``
-    lists them.
+_BLANK, _NAMELESS = "a document's text is blank", "a document's field has a blank name"
+
+
+def _identities(names: list[str], blank: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, fields, sources, ids, ready = (batch.column(f"c{i}").to_pylist() for i in range(len(names) - 5, len(names)))
+            keep, canonical, raw, clean, derived = [], [], [], [], []
+            for i, (text, own, source, given, is_canonical) in enumerate(zip(texts, fields, sources, ids, ready, strict=True)):
+                normal = text if is_canonical else T.normalize_text(text or "")
+                if not normal:
+                    if blank == "fail":
+                        raise DataQualityError(_BLANK)
+                    continue
+                pairs = {k.strip(): v for k, v in sorted(own or ())}
+                if "" in pairs:
+                    raise DataQualityError(_NAMELESS)
+                content = {"text": normal, "fields": {k: T.normalize_text(v) for k, v in pairs.items()}}
+                keep.append(i)
+                canonical.append(normal)
+                raw.append(_sha({"text": text, "fields": pairs}))
+                clean.append(_sha(content))
+                derived.append(given if given is not None else "doc-" + _sha({"source": source, "content": content})[:24] if source is not None else None)
+            out = batch.take(pa.array(keep, pa.int64()))
+            kept = out.columns[: len(names) - 5]
+            added = [pa.array(x, pa.string()) for x in (derived, canonical, raw, clean)]
+            yield pa.RecordBatch.from_arrays([*kept, *added], [f"c{i}" for i in range(len(kept) + 4)])
+
+    return run
+
+
+def _sha(value: dict) -> str:
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def identify(docs: DataFrame, blank: str = "fail") -> DataFrame:
+    """``docs`` (text, source, and document_id, explicit_split and the map fields if they exist) with canonical_text, raw and canonical fingerprints, and derived ids where none is given.
+
+    A fingerprint is that of the text and the named fields, raw as they are or in
+    canonical form. A document whose text is null or blank is an error, or with
+    ``blank="drop"`` left out; ``invalid`` lists them. One pass over the texts in Arrow
+    batches; those that are canonical as they are aren't normalized again.
     """
+    if blank not in ("fail", "drop"):
+        raise ValueError("blank is fail or drop")
     for name in ("document_id", "explicit_split"):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast("string"))
-    canonical = docs.withColumn("canonical_text", T.normalize(F.col("text"))).where(F.col("canonical_text") != "")
-    empty = F.lit("{}")
-    raw, clean = (T.json_object(text=T.json_string(F.col(c)), fields=empty) for c in ("text", "canonical_text"))
-    derived = F.concat(F.lit("doc-"), F.substring(T.digest(T.json_object(source=T.json_string(T.logical_name(F.col("source"))), content=clean)), 1, 24))
-    return canonical.withColumns({"raw_fingerprint": T.digest(raw), "canonical_fingerprint": T.digest(clean), "document_id": F.coalesce(T.strip(F.col("document_id")), derived)})
+    others = [c for c in docs.columns if c not in ("document_id", "canonical_text", "raw_fingerprint", "canonical_fingerprint")]
+    own = F.map_entries("fields").cast("array<struct<key:string,value:string>>") if "fields" in docs.columns else F.lit(None).cast("array<struct<key:string,value:string>>")
+    own = F.transform(own, lambda e: F.array(e["key"], e["value"]))
+    given = [F.col("text"), own, T.logical_name(F.col("source")), T.strip(F.col("document_id")), T.is_canonical(F.col("text"))]
+    narrow = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], *[c.alias(f"c{len(others) + i}") for i, c in enumerate(given)])
+    schema = StructType([*[StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)], *[StructField(f"c{len(others) + i}", StringType()) for i in range(4)]])
+    found = narrow.mapInArrow(_identities(narrow.columns, blank), schema)
+    return found.toDF(*others, "document_id", "canonical_text", "raw_fingerprint", "canonical_fingerprint")
 
 
 def invalid(docs: DataFrame) -> DataFrame:
@@ -40,6 +88,9 @@ def invalid(docs: DataFrame) -> DataFrame:
         "unknown split": ~F.coalesce(F.col("explicit_split"), F.lit(TRAIN)).isin(TRAIN, VALIDATION),
         "bad source": T.logical_name(F.col("source")).isNull(),
     }
+    if "fields" in docs.columns:
+        rules["blank field name"] = F.exists(F.map_keys("fields"), lambda k: T.strip(k) == "")
+        rules["null field"] = F.exists(F.map_values("fields"), lambda v: v.isNull())
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
     return docs.select("document_id", F.explode(broken).alias("rule"))
 
@@ -80,6 +131,12 @@ def ambiguous_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("document_id").agg(F.count_distinct("canonical_fingerprint").alias("contents")).where("contents > 1")
 
 
+def require_unique_ids(docs: DataFrame, shown: int = 20) -> None:
+    """An error that names ids, the first in order, if any stands for more than one content."""
+    if found := [r.document_id for r in ambiguous_ids(docs).orderBy("document_id").limit(shown).collect()]:
+        raise DataQualityError(f"ids that stand for several contents: {', '.join(found)}")
+
+
 def conflicting_splits(groups: DataFrame) -> DataFrame:
     """Groups whose members ask for different splits."""
     return groups.where("explicit_split <> other_split").select("canonical_fingerprint", "members")
@@ -102,16 +159,20 @@ def split_hash(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(str(SPLIT_VERSION)), nul, F.lit(str(seed)), nul, key), 256)
 
 
-def assign_splits(groups: DataFrame, seed: int, ratio: float) -> DataFrame:
-    """``groups`` with ``split``: the explicit one, or else by hash. A side that would stay empty gets the group of least, or greatest, hash among those without an explicit split."""
+def assign_splits(groups: DataFrame, seed: int, ratio: float, fail_below_two: bool = False) -> DataFrame:
+    """``groups`` with ``split``: the explicit one, or else by hash. A side that would stay empty gets the group of least, or greatest, hash among those without an explicit split. With ``fail_below_two`` fewer than two groups are an error."""
     if isinstance(seed, bool) or not isinstance(seed, int) or not 0 < ratio < 1:
         raise ValueError("the seed is an integer and the ratio lies between 0 and 1")
-    hashed = groups.withColumn("_hash", split_hash(F.col("canonical_fingerprint"), seed))
-    hashed = hashed.withColumn("split", F.coalesce("explicit_split", F.when(F.col("_hash") < split_threshold(ratio), VALIDATION).otherwise(TRAIN)))
-    free = F.when(F.col("explicit_split").isNull(), F.struct("_hash", "canonical_fingerprint"))
-    ends = hashed.agg(F.count_if(F.col("split") == VALIDATION).alias("v"), F.count_if(F.col("split") == TRAIN).alias("t"), F.min(free).alias("lo"), F.max(free).alias("hi"))
-    forced = F.when((F.col("v") == 0) & (F.col("canonical_fingerprint") == F.col("lo.canonical_fingerprint")), VALIDATION).when((F.col("t") == 0) & (F.col("canonical_fingerprint") == F.col("hi.canonical_fingerprint")), TRAIN)
-    return hashed.join(F.broadcast(ends)).withColumn("split", F.coalesce(forced, "split")).drop("_hash", "v", "t", "lo", "hi")  # one row is joined
+    kept = F.struct(*[F.col(f"`{c}`") for c in groups.columns if c != "split"]).alias("row")
+    own, key = F.col("row.explicit_split"), F.col("row.canonical_fingerprint")
+    hashed = groups.select(kept).withColumn("hash", split_hash(key, seed))
+    hashed = hashed.withColumn("split", F.coalesce(own, F.when(F.col("hash") < split_threshold(ratio), VALIDATION).otherwise(TRAIN)))
+    free = F.when(own.isNull(), F.struct(F.col("hash"), key.alias("key")))
+    ends = hashed.agg(F.count("*").alias("n"), F.count_if(F.col("split") == VALIDATION).alias("v"), F.count_if(F.col("split") == TRAIN).alias("t"), F.min(free).alias("lo"), F.max(free).alias("hi"))
+    if fail_below_two:
+        ends = ends.withColumn("v", F.when(F.col("n") >= 2, F.col("v")).otherwise(F.raise_error(F.lit("a split needs two groups at least"))))
+    forced = F.when((F.col("v") == 0) & (key == F.col("lo.key")), VALIDATION).when((F.col("t") == 0) & (key == F.col("hi.key")), TRAIN)
+    return hashed.join(F.broadcast(ends)).withColumn("split", F.coalesce(forced, "split")).select("row.*", "split")  # one row is joined
 
 
 def leakage(train: DataFrame, validation: DataFrame) -> DataFrame:
@@ -130,8 +191,3 @@ def family_splits(groups: DataFrame, seed: int, ratio: float) -> DataFrame:
     low = (F.col("v") == 0) & (F.col("group_id") == F.col("lo.group_id"))
     high = (F.col("v") == F.col("n")) & (F.col("n") > 1) & (F.col("group_id") == F.col("hi.group_id"))
     return joined.select("family", "group_id", F.when(low, VALIDATION).when(high, TRAIN).otherwise(F.col("split")).alias("split"))
-
-
-def first_of(docs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in order."""
-    return docs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -24,10 +24,14 @@ def secrets(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.select(*keys, F.explode(hits).alias("pattern"))
 
 
+#: Numbered labels, and the ordinary word.
+LABELS = {"check_labels": r"\bCheck\s+\d+\b", "example_labels": r"\bExample\s+\d+\b", "ordinary": r"(?i)\bcheck\b"}
+
+
 def label_counts(docs: DataFrame, by: str) -> DataFrame:
     """Numbered labels and the ordinary word, by source."""
     n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
-    return docs.groupBy(by).agg(n(r"\bCheck\s+\d+\b").alias("check_labels"), n(r"\bExample\s+\d+\b").alias("example_labels"), n(r"(?i)\bcheck\b").alias("ordinary"))
+    return docs.groupBy(by).agg(*[n(p).alias(name) for name, p in LABELS.items()])
 
 
 def phrase_hits(docs: DataFrame, by: str, phrases: list[str]) -> DataFrame:
@@ -36,10 +40,12 @@ def phrase_hits(docs: DataFrame, by: str, phrases: list[str]) -> DataFrame:
     return docs.select(by, F.inline(counts)).groupBy(by, "phrase").agg(F.sum("hits").alias("hits")).where("hits > 0")
 
 
-def forbidden(docs: DataFrame, rules: DataFrame, category: str) -> DataFrame:
-    """Rows of ``docs`` with the phrases of ``rules`` (phrase, allowed) that they hold, but in the allowed category. The rules are few and are broadcast."""
-    joined = docs.join(F.broadcast(rules), F.contains(F.lower("text"), F.lower("phrase")) & ~F.col(category).eqNullSafe(F.col("allowed")))
-    return joined.select(*docs.columns, "phrase")
+def forbidden(docs: DataFrame, rules: list[tuple[str, str | None]], category: str) -> DataFrame:
+    """Rows of ``docs`` with the phrase of each rule (phrase, allowed category) that they break; in the allowed category they don't. A column ``phrase`` is replaced."""
+    low = F.lower("text")
+    broken = [F.when(F.contains(low, F.lit(phrase.lower())) & ~F.col(category).eqNullSafe(F.lit(allowed)), F.lit(phrase)) for phrase, allowed in rules]
+    kept = [c for c in docs.columns if c != "phrase"]
+    return docs.select(*kept, F.explode(F.array_compact(F.array(*broken))).alias("phrase"))
 
 
 def keyword_class(c: Column, classes: dict[str, list[str]]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,52 +11,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .documents import DataQualityError
 
 FULL, FIELD, SUBSTRING = "full-document", "field-exact", "normalized-substring"
 THRESHOLD = 0.82
 #: Characters of prompts that are searched for at once; more are taken in blocks.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 1_000_000
+#: Rows of a batch that a task searches at once.
+SEARCHED = 256
 
 
-def _search(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_automata: dict[str, object] = {}
+
+
+def _search(shared, token: str):
+    def automaton():
+        """Built once a worker for each block; a worker keeps the last one."""
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for text, ids in shared.value.items():
-            automaton.add_word(text, (text, ids))
-        automaton.make_automaton()
-        for batch in batches:
-            rows, prompt, whole = [], [], []
-            for i, text in enumerate(batch.column("_part").to_pylist()):
-                for found, ids in {v[0]: v[1] for _, v in automaton.iter(text or "")}.items():
-                    rows += [i] * len(ids)
-                    prompt += ids
-                    whole += [len(found) == len(text)] * len(ids)
-            out = batch.take(pa.array(rows, pa.int64())).drop_columns(["_part"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(prompt, pa.string()), pa.array(whole, pa.bool_())], [*out.schema.names, "prompt_id", "_whole"])
+        if token not in _automata:
+            made = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                made.add_word(text, (text, ids))
+            made.make_automaton()
+            _automata.clear()
+            _automata[token] = made
+        return _automata[token]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, SEARCHED):
+                batch = whole_batch.slice(start, SEARCHED)
+                rows, prompt, whole = [], [], []
+                for i, text in enumerate(batch.column("_part").to_pylist()):
+                    for found, ids in {v[0]: v[1] for _, v in automaton().iter(text or "")}.items() if shared.value else ():
+                        rows += [i] * len(ids)
+                        prompt += ids
+                        whole += [len(found) == len(text)] * len(ids)
+                out = batch.take(pa.array(rows, pa.int64())).drop_columns(["_part"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(prompt, pa.string()), pa.array(whole, pa.bool_())], [*out.schema.names, "prompt_id", "_whole"])
 
     return run
 
 
+def repeated_prompts(prompts: DataFrame) -> DataFrame:
+    """(prompt_id, rows) of prompt ids that occur more than once."""
+    return prompts.groupBy("prompt_id").agg(F.count("*").alias("rows")).where("rows > 1")
+
+
 def contamination(docs: DataFrame, prompts: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(prompt_id, suite, document_id, source, match_type, document_fingerprint) of prompts that occur in documents.
 
     ``docs`` are identified documents, with further text columns ``fields``;
     ``prompts`` has prompt_id, suite, text. Texts are compared in canonical form,
-    with case. Of a document's texts the strongest match counts, and of rows that
+    with case. If ``docs`` has the map ``fields``, its values are searched, too. Of a
+    document's texts the strongest match counts, and of rows that
     share an id and source the one of greatest raw fingerprint. All prompts
     are searched for in one pass over a text; blank ones are left out, as they
-    would match everything.
+    would match everything. A repeated prompt_id is an error.
     """
+    if found := [r.prompt_id for r in repeated_prompts(prompts).orderBy("prompt_id").limit(5).collect()]:
+        raise DataQualityError(f"repeated prompt ids: {', '.join(map(str, found))}")
     fields = fields or []
     listed = prompts.select("prompt_id", "suite", T.normalize(F.col("text")).alias("text")).where("text <> ''")
     parts = F.array(F.struct(F.lit(False).alias("field"), F.col("canonical_text").alias("text")), *[F.struct(F.lit(True).alias("field"), T.normalize(F.col(c)).alias("text")) for c in fields])
-    narrow = docs.select("document_id", "source", "raw_fingerprint", "canonical_fingerprint", F.explode(parts).alias("p")).select("document_id", "source", "raw_fingerprint", "canonical_fingerprint", F.col("p.field").alias("_field"), F.col("p.text").alias("_part"))
+    identity = ["document_id", "source", "raw_fingerprint", "canonical_fingerprint"]
+    if "fields" in docs.columns:
+        # each value is a row of its own before it is normalized, as that may need Python
+        values = docs.select(*identity, F.explode(F.map_values("fields")).alias("v")).select(*identity, F.lit(True).alias("_field"), T.normalize(F.col("v")).alias("_part"))
+    narrow = docs.select(*identity, F.explode(parts).alias("p")).select("document_id", "source", "raw_fingerprint", "canonical_fingerprint", F.col("p.field").alias("_field"), F.col("p.text").alias("_part"))
+    if "fields" in docs.columns:
+        narrow = narrow.unionByName(values)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_part") + ", prompt_id string, _whole boolean"
     found = None
     for block in _blocks(listed):
-        part = narrow.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block)), schema)
+        part = narrow.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex), schema)
         found = part if found is None else found.unionByName(part)
     kind = F.when(F.col("_whole") & ~F.col("_field"), 0).when(F.col("_whole"), 1).otherwise(2)
     best = found.groupBy("prompt_id", "document_id", "source", "raw_fingerprint", "canonical_fingerprint").agg(F.min(kind).alias("kind"))
@@ -75,6 +106,50 @@ def _blocks(prompts: DataFrame) -> Iterator[dict[str, list[str]]]:
     yield block
 
 
+def _cover(shared, token: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        if token not in _automata:
+            made = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                made.add_word(text, ids)
+            made.make_automaton()
+            listed = list(shared.value.items())
+            begins, joined = [], []
+            for text, _ in listed:
+                begins.append(sum(map(len, joined[-1:])) + (begins[-1] if begins else 0))
+                joined.append(text + "\0")
+            _automata.clear()
+            _automata[token] = made, listed, begins, "".join(joined)
+        made, listed, begins, joined = _automata[token]
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                hit = {i for _, ids in made.iter(text) for i in ids} if listed else set()
+                at = joined.find(text)
+                while at >= 0:
+                    k = bisect_right(begins, at) - 1
+                    hit.update(listed[k][1])
+                    at = joined.find(text, begins[k] + len(listed[k][0]))
+                found += hit
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["prompt_id"])
+
+    return run
+
+
+def covered(texts: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(prompt_id, turns): how many different texts hold each prompt or lie in it, both in canonical form and lower case. Blank ones count nowhere; prompts without any are left out."""
+    spark = texts.sparkSession
+    form = F.lower(T.normalize(F.col("text")))
+    each = texts.select(form.alias("text")).where("text <> ''").distinct()
+    found = None
+    for block in _blocks(prompts.select("prompt_id", form.alias("text")).where("text <> ''")):
+        part = each.mapInArrow(_cover(spark.sparkContext.broadcast(block), uuid.uuid4().hex), "prompt_id string")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("prompt_id").agg(F.count("*").alias("turns"))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Likeness of two token arrays, 0 to 1: the greatest of the Dice coefficients of sets and of bags, and of containment. ``a`` is the shorter of equally long ones.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.arrays import once
 
@@ -13,21 +16,33 @@ UNKNOWN, BEGIN, STOP, PAD, IGNORED = 0, 1, 2, 3, -100
 FIRST_BYTE = 4
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _byte_ids(texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.binary())
+    first, last = texts.offset, texts.offset + len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[first : last + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(data.astype(np.int32) + FIRST_BYTE), mask=texts.is_null())
+
+
 def byte_ids(c: Column) -> Column:
-    """A text's UTF-8 bytes as ids: a tokenizer that needs no model."""
-    # as Latin-1, each byte is one character
-    each = F.filter(F.split(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), ""), lambda x: x != "")
-    return F.transform(each, lambda x: F.ascii(x) + FIRST_BYTE)
+    """A text's UTF-8 bytes as ids: a tokenizer that needs no model. Whole batches of texts are one addition."""
+    return _byte_ids(c)
 
 
 def encode(c: Column, begin: bool = True, stop: bool = True) -> Column:
     return F.concat(F.array(*[F.lit(BEGIN)] * begin).cast("array<int>"), byte_ids(c), F.array(*[F.lit(STOP)] * stop).cast("array<int>"))
 
 
+#: Fixed value: how an unknown id reads.
+UNKNOWN_TEXT = " \u2047 "
+
+
 def decode(ids: Column, vocabulary: int = 256 + FIRST_BYTE) -> Column:
-    """Text of byte ids; special and unknown ids leave nothing."""
-    known = F.filter(ids, lambda i: (i >= FIRST_BYTE) & (i < vocabulary))
-    return F.decode(F.unhex(F.array_join(F.transform(known, lambda i: F.lpad(F.hex(i - FIRST_BYTE), 2, "0")), "")), "UTF-8")
+    """Text of byte ids; begin, stop and padding leave nothing, and ids out of range read as the unknown id does."""
+    unknown = F.lit(UNKNOWN_TEXT.encode().hex())
+    one = lambda i: F.when((i >= FIRST_BYTE) & (i < vocabulary), F.lpad(F.hex(i - FIRST_BYTE), 2, "0")).when(i.isin(BEGIN, STOP, PAD), "").otherwise(unknown)
+    return F.decode(F.unhex(F.array_join(F.transform(ids, one), "")), "UTF-8")
 
 
 def vocabulary_target(chars: int, requested: int) -> int:

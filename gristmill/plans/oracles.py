@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import RATIO, SEED
+RATIO, SEED = 1.0 - 0.9, 1337
 
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 O: dict[str, str] = {}
@@ -54,12 +54,12 @@ VARS = f"{BASE}, twice AS (SELECT document_id, text, source FROM base UNION ALL
 GROUPS = "ranked AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY document_id, source, raw) AS rn FROM docs), groups AS (SELECT fp, min(document_id) FILTER (rn = 1) AS rep, count(*) AS members, count(*) - count(DISTINCT raw) AS raw_dups FROM ranked GROUP BY fp)"
 
 
+#: The least numbers of 256 bits whose shares reach the ratios used, in double precision: a share rounds up to a ratio from half of its last place on.
+THRESHOLDS = {0.09999999999999998: "1999999999999780000000000000000000000000000000000000000000000000", 0.1: "1999999999999980000000000000000000000000000000000000000000000000", 1e-09: "000000044b82fa09b5a520000000000000000000000000000000000000000001", 0.999999999: "fffffffbb47d0400000000000000000000000000000000000000000000000001"}
+
+
 def threshold(ratio: float) -> str:
-    lo, hi = 0, 1 << 256
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if mid / float(1 << 256) >= ratio else (mid + 1, hi)
-    return f"{lo:064x}"
+    return THRESHOLDS[ratio]
 
 
 def split_hash(key: str, seed: int) -> str:
@@ -120,14 +120,15 @@ def near(left: str, right: str | None) -> str:
 
 
 O["near_duplicates_vs_benchmark"] = cte(f"d AS (SELECT {KEY} AS id, text FROM documents)", "b AS (SELECT 'bench.' || item_id AS id, text FROM benchmark)", near("d", "b")) + "SELECT * FROM near WHERE similarity >= 0.82"
-_T = "t AS (SELECT 'turn.' || conv_id || '.' || turn AS id, text FROM conversations)"
+_T = "one AS (SELECT 'turn.' || conv_id || '.' || turn AS id, text, conv_id FROM conversations), t AS (SELECT id, text FROM one UNION ALL SELECT 'again.' || id, 'Well then, ' || text FROM one WHERE conv_id % 5 = 0)"
 O["near_duplicates_self"] = cte(_T, near("t", None)) + "SELECT * FROM near WHERE similarity >= 0.82"
 O["near_duplicate_members"] = cte(_T, near("t", None)) + f"SELECT t.id AS item_id, c.id AS rep FROM t JOIN c_t c ON array_to_string({toks('t.text')}, ' ') = c.j"
 _FAMILY = "CASE WHEN len(\"user\") < 60 THEN 'short' WHEN len(\"user\") < 200 THEN 'medium' ELSE 'long' END"
 _REC = f"rec AS (SELECT 'rec.' || conv_id || '.' || turn AS id, 'chat-v1/' || conv_id AS source, {_FAMILY} AS category, 'chat-v1:' || conv_id AS group_id, \"user\", assistant, {CHAT} AS text FROM pairs)"
-O["near_duplicate_review"] = cte(PAIRS, _REC, "u AS (SELECT id, \"user\" AS text FROM rec)", near("u", None)) + """SELECT left_id, right_id, similarity, a.category AS left_family, b.category AS right_family, a.group_id AS left_group, b.group_id AS right_group,
- CASE WHEN a.source = b.source OR (a.group_id = b.group_id AND a.group_id = 'chat-v1:0') THEN 'expected same-cluster variant' WHEN least(left_id, right_id) = 'rec.0.1' AND greatest(left_id, right_id) = 'rec.1.1' THEN 'legitimate cross-topic wording' ELSE 'rewrite required' END AS classification
- FROM near JOIN rec a ON a.id = left_id JOIN rec b ON b.id = right_id WHERE similarity >= 0.82"""
+_AGAIN = "both_rec AS (SELECT id, source, category, group_id, \"user\" FROM rec UNION ALL SELECT id || '.again', CASE WHEN c % 3 = 0 THEN source ELSE source || '/again' END, category, group_id || ':again', 'Well then, ' || \"user\" FROM (SELECT *, CAST(split_part(id, '.', 2) AS BIGINT) AS c FROM rec) WHERE c % 5 = 0)"
+O["near_duplicate_review"] = cte(PAIRS, _REC, _AGAIN, "u AS (SELECT id, \"user\" AS text FROM both_rec)", near("u", None)) + """SELECT left_id, right_id, similarity, a.category AS left_family, b.category AS right_family, a.group_id AS left_group, b.group_id AS right_group,
+ CASE WHEN a.source = b.source OR (a.group_id = b.group_id AND a.group_id = 'chat-v1:0') THEN 'expected same-cluster variant' WHEN greatest(left_id, right_id) = least(left_id, right_id) || '.again' AND CAST(split_part(left_id, '.', 2) AS BIGINT) % 3 = 1 THEN 'legitimate cross-topic wording' ELSE 'rewrite required' END AS classification
+ FROM near JOIN both_rec a ON a.id = left_id JOIN both_rec b ON b.id = right_id WHERE similarity >= 0.82"""
 O["similarity_cases"] = "SELECT * FROM (VALUES ('equal', 1.0), ('empty', 0.0), ('inside', 1.0), ('one word', 0.4), ('set', 1.0), ('order', 1.0), ('nine tenths', 1.0), ('same length', 0.75), ('none', 0.0)) v(\"case\", similarity)"
 O["conversation_pairs"] = cte(PAIRS) + "SELECT * FROM pairs"
 _field = lambda x: strip(f"replace(coalesce({x}, ''), chr(13) || chr(10), chr(10))")
@@ -153,11 +154,12 @@ O["sft_word_buckets"] = cte(PAIRS, f"n AS (SELECT len({words('assistant')}) AS n
 O["category_balance"] = "SELECT coalesce(a.lang, b.lang) AS category, coalesce(b.n, 0) AS expected, coalesce(a.n, 0) AS actual, coalesce(a.n, 0) = coalesce(b.n, 0) AS ok FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang) b ON a.lang = b.lang"
 O["label_quality_filter"] = "SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang"
 O["cross_dataset_overlap"] = cte(PAIRS, f"k AS (SELECT turn, array_to_string({toks('\"user\"')}, ' ') AS p, \"user\" || chr(1) || assistant AS c FROM pairs)") + "SELECT (SELECT count(DISTINCT p) FROM k WHERE turn < 3 AND p <> '') AS prompts, (SELECT count(DISTINCT c) FROM k WHERE turn < 3) AS conversations"
-O["prompt_coverage"] = cte(PROMPTS, f"t AS (SELECT {norm('text')} AS canon FROM conversations WHERE role = 'user')") + "SELECT prompt_id, count(t.canon) AS turns FROM prompts p LEFT JOIN t ON contains(t.canon, p.canon) GROUP BY prompt_id"
+O["prompt_coverage"] = cte(PROMPTS, f"t AS (SELECT DISTINCT lower({norm('text')}) AS canon FROM (SELECT text FROM conversations WHERE role = 'user' UNION ALL SELECT text FROM documents))") + "SELECT prompt_id, count(t.canon) AS turns FROM prompts p LEFT JOIN t ON t.canon <> '' AND (contains(t.canon, lower(p.canon)) OR contains(lower(p.canon), t.canon)) GROUP BY prompt_id"
+_S = "'One is on the shelf.'"
 _forms = {
-    "direct_definition": ("'Say in plain words what ' || p_name || ' is.'", "fact"), "scenario": ("s || ' What follows?'", "ex"), "comparison": ("'Set ' || p_name || ' against this view: All are alike.'", "'No, that is wrong. ' || fact"),
-    "misconception_correction": ("'Someone claims: \"All are alike.\" Put it right.'", "'No, that is wrong. ' || fact"), "why": ("'Why is ' || p_name || ' important? ' || s", "fact || ' So the behavior decides.'"),
-    "how": ("'How is ' || p_name || ' used? ' || s", "ex"), "command_oriented": ("'List the steps for ' || p_name || '. ' || s", "ex"), "example_request": ("'Show an example of ' || p_name || '.'", "ex"),
+    "direct_definition": ("p_name || ': what is meant?'", "fact"), "scenario": (f"{_S} || ' And now?'", "ex"), "comparison": ("p_name || ' or the opposite (All are alike.)?'", "fact || ' The opposite fails.'"),
+    "misconception_correction": ("'True or false: All are alike.'", "'False. ' || fact"), "why": (f"{_S} || ' What is ' || p_name || ' good for?'", "fact"),
+    "how": (f"{_S} || ' Which way does ' || p_name || ' work?'", "ex"), "command_oriented": ("p_name || ', step by step, please.'", "ex"), "example_request": ("'One case of ' || p_name || '?'", "ex"),
 }
 O["lesson_records"] = cte("l AS (SELECT *, 'One is on the shelf.' AS s, p_name || ' is ' || p_type || '.' AS fact, 'Take ' || p_name || '.' AS ex FROM part)", "r AS (" + " UNION ALL ".join(f"SELECT 'p' || p_partkey AS lid, p_brand, p_size, '{f}' AS prompt_form, {u} AS \"user\", {a} AS assistant FROM l" for f, (u, a) in _forms.items()) + ")") + f"SELECT 'lesson-v1.' || lid || '.' || prompt_form AS id, 'lesson-v1:' || p_brand || ':' || CASE WHEN p_size > 40 THEN 'large' ELSE lid END AS group_id, prompt_form, sha256({CHAT}) AS sha FROM r"
 O["capped_expansion"] = "WITH c AS (SELECT rpad(p_type, 80, '.') || p_name || r_name AS \"user\", p_brand AS assistant FROM part, region), h AS (SELECT *, sha256('7' || chr(1) || \"user\" || chr(1) || assistant) AS h FROM c), o AS (SELECT \"user\", arg_min(assistant, h) AS assistant, min(h) AS h FROM h GROUP BY \"user\"), n AS (SELECT *, row_number() OVER (PARTITION BY lower(left(\"user\", 80)) ORDER BY h, \"user\") AS rn FROM o) SELECT \"user\", assistant FROM n WHERE rn <= 8 ORDER BY h, \"user\" LIMIT 5000"
@@ -176,7 +178,7 @@ O["corpus_totals"] = "SELECT count(text) AS texts, CAST(sum(len(text)) AS BIGINT
 O["examples_by_source"] = f"SELECT source, count(*) AS documents, CAST(sum(len(text)) AS BIGINT) AS chars, max(len(text)) AS longest, round_even(avg(len({words('text')})), 3) AS mean_words FROM documents GROUP BY source"
 O["duplicate_excess"] = "SELECT 'documents' AS name, count(*) - count(DISTINCT text) AS excess FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'conversations', count(*) - count(DISTINCT text) FROM conversations WHERE text IS NOT NULL"
 O["top_repeats"] = "SELECT left(replace(value, chr(10), ' '), 120) AS value, n, first FROM (SELECT text AS value, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text ORDER BY n DESC, first LIMIT 5) WHERE n > 1"
-O["top_openings"] = "SELECT * FROM (SELECT array_to_string(regexp_extract_all(lower(text), '[a-z0-9'']+')[1:8], ' ') AS value, count(*) AS n, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1 ORDER BY n DESC, first LIMIT 20) WHERE n > 1"
+O["top_openings"] = "SELECT * FROM (SELECT value, count(*) AS n, min(k) AS first FROM (SELECT array_to_string(regexp_extract_all(lower(text), '[a-z0-9'']+')[1:8], ' ') AS value, k FROM (SELECT text, -1 - conv_id * 1000 - turn AS k FROM conversations UNION ALL SELECT text, doc_id FROM documents)) WHERE value <> '' GROUP BY 1 ORDER BY n DESC, first LIMIT 20) WHERE n > 1"
 _bytes = lambda x: f"list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: CAST('0x' || h AS INTEGER) + 4)"
 O["encode_documents"] = f"WITH e AS (SELECT doc_id, list_concat([1], {_bytes('text')}, [2]) AS ids FROM documents) SELECT doc_id, len(ids) AS ids, CAST(list_sum(list_transform(ids, lambda x, i: x * ((i - 1) % 97 + 1))) AS BIGINT) AS checksum FROM e"
 O["decode_round_trip"] = "SELECT TRUE AS same, count(*) AS turns FROM conversations"

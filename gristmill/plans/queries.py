@@ -28,14 +28,14 @@ def doc_key(c: str = "doc_id") -> Column:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.identify(table(spark, sf_dir, "documents").select(doc_key().alias("document_id"), "text", "source", "lang", "doc_id"))
+    return documents.identify(table(spark, sf_dir, "documents").select(doc_key().alias("document_id"), "text", "source", "lang", "doc_id"), "drop")
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, and all of them again with doubled blanks, CRLF line ends and blank lines around."""
     d = table(spark, sf_dir, "documents").select(doc_key().alias("document_id"), "text", "source", "lang")
     loose = F.concat(F.lit("\n \n"), F.replace(F.replace("text", F.lit("\n"), F.lit(" \r\n")), F.lit(" "), F.lit("  ")), F.lit("\n\t\n"))
-    return documents.identify(d.unionByName(d.withColumns({"document_id": F.replace("document_id", F.lit("doc-"), F.lit("var-")), "text": loose})))
+    return documents.identify(d.unionByName(d.withColumns({"document_id": F.replace("document_id", F.lit("doc-"), F.lit("var-")), "text": loose})), "drop")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def document_fingerprints(spark, d):
 
 @query
 def derived_document_ids(spark, d):
-    rows = documents.identify(table(spark, d, "documents").select("text", F.concat(F.lit("./corpus\\"), "source").alias("source"), "doc_id"))
+    rows = documents.identify(table(spark, d, "documents").select("text", F.concat(F.lit("./corpus\\"), "source").alias("source"), "doc_id"), "drop")
     return rows.select("doc_id", "document_id")
 
 
@@ -109,13 +109,13 @@ def removed_duplicate_groups(spark, d):
 
 @query
 def ambiguous_ids(spark, d):
-    rows = documents.identify(table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("document_id"), "text", "source"))
+    rows = documents.identify(table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("document_id"), "text", "source"), "drop")
     return documents.ambiguous_ids(rows)
 
 
 def _split_docs(spark, d, explicit: Column) -> DataFrame:
     rows = table(spark, d, "documents").select(doc_key().alias("document_id"), "text", "source", explicit.alias("explicit_split"))
-    return documents.identify(rows)
+    return documents.identify(rows, "drop")
 
 
 @query
@@ -236,15 +236,23 @@ def near_duplicate_members(spark, d):
 
 
 def _turns(spark, d) -> DataFrame:
-    return table(spark, d, "conversations").select(F.concat_ws(".", F.lit("turn"), "conv_id", "turn").alias("item_id"), "text")
+    """All turns, and of every fifth conversation all again with another beginning: near, but not equal."""
+    t = table(spark, d, "conversations").select(F.concat_ws(".", F.lit("turn"), "conv_id", "turn").alias("item_id"), "text", "conv_id")
+    again = t.where("conv_id % 5 = 0").select(F.concat(F.lit("again."), "item_id").alias("item_id"), F.concat(F.lit("Well then, "), "text").alias("text"), "conv_id")
+    return t.unionByName(again).select("item_id", "text")
 
 
 @query
 def near_duplicate_review(spark, d):
+    """Records and reworded ones, of the same source, of another one that is approved, and of another one that isn't."""
     r = records(spark, d)
-    classes, _ = overlap.token_classes(r.select(F.col("id").alias("item_id"), F.col("user").alias("text")))
-    approved = spark.createDataFrame([("rec.0.1", "rec.1.1")], "a string, b string")
-    return conversations.classify_near(overlap.near_pairs(classes), r, ["chat-v1:0"], approved)
+    conv = F.split("id", r"\.")[1].cast("long")
+    source = F.when(conv % 3 == 0, F.col("source")).otherwise(F.concat(F.col("source"), F.lit("/again")))
+    again = r.where(conv % 5 == 0).withColumns({"id": F.concat("id", F.lit(".again")), "user": F.concat(F.lit("Well then, "), "user"), "source": source, "group_id": F.concat("group_id", F.lit(":again"))})
+    both = r.unionByName(again)
+    classes, _ = overlap.token_classes(both.select(F.col("id").alias("item_id"), F.col("user").alias("text")))
+    approved = r.where(conv % 3 == 1).select(F.col("id").alias("a"), F.concat("id", F.lit(".again")).alias("b"))
+    return conversations.classify_near(overlap.near_pairs(classes), both, ["chat-v1:0"], approved)
 
 
 @query
@@ -333,10 +341,23 @@ def cross_dataset_overlap(spark, d):
 
 @query
 def prompt_coverage(spark, d):
-    """How many users' turns hold each benchmark item, in canonical form."""
-    turns = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(".", F.lit("turn"), "conv_id", "turn").alias("document_id"), F.lit("chat").alias("source"), "text")
-    found = overlap.contamination(documents.identify(turns), prompts(spark, d)).groupBy("prompt_id").agg(F.count("*").alias("turns"))
-    return prompts(spark, d).select("prompt_id").join(found, "prompt_id", "left").select("prompt_id", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"))
+    """How many different documents and users' turns hold each benchmark item or lie in it, whatever the case."""
+    texts = table(spark, d, "conversations").where("role = 'user'").select("text").unionByName(table(spark, d, "documents").select("text"))
+    items = prompts(spark, d)
+    return items.select("prompt_id").join(overlap.covered(texts, items), "prompt_id", "left").select("prompt_id", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"))
+
+
+#: A wording of this engine's own for every prompt form.
+LESSON_FORMS = [
+    ("direct_definition", "{focus}: what is meant?", "{fact}"),
+    ("scenario", "{situation} And now?", "{example}"),
+    ("comparison", "{focus} or the opposite ({misconception})?", "{fact} The opposite fails."),
+    ("misconception_correction", "True or false: {misconception}", "False. {fact}"),
+    ("why", "{situation} What is {focus} good for?", "{fact}"),
+    ("how", "{situation} Which way does {focus} work?", "{example}"),
+    ("command_oriented", "{focus}, step by step, please.", "{example}"),
+    ("example_request", "One case of {focus}?", "{example}"),
+]
 
 
 @query
@@ -346,7 +367,7 @@ def lesson_records(spark, d):
         F.lit("One is on the shelf.").alias("situation"), F.lit("All are alike.").alias("misconception"), F.concat(F.lit("Take "), F.col("p_name"), F.lit(".")).alias("example"),
         F.when(F.col("p_size") > 40, "large").alias("cluster"),
     )
-    return conversations.expand_lessons(p).select("id", "group_id", "prompt_form", F.sha2("text", 256).alias("sha"))
+    return conversations.expand_lessons(p, LESSON_FORMS, "lesson-v1").select("id", "group_id", "prompt_form", F.sha2("text", 256).alias("sha"))
 
 
 @query
@@ -391,7 +412,7 @@ def phrase_hits(spark, d):
 
 @query
 def forbidden_phrases(spark, d):
-    rules = spark.createDataFrame([("worthless", "en"), ("LICENSE", None), ("check", "fr")], "phrase string, allowed string")
+    rules = [("worthless", "en"), ("LICENSE", None), ("check", "fr")]
     return inspection.forbidden(table(spark, d, "documents").select("doc_id", "lang", "text"), rules, "lang").select("doc_id", "phrase")
 
 
@@ -426,8 +447,10 @@ def top_repeats(spark, d):
 
 @query
 def top_openings(spark, d):
-    c = table(spark, d, "conversations").select(T.opening(F.col("text")).alias("opening"), (F.col("conv_id") * 1000 + F.col("turn")).alias("key"))
-    return inspection.top_repeats(c, "opening", "key", 20)
+    """Openings of eight words over documents, which repeat, and turns, which hardly do."""
+    c = table(spark, d, "conversations").select(T.opening(F.col("text")).alias("opening"), (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("key"))
+    c = c.unionByName(table(spark, d, "documents").select(T.opening(F.col("text")).alias("opening"), F.col("doc_id").alias("key")))
+    return inspection.top_repeats(c.where("opening <> ''"), "opening", "key", 20)
 
 
 # tokens

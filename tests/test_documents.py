@@ -11,7 +11,7 @@ DOCS = "document_id string, text string, source string, explicit_split string"
 
 
 def make(spark, rows, parts=1):
-    return documents.identify(spark.createDataFrame(rows, DOCS).repartition(parts))
+    return documents.identify(spark.createDataFrame(rows, DOCS).repartition(parts), "drop")
 
 
 ROWS = [("b", "same text", "s", None), ("a", "same text", "s", None), ("c", "same  text \r\n", "s", None), ("d", "other", "s", None), ("e", None, "s", None), ("f", " \n", "s", None)]
@@ -28,6 +28,54 @@ def test_fingerprints_and_counts(spark):
     assert {r.document_id for r in documents.removed(docs).collect()} == {"b", "c"}
 
 
+def test_fields_are_part_of_the_identity(spark):
+    rows = [("a", "t", "s", {"user": "hi", " assistant ": "yo  there"}), ("b", "t", "s", {"user": "hi", "assistant": "yo there"}), ("c", "t", "s", {"user": "other", "assistant": "yo there"}), ("d", "t", "s", None)]
+    docs = documents.identify(spark.createDataFrame(rows, "document_id string, text string, source string, fields map<string,string>"))
+    got = {r.document_id: r for r in docs.collect()}
+    sha = lambda fields: hashlib.sha256(json.dumps({"text": "t", "fields": fields}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert got["a"].canonical_fingerprint == got["b"].canonical_fingerprint == sha({"user": "hi", "assistant": "yo there"}) and got["a"].raw_fingerprint == sha({"user": "hi", "assistant": "yo  there"})
+    assert got["c"].canonical_fingerprint == sha({"user": "other", "assistant": "yo there"}) and got["d"].canonical_fingerprint == sha({})
+    assert documents.duplicate_counts(docs).first().removed == 1
+    found = overlap.contamination(docs, spark.createDataFrame([("p", "x", "other")], "prompt_id string, suite string, text string")).collect()
+    assert [(r.document_id, r.match_type) for r in found] == [("c", overlap.FIELD)]
+
+
+def test_blank_documents_fail_unless_dropped(spark):
+    with pytest.raises(Exception, match="blank"):
+        documents.identify(spark.createDataFrame(ROWS, DOCS)).collect()
+    with pytest.raises(ValueError):
+        documents.identify(spark.createDataFrame(ROWS, DOCS), "keep")
+    odd = spark.createDataFrame([("t", "a", "x", 1)], "text string, canonical_text string, source string, split int")
+    assert documents.identify(odd).columns == ["text", "source", "split", "explicit_split", "document_id", "canonical_text", "raw_fingerprint", "canonical_fingerprint"]
+    assert documents.identify(odd.limit(0)).collect() == []
+
+
+def test_repeated_prompt_ids_fail(spark):
+    prompts = spark.createDataFrame([("p", "one", "a"), ("p", "two", "b")], "prompt_id string, suite string, text string")
+    with pytest.raises(documents.DataQualityError, match="repeated prompt ids: p"):
+        overlap.contamination(make(spark, ROWS), prompts)
+
+
+def test_ids_of_several_contents_are_named(spark):
+    documents.require_unique_ids(make(spark, ROWS))
+    with pytest.raises(documents.DataQualityError, match="several contents: a, b"):
+        documents.require_unique_ids(make(spark, [("b", "x", "s", None), ("b", "y", "s", None), ("a", "x", "s", None), ("a", "y", "s", None)]))
+
+
+def test_splits_of_tables_with_clashing_names(spark):
+    groups = documents.duplicate_groups(make(spark, [("a", "x", "s", None), ("b", "y", "s", None)])).selectExpr("*", "1 AS v", "2 AS t", "3 AS lo", "4 AS hi", "5 AS hash", "6 AS split")
+    got = documents.assign_splits(groups, 1, 1e-12)
+    assert set(got.columns) == set(groups.columns) and {(r.v, r.t, r.lo, r.hi) for r in got.collect()} == {(1, 2, 3, 4)} and {r.split for r in got.collect()} == {"train", "validation"}
+    with pytest.raises(Exception, match="two groups"):
+        documents.assign_splits(groups.limit(1), 1, 0.5, fail_below_two=True).collect()
+
+
+def test_covered_in_both_directions(spark):
+    texts = spark.createDataFrame([("The CAT sat here",), ("the  cat sat here",), ("cat",), ("dog",), (None,), (" ",)], "text string")
+    prompts = spark.createDataFrame([("1", "cat sat"), ("2", "a cat or a Dog"), ("3", "bird"), ("4", " "), ("5", "cat sat")], "prompt_id string, text string")
+    assert {r.prompt_id: r.turns for r in overlap.covered(texts, prompts).collect()} == {"1": 2, "2": 2, "5": 2}
+
+
 def test_order_and_partitions_do_not_matter(spark):
     rng = random.Random(1)
     rows = [(f"doc-{i:03d}", f"text {i % 70}", f"s/{i % 3}.md", None) for i in range(200)]

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import control, conversations, numeric, provenance, scoring, tokens
+from gristmill.plans.queries import LESSON_FORMS
 from gristmill.sources import readers
 from gristmill.streaming import dedup
 
 RECORD = "id string, dataset string, source string, category string, prompt_form string, group_id string, user string, assistant string, text string"
 
-
 def record(i, **over):
     base = {"id": f"r{i}", "dataset": "v1", "source": "v1/x", "category": "fam", "prompt_form": "why", "group_id": f"g{i}", "user": f"u {i}", "assistant": f"a {i}"}
     base |= over
@@ -36,7 +36,13 @@ def test_rules(spark, over, rule):
 
 def test_lessons(spark):
     lesson = [("l1", "f", "stacks", "A fact.", "A case.", "A myth.", "An example.", None), ("l2", "f", "queues", "B.", "C.", "D.", "E.", "shared")]
-    rows = conversations.expand_lessons(spark.createDataFrame(lesson, "lesson_id string, family string, focus string, fact string, situation string, misconception string, example string, cluster string")).collect()
+    df = spark.createDataFrame(lesson, "lesson_id string, family string, focus string, fact string, situation string, misconception string, example string, cluster string")
+    rows = conversations.expand_lessons(df, LESSON_FORMS, "lesson-v1").collect()
+    assert {f for f, _, _ in LESSON_FORMS} == set(conversations.FORMS)
+    (own,) = conversations.expand_lessons(df.limit(1), [("why", "{focus}? {cluster}!", "{fact}")], "d").collect()
+    assert (own.user, own.assistant, own.id) == ("stacks? !", "A fact.", "d.l1.why")
+    with pytest.raises(ValueError):
+        conversations.expand_lessons(df, [("why", "{nothing}", "x")], "d")
     assert len(rows) == 16 and len({r.id for r in rows}) == 16 and {r.group_id for r in rows} == {"lesson-v1:f:l1", "lesson-v1:f:shared"}
 
 
