@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import control, conversations, documents, inspection, numeric, overlap, provenance, scoring, tokens
 from ..sources.shipping import ship
 
+#: All tables.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SEED, RATIO = 1337, 1.0 - 0.9
 QUERIES: dict = {}
 
@@ -556,7 +558,7 @@ def config_diff(spark, d):
 @query
 def dataset_fingerprints(spark, d):
     out = None
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "documents", "benchmark"):
+    for name in TABLES:
         part = provenance.table_fingerprint(table(spark, d, name)).select(F.lit(name).alias("name"), "rows", "digest_sum")
         out = part if out is None else out.unionByName(part)
     return out

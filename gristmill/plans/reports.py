@@ -166,3 +166,82 @@ def generate(prompts: DataFrame, producer: Callable[[list[str]], list[str]], bat
             yield pdf.assign(response=answers)[["prompt_id", "prompt", "response"]]
 
     return prompts.select("prompt_id", "prompt").mapInPandas(run, "prompt_id string, prompt string, response string")
+
+
+def load(path: str, check: Callable[[Mapping[str, Any]], list[str]]) -> dict[str, Any]:
+    """A report of a file, once its contract holds; what breaks it is an error."""
+    with open(path, encoding="utf-8") as file:
+        report = json.load(file)
+    if wrong := check(report):
+        raise documents.DataQualityError("; ".join(wrong))
+    return report
+
+
+def checked_write(report: Mapping[str, Any], path: str, check: Callable[[Mapping[str, Any]], list[str]]) -> None:
+    """Write a report whose contract holds; nothing is written if it doesn't."""
+    if wrong := check(report):
+        raise documents.DataQualityError("; ".join(wrong))
+    write(report, path)
+
+
+def orphans(report: str, manifest: str) -> str | None:
+    """What is missing of a report and its manifest, which belong together: a file, or nothing."""
+    have = os.path.exists(report), os.path.exists(manifest)
+    return None if have[0] == have[1] else "orphaned report" if have[0] else "orphaned manifest"
+
+
+def preprocessing_identity(report: Mapping[str, Any]) -> dict[str, Any]:
+    """What a manifest says of the quality report that its data went through."""
+    return {"quality_report_digest": report["digest"], "quality_report_version": report["version"], "policy": dict(report["policy"]), "counts": dict(report["counts"])}
+
+
+def rebuilt_manifest(existing: Mapping[str, Any] | None, artifacts: list[Mapping[str, Any]], report: Mapping[str, Any] | None, tokenizer: Mapping[str, Any]) -> dict[str, Any]:
+    """The existing manifest if it says the same, or else a new one. Without a report only an existing version 1 manifest may stand."""
+    if report is None:
+        if existing is not None and existing.get("version") == 1:
+            return dict(existing)
+        raise documents.DataQualityError("no quality report, and no manifest from before there were any")
+    new = provenance.manifest(artifacts, preprocessing_identity(report), tokenizer)
+    return dict(existing) if existing is not None and first_difference(existing, new) is None else new
+
+
+def checkpoint_provenance(kind: str, manifest: Mapping[str, Any], tokenizer: Mapping[str, Any], config: Mapping[str, Any]) -> dict[str, Any]:
+    """The sealed origin of a checkpoint."""
+    if kind not in provenance.KINDS:
+        raise ValueError(f"unknown kind {kind}")
+    return provenance.sealed({"version": provenance.CHECKPOINT_VERSION, "kind": kind, "manifest": manifest["digest"], "tokenizer": tokenizer["digest"], "config": provenance.digest_of(config, ())})
+
+
+def supervised_report(records: DataFrame, dataset: str, output_sha256: str, suites: Mapping[str, tuple[int, list[str]]], findings: int, near: list[Mapping[str, Any]], seed: int, ratio: float) -> dict[str, Any]:
+    """A sealed report of a supervised set: counts by family, both splits by family, the audit of all suites, and the review of near pairs."""
+    groups = records.select(F.col("category").alias("family"), "group_id")
+    splits = documents.family_splits(groups, seed, ratio)
+    joined = groups.join(splits, ["family", "group_id"]).groupBy("family", "split").agg(F.count("*").alias("n")).collect()
+    by_side = {side: {r.family: r.n for r in joined if r.split == side} for side in (documents.TRAIN, documents.VALIDATION)}
+    leaked = [r.group_id for r in splits.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").orderBy("group_id").collect()]
+    families = {f: sum(by_side[s].get(f, 0) for s in by_side) for f in sorted({r.family for r in joined})}
+    audit = [provenance.sealed({"suite": k, "version": v, "prompt_ids": list(ids)}) for k, (v, ids) in sorted(suites.items())]
+    value = {
+        "version": 1, "kind": "supervised_quality", "dataset": dataset, "output_sha256": output_sha256, "counts": {"records": sum(families.values())}, "family_counts": families,
+        "deduplication": {"near": len(near), "review": [dict(n) for n in near]}, "split_readiness": provenance.sealed({"family_counts": by_side, "group_leakage": leaked}),
+        "evaluation_audit": {"suites": audit, "exact_findings": findings, "near_findings": 0},
+    }
+    return provenance.sealed(value)
+
+
+def metric_label(suite: str, retention: str, holdout: str, status: str) -> str:
+    """How a suite's share of passes may be called, by what is known of its contamination."""
+    if suite == retention:
+        return "Retention check"
+    kind = "generalization" if suite == holdout else "paraphrase"
+    return f"Held-out {kind} check, verified clean" if status == "verified_clean" else f"Candidate {kind} check, not verified"
+
+
+def tiny(tokens: int, block: int) -> bool:
+    """Whether a set of tokens is so small that it will be memorized."""
+    return tokens < block * 20
+
+
+def aligned(config: Config, vocabulary: int) -> Config:
+    """The settings with the tokenizer's own number of ids."""
+    return Config.of(config.snapshot() | {"vocab_size": vocabulary})

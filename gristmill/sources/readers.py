@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.documents import DataQualityError
 
 _BOM = "﻿"
 
@@ -57,3 +60,103 @@ def write_tokens(df: DataFrame, path: str) -> None:
 def read_tokens(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One split's token arrays; the filter prunes the folder's partitions."""
     return spark.read.parquet(path).where(F.col("split") == split)
+
+
+def documents(spark: SparkSession, paths: list[str] | str, conversation: bool = False) -> DataFrame:
+    """Documents of JSON lines: (document_id, text, source, explicit_split, fields).
+
+    A row's text is its ``text`` or, without one (or with ``conversation``), made of system, user and assistant in chat
+    form; where it has any of these, they are its fields. The source is the row's own or the file's name. A
+    line that is no such object is an error that names file and line; so is a table without rows.
+    """
+    from ..operators.conversations import conversation_text
+
+    names = ["text", "source", "id", "split", "system", "user", "assistant"]
+    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", f"^{_BOM}", ""), r"\r\n?|\n", -1)).alias("at", "line"))
+    lines = lines.where(T.strip(F.col("line")) != "")
+    row = F.from_json("line", ", ".join(f"`{n}` string" for n in names) + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.withColumn("row", row)
+    c = lambda n: F.col(f"row.{n}")
+    filled = lambda n: T.strip(F.coalesce(c(n), F.lit(""))) != ""
+    talk = filled("user") & filled("assistant")
+    some = c("user").isNotNull() | c("assistant").isNotNull() | c("system").isNotNull()
+    needs_talk = F.lit(conversation) | c("text").isNull()
+    good = c("_bad").isNull() & F.col("line").rlike(r"^\s*\{") & F.when(needs_talk | some, talk).otherwise(filled("text"))
+    fault = F.raise_error(F.concat(F.lit("bad record in "), "file", F.lit(":"), (F.col("at") + 1).cast("string")))
+    text = F.when(~F.coalesce(good, F.lit(False)), fault).when(needs_talk, conversation_text(c("system"), c("user"), c("assistant"))).otherwise(c("text"))
+    fields = F.map_filter(F.create_map(*[x for n in ("system", "user", "assistant") for x in (F.lit(n), c(n))]), lambda _, v: v.isNotNull())
+    found = parsed.select(c("id").alias("document_id"), text.alias("text"), F.coalesce(c("source"), F.col("file")).alias("source"), c("split").alias("explicit_split"), F.when(some, fields).otherwise(F.create_map().cast("map<string,string>")).alias("fields"))
+    if not lines.limit(1).count():
+        raise DataQualityError("no records")
+    return found
+
+
+def category_rows(spark: SparkSession, paths: list[str] | str, categories: list[str]) -> DataFrame:
+    """Rows (user, assistant, category), trimmed, of JSON lines; a category that isn't listed is an error."""
+    rows = json_lines(spark, paths, ["user", "assistant", "category"])
+    known = T.strip(F.col("category")).isin(categories)
+    category = F.when(known, T.strip(F.col("category"))).otherwise(F.raise_error(F.concat(F.lit("unknown category in "), "file", F.lit(": "), "category")))
+    return rows.select(T.strip(F.col("user")).alias("user"), T.strip(F.col("assistant")).alias("assistant"), category.alias("category"))
+
+
+def curated_core(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs (user, assistant) of a file whose every line is one: a blank line is an error, and so is an empty file."""
+    lines = spark.read.text(path)
+    if not lines.limit(1).count():
+        raise DataQualityError("the core is empty")
+    if lines.where(T.strip(F.col("value")) == "").limit(1).count():
+        raise DataQualityError("the core has a blank line")
+    return json_lines(spark, path, ["user", "assistant"]).select("user", "assistant")
+
+
+def joined_corpus(docs: DataFrame, by: list[str], key: str = "source", headed: bool = False) -> DataFrame:
+    """(by, text): the stripped texts of each group in order of ``key``, blank ones left out, with a blank line between; with ``headed`` each under its key. A group is one text, its feature."""
+    text = T.strip(F.coalesce(F.col("text"), F.lit("")))
+    shown = F.concat(F.lit("# "), F.col(key).cast("string"), F.lit("\n\n"), text) if headed else text
+    return docs.where(text != "").groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), shown.alias("text")))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def rows_from_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """Authored rows, the caller's own, as a table of strings; a row of another width, or a blank value, is an error."""
+    for i, row in enumerate(rows):
+        if len(row) != len(columns) or not all(isinstance(v, str) and v.strip() for v in row):
+            raise DataQualityError(f"row {i + 1} of the table is incomplete")
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+
+
+def synthetic(spark: SparkSession, banks: list[list[str]], glue: str = " ") -> DataFrame:
+    """(i, text): every combination of one phrase of each bank, joined; the last bank varies fastest. Row i is worked out from its number, so nothing is joined."""
+    total = math.prod(map(len, banks))
+    parts, below = [], total
+    for bank in banks:
+        below //= len(bank)
+        parts.append(F.element_at(F.array(*map(F.lit, bank)), (F.floor(F.col("id") / below) % len(bank) + 1).cast("int")))
+    return spark.range(total).select(F.col("id").alias("i"), F.concat_ws(glue, *parts).alias("text"))
+
+
+def first_existing(preferred: list[str], present: DataFrame, by: list[str]) -> DataFrame:
+    """(by, path): the first of the preferred paths that a group of ``present`` (by, path) has; groups without any are left out."""
+    rank = F.lit(None)
+    for i, path in reversed(list(enumerate(preferred))):
+        rank = F.when(F.col("path") == path, i).otherwise(rank)
+    return present.withColumn("_rank", rank).where("_rank IS NOT NULL").groupBy(*by).agg(F.min_by("path", "_rank").alias("path"))
+
+
+#: Kinds of sources that can be imported: how their rows become pairs. One that only may be listed has none.
+IMPORTS = {"instructions": "instruction_pairs", "messages": "message_pairs", "listed": None}
+
+
+def imported(rows: DataFrame, kind: str, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """The pairs of an import source, the first ``limit`` in order if one is given. An unknown source is an error, and so is one that may not be converted."""
+    from ..operators import conversations as C
+
+    if kind not in IMPORTS:
+        raise DataQualityError(f"unknown source {kind}")
+    if IMPORTS[kind] is None:
+        raise DataQualityError(f"{kind} rows are listed only and can't be converted")
+    pairs = getattr(C, IMPORTS[kind])(rows)
+    if limit is None:
+        return pairs
+    if not order:
+        raise ValueError("a limit needs an order")
+    return pairs.orderBy(*order).limit(limit)
