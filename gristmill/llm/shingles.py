@@ -5,8 +5,10 @@ Sets near enough share one of their first elements in any order that holds for a
 comes last in the order; the sample decides how many rows meet, never which pairs
 are found. Rows that meet are compared by length and by a bitmap of parities, which
 reject no pair that is near enough, and then by their sets. A first round compares
-each set with one other, the least that it meets; a second one all that meet and
-aren't linked by then, so a large group of copies isn't compared pair by pair.
+each set with one other, the least that it meets. The next ones compare, of any two
+components that meet under a key, the two sets of most alike bitmaps, until that links
+no more. Then all that meet and have no link yet are compared, so a large group of copies
+isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -227,7 +229,9 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, root)], ["key", "node", "root"])
 
 
-def _pairs_with(near: tuple[int, int], step: int = 1 << 16):
+def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
+    """Pairs of different roots under a key that may be near: all, or of two roots those of most alike bitmaps."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         found = _columns(iter(parts), ("key", "node", "n", "root"))
@@ -249,8 +253,16 @@ def _pairs_with(near: tuple[int, int], step: int = 1 << 16):
             unlinked = root[a] != root[b]
             a, b = a[unlinked], b[unlinked]
             fit = _fits(near, n[a], n[b], bits[a], bits[b])
-            if fit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[a[fit]]), pa.array(node[b[fit]])], ["a", "b"])
+            a, b = a[fit], b[fit]
+            if len(a) and not every:
+                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                o = np.lexsort((apart, high, low, key[a]))
+                a, b, low, high = a[o], b[o], low[o], high[o]
+                first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (key[a][1:] != key[a][:-1])))
+                a, b = a[first], b[first]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return pairs
 
@@ -280,14 +292,25 @@ def resembling(docs: DataFrame, size: int = SIZE, near: tuple[int, int] = NEAR)
     stars = stars.join(facts.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
     stars = materialize(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_fitting(near), "a long, b long").groupBy("b").agg(F.min("a").alias("a")), "stars")
     roots = components(own.unionByName(_verified(narrow, facts, stars, size, near)))
-    # then all that meet and have no link yet
-    keyed = met.where("not star").select(F.col("x").alias("key"), F.col("y").alias("node")).join(roots, "node", "left")
-    mixed = keyed.select("key", "node", F.coalesce("root", "node").alias("root")).repartition("key").mapInArrow(_mixed, "key long, node long, root long")
+    # then what meets under a key and has no link yet
+    rooted = lambda d: d.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = rooted(met.where("not star").select(F.col("x").alias("key"), F.col("y").alias("node"))).select("key", "node", "root")
+    mixed = keyed.repartition("key").mapInArrow(_mixed, "key long, node long, root long").select("key", "node")
     mixed = materialize(mixed.join(facts.select("node", "n", "bits"), "node"), "mixed-shingles")
     discard(met)
-    pairs = materialize(mixed.repartition("key").mapInArrow(_pairs_with(near), "a long, b long").distinct(), "shingle-pairs")
-    links = _verified(narrow, facts, pairs, size, near)
-    roots = components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    every = False
+    while True:
+        pairs = rooted(mixed).select("key", "node", "n", "bits", "root").repartition("key").mapInArrow(_pairs_with(near, every), "a long, b long")
+        pairs = materialize(pairs.distinct(), "shingle-pairs")
+        links = _verified(narrow, facts, pairs, size, near)
+        discard(pairs)
+        some = bool(links.limit(1).count())
+        if some:
+            roots = components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        if every:
+            break
+        every = not some
+    discard(mixed)
     rooted = rows.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "component_id")

@@ -436,7 +436,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     met = materialize(rows.withColumn("deal", deal).repartition("deal").select(_NAMES).mapInArrow(_meet(length, gram), _ROW), "suffixes")
     found = met.where(F.col("kind") == SPAN).select("key", "a", "b")
     candidates = met.where(F.col("kind") == ANCHOR).select("bucket", "doc", "key", F.col("a").alias("at"))
-    large = candidates.groupBy("bucket").count().where(F.col("count") > hot).select("bucket")
+    # a table, so that its size is known: of one bucket in so many candidates at most, it is broadcast where it is small
+    large = materialize(candidates.groupBy("bucket").count().where(F.col("count") > hot).select("bucket"), "large-buckets")
     some_hot = bool(large.limit(1).count())
     plain = candidates.join(large, "bucket", "left_anti") if some_hot else candidates
     spans = _with_texts(keyed, plain).mapInArrow(_contexts(length, gram, False), _CONTEXT).repartition("bucket").mapInArrow(_resolve(length, gram, refined), _ROW)
