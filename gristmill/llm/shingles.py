@@ -29,14 +29,14 @@ _LOWER = bytes(range(256)).lower()
 SIZE, NEAR = 5, (4, 5)
 #: Documents sampled for common shingles, how many of them make one common, and how many shingles are kept.
 SAMPLE_DOCS, COMMON, MOST_COMMON = 4000, 4, 200_000
-#: Bits of a bitmap of parities.
+#: Bits of a bitmap of parities at least; it has as many as its set has elements, rounded up to a power of two.
 BITS = 512
 #: Places of the bitmap of wanted documents.
 SLOTS = 1 << 22
 _ROWS = "node long, n long, bits binary"
 _SETS = "doc_id long, node long, hashes binary"
-#: Sets that are compared with one other in one task, about; and the elements up to which a set is compared by 32 bits of each.
-DEALT, NARROW = 500, 10_000
+#: Sets that are compared with one other in one task, about.
+DEALT = 500
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
@@ -65,8 +65,39 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def parities(values: np.ndarray) -> bytes:
-    """BITS bits: whether an odd number of the values fall on each. Those of two sets differ in at most as many bits as the sets in elements."""
-    return np.packbits((np.bincount((values & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Whether an odd number of the values fall on each bit. The bitmaps of two sets differ in at most as many bits as the sets in elements; so do the larger's halves, one folded on the other, and the smaller's bitmap."""
+    size = max(BITS, 1 << max(len(values) - 1, 0).bit_length())
+    return np.packbits((np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several sizes, compared pair by pair."""
+
+    def __init__(self, column: list[bytes]):
+        self.column = column
+        self.sizes = np.fromiter(map(len, column), np.int64, len(column))
+
+    def _folded(self, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those rows at ``size`` bytes, as a matrix of their own, and each one's place in it."""
+        own, place = np.unique(rows, return_inverse=True)
+        out = np.empty((len(own), size // 8), np.uint64)
+        for k, r in enumerate(own.tolist()):
+            bits = np.frombuffer(self.column[r], np.uint64)
+            out[k] = np.bitwise_xor.reduce(bits.reshape(-1, size // 8), axis=0)
+        return out, place
+
+    def apart(self, other: Bitmaps, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits row a[i] and row b[i] of the other's differ."""
+        size = np.minimum(self.sizes[a], other.sizes[b])
+        out = np.zeros(len(a), np.int64)
+        for w in np.unique(size).tolist():
+            at = np.flatnonzero(size == w)
+            x, i = self._folded(a[at], w)
+            y, j = other._folded(b[at], w)
+            for k in range(0, len(at), 1 << 14):  # a few at a time: long sets have long bitmaps
+                part = slice(k, k + (1 << 14))
+                out[at[part]] = np.bitwise_count(x[i[part]] ^ y[j[part]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _keys_with(shared, size: int, near: tuple[int, int]):
@@ -84,17 +115,9 @@ def _keys_with(shared, size: int, near: tuple[int, int]):
     return keys
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """A set in ascending order, of large ones all bits of their elements and of others the upper half."""
-    return (values.tobytes() if len(values) > NARROW else (values >> np.uint64(32)).astype(np.uint32).tobytes())
-
-
-def _shared(x: bytes, y: bytes, n: int, m: int) -> int:
-    """How many elements two packed sets of n and m have in common."""
-    a, b = (np.frombuffer(v, np.uint64 if k > NARROW else np.uint32) for v, k in ((x, n), (y, m)))
-    if a.dtype != b.dtype:
-        a, b = ((v >> np.uint64(32)).astype(np.uint32) if v.dtype == np.uint64 else v for v in (a, b))
-    both = np.sort(np.concatenate((a, b)), kind="stable")
+def _shared(x: bytes, y: bytes) -> int:
+    """How many elements two sets have in common."""
+    both = np.sort(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))), kind="stable")
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
@@ -104,7 +127,7 @@ def _sets_of(size: int, shared):
             batch = batch.filter(pa.array(shared.value[batch.column("slot").to_numpy()]))
             for part in text_chunks([batch]):
                 found, node = _sets(part, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, pa.array(list(map(_packed, found)), pa.binary())], ["doc_id", "node", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "node", "hashes"])
 
     return sets
 
@@ -127,7 +150,7 @@ def _compare(near: tuple[int, int]):
         for c, node, n, x in rows:
             if c != node:
                 m, y = centers[c]
-                if _shared(x, y, n, m) * (p + q) >= (n + m) * p:
+                if _shared(x, y) * (p + q) >= (n + m) * p:
                     found.append((node, c))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
@@ -193,24 +216,23 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(stars), bool)), pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["star", "x", "y"])
 
 
-def _fits(near: tuple[int, int], n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m elements with these bitmaps can be near."""
-    p, q = near
-    # sets near enough differ in at most (n + m) (q - p) / (q + p) elements
-    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-    return (q * np.minimum(n, m) >= p * np.maximum(n, m)) & (apart * (q + p) <= (n + m) * (q - p))
+def _alike(near: tuple[int, int], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and of m elements can be near."""
+    return near[1] * np.minimum(n, m) >= near[0] * np.maximum(n, m)
 
 
-def _bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _close(near: tuple[int, int], n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets whose bitmaps differ in so many bits can be near: such differ in at most (n + m) (q - p) / (q + p) elements."""
+    return apart * (near[0] + near[1]) <= (n + m) * (near[1] - near[0])
 
 
 def _fitting(near: tuple[int, int]):
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                fits = _fits(near, b.column("n").to_numpy(), b.column("m").to_numpy(), _bitmaps(b.column("x")), _bitmaps(b.column("y")))
-                yield b.select(["a", "b"]).filter(pa.array(fits))
+            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
+            at = np.flatnonzero(_alike(near, n, m))
+            apart = Bitmaps(b.column("x").to_pylist()).apart(Bitmaps(b.column("y").to_pylist()), at, at)
+            yield b.select(["a", "b"]).take(pa.array(at[_close(near, n[at], m[at], apart)]))
 
     return fitting
 
@@ -238,9 +260,10 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
         if not found:
             return
         key, node, n, root = found
-        bits = np.concatenate([_bitmaps(b.column("bits")) for b in parts])
+        bits = [x for b in parts for x in b.column("bits").to_pylist()]
         order = np.lexsort((node, key))
-        key, node, n, root, bits = key[order], node[order], n[order], root[order], bits[order]
+        key, node, n, root = key[order], node[order], n[order], root[order]
+        bits = Bitmaps([bits[i] for i in order.tolist()])
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         end = np.append(begin[1:], len(key))
         rows = np.arange(len(key))
@@ -250,12 +273,14 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
             at = np.arange(start, min(start + step, int(ahead[-1])))
             a = np.searchsorted(ahead, at, "right") - 1
             b = a + 1 + at - ahead[a]
-            unlinked = root[a] != root[b]
-            a, b = a[unlinked], b[unlinked]
-            fit = _fits(near, n[a], n[b], bits[a], bits[b])
-            a, b = a[fit], b[fit]
+            some = (root[a] != root[b]) & _alike(near, n[a], n[b])
+            a, b = a[some], b[some]
+            if not len(a):
+                continue
+            apart = bits.apart(bits, a, b)
+            fit = _close(near, n[a], n[b], apart)
+            a, b, apart = a[fit], b[fit], apart[fit]
             if len(a) and not every:
-                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
                 low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
                 o = np.lexsort((apart, high, low, key[a]))
                 a, b, low, high = a[o], b[o], low[o], high[o]
