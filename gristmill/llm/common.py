@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shipping import ship
 
 #: Characters of text handled at once inside a Python task.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Edges in a file, about.
+FILE_ROWS = 200_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -35,5 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = tuple(seen)
-        before, now = now, materialize(_small_star(_large_star(now)), "stars")
+        # the next edges are hardly more than these: few of them don't become many small files
+        before, now = now, materialize(_small_star(_large_star(now)).coalesce(max(1, -(-seen[0] // FILE_ROWS))), "stars")
         discard(before)

@@ -36,7 +36,7 @@ SLOTS = 1 << 22
 _ROWS = "node long, n long, bits binary"
 _SETS = "doc_id long, node long, hashes binary"
 #: Sets that are compared with one other in one task, about.
-DEALT = 500
+DEALT = 50
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
