@@ -30,7 +30,7 @@ from .common import materialize, text_chunks
 #: Documents of a group, about.
 GROUP_ROWS = 1024
 #: Bytes of text tokenized at once.
-TOKENIZED = 1 << 21
+TOKENIZED = 1 << 22
 #: Words whose ids a worker remembers.
 REMEMBERED = 150_000
 #: Kinds of the characters up to U+00FF in lower-case texts, as the tokenizer's own pattern tells them: white space, letters, numerals (each a word), other signs.
