@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, packing, simhash, spotsigs, suffixes, template, urlfilter, warc
+from . import classify, decontaminate, packing, runs, simhash, spotsigs, suffixes, template, urlfilter, warc
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
@@ -97,6 +97,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document's words, a tenth of the documents having a periodic end put in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.with_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    longest = runs.longest(F.col("runs"))
+    found = runs.periodic_runs(docs).select("doc_id", "runs", "collapsed", longest.alias("run"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("run.start").alias("start"),
+        (-F.col("run.l")).alias("length"),
+        F.col("run.period").alias("period"),
+        F.floor(-1000 * F.col("run.l") / F.col("run.period")).cast("long").alias("exponent_milli"),
+        runs.digest_of(F.col("runs")).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def tokenizer_definition(path: str | None = None) -> str:
     """The text of a tokenizers file, read on the driver; by default the public one of 49,408 ids."""
     if path is None:
@@ -119,4 +136,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
