@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, packing, runs, simhash, spotsigs, suffixes, template, urlfilter, warc
+from . import classify, decontaminate, packing, repair, runs, simhash, spotsigs, suffixes, template, urlfilter, warc
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
@@ -114,6 +114,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged before."""
+    turns, copies = repair.damaged(table(spark, sf_dir, "conversations"))
+    found = repair.audits(turns, copies)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def tokenizer_definition(path: str | None = None) -> str:
     """The text of a tokenizers file, read on the driver; by default the public one of 49,408 ids."""
     if path is None:
@@ -137,4 +144,5 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
