@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, packing, repair, runs, simhash, spotsigs, suffixes, template, urlfilter, warc
+from . import classify, decontaminate, packing, perplexity, repair, runs, simhash, spotsigs, suffixes, template, urlfilter, warc
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 judges by.
@@ -114,6 +114,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether the rules and its perplexity let it stay."""
+    found = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    stats = [f.name for f in perplexity.STATS]
+    return found.select("doc_id", *stats, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), "lower", "upper")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, damaged before."""
     turns, copies = repair.damaged(table(spark, sf_dir, "conversations"))
@@ -144,5 +151,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
