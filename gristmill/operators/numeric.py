@@ -96,12 +96,3 @@ def until_stop(ids: Column, stops: list[int], most: int, filler: int) -> Column:
     n = F.when(at > 0, F.least(at - 1, F.lit(most))).otherwise(F.least(F.size(ids), F.lit(most)))
     own = F.slice(ids, F.lit(1), n)
     return F.struct(F.concat(own, F.array_repeat(F.lit(filler), F.lit(most) - n)).alias("ids"), ((at > 0) & (at - 1 <= most)).alias("finished"), n.alias("length"))
-
-
-def drawn_starts(steps: DataFrame, tokens: int, block: int, seed: int, each: int) -> DataFrame:
-    """(step, i, start): for each step ``each`` starts of windows of ``block`` ids, drawn with replacement by a hash; too few tokens are an error."""
-    if tokens <= block:
-        raise ValueError("there are fewer tokens than a window and one more")
-    draws = steps.select("step", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("i"))
-    hashed = F.sha2(F.concat_ws(":", F.lit(str(seed)), "step", "i"), 256)
-    return draws.select("step", "i", F.pmod(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"), F.lit(tokens - block)).alias("start"))

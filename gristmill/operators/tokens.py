@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.arrays import once
 
@@ -49,6 +49,16 @@ def vocabulary_target(chars: int, requested: int) -> int:
     return min(requested, max(1000, chars // 6))
 
 
+#: Keys looked at for each range that strings are dealt out by: the more, the more alike the ranges.
+KEYS_A_RANGE = 100
+
+
+def _string_bounds(sized: DataFrame, key: str, n: int) -> DataFrame:
+    """Borders of ``n`` about equal ranges of a string key, from the keys of least hash."""
+    some = sized.select(key).orderBy(F.xxhash64(key)).limit(KEYS_A_RANGE * n).agg(F.array_sort(F.collect_set(key)).alias("s"))
+    return some.select(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("s", F.floor(F.size("s") * i / n).cast("int"))), lambda x: x.isNotNull()).alias("b"))
+
+
 def offsets(sized: DataFrame, key: str, size: str, ranges: int | None = None) -> DataFrame:
     """``sized`` with ``offset``: the sum of ``size`` over all rows of a smaller key. Keys are unique.
 
@@ -56,7 +66,7 @@ def offsets(sized: DataFrame, key: str, size: str, ranges: int | None = None) ->
     ranges' totals, one short row each, give their starts.
     """
     n = ranges or int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sized.agg(F.percentile_approx(F.col(key), [i / n for i in range(1, n)] or [0.5], 10_000).alias("b")) if n > 1 else None
+    bounds = None if n < 2 else _string_bounds(sized, key, n) if sized.schema[key].dataType == StringType() else sized.agg(F.percentile_approx(F.col(key), [i / n for i in range(1, n)], 10_000).alias("b"))
     part = F.lit(0) if bounds is None else F.size(F.filter("b", lambda x: x < F.col(key)))
     dealt = (sized if bounds is None else sized.join(F.broadcast(bounds))).withColumn("_part", part)
     dealt = dealt if bounds is None else dealt.drop("b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, documents, numeric, overlap, scoring, sessions, tokens
+from ..operators import checks, documents, numeric, overlap, scoring, sessions, streams, tokens
 from ..sources import readers
 from . import oracles as S
 from . import queries as Q
@@ -219,9 +219,64 @@ def parameter_counts(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("layer")).agg(F.sum(numeric.parameters(shape)).alias("parameters"))
 
 
-@query("SELECT step, i, ('0x' || substr(sha256('7:' || step || ':' || i), 1, 15))::BIGINT % (5000 - 64) AS start FROM range(200) s(step), range(8) r(i)")
+def _stream_sql(of: str, key: str) -> str:
+    """Every id of a stream with its position."""
+    ids = f"list_concat([1], {S._bytes('text')}, [2])"
+    return f"e AS (SELECT {key} AS key, {ids} AS ids FROM {of}), t AS (SELECT row_number() OVER (ORDER BY key, i) - 1 AS pos, id FROM (SELECT key, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM e))"
+
+
+def _stream(rows: DataFrame, key: str) -> DataFrame:
+    return streams.placed(rows.select(F.col(key).alias("key"), tokens.encode(F.col("text")).alias("ids")), "key")
+
+
+@query(
+    f"WITH {_stream_sql('documents', 'doc_id')}, x AS (SELECT pos // 256 AS w, count(*) AS n, sum(id * (pos % 256 + 1)) AS x FROM t GROUP BY 1), y AS (SELECT (pos - 1) // 256 AS w, count(*) AS n, sum(id * ((pos - 1) % 256 + 1)) AS y FROM t WHERE pos > 0 GROUP BY 1) "
+    "SELECT w * 256 AS start, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM x JOIN y USING (w) WHERE x.n = 256 AND y.n = 256"
+)
+def stream_windows(spark, d):
+    """Windows end to end over all documents' ids as one stream."""
+    found = streams.windows(_stream(table(spark, d, "documents"), "doc_id"), 256)
+    return found.select("start", streams.weighted(F.col("x")).alias("x"), streams.weighted(F.col("y")).alias("y"))
+
+
+@query(
+    f"WITH {_stream_sql('conversations', 'conv_id * 1000 + turn')}, w AS (SELECT pos, sum(id) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS x, id AS first, lead(id, 32) OVER (ORDER BY pos) AS last FROM t) "
+    "SELECT pos AS start, CAST(x AS BIGINT) AS x, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM w WHERE last IS NOT NULL"
+)
+def stream_starts(spark, d):
+    """The window at every start of all turns' ids as one stream."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    found = streams.windows(_stream(rows, "key"), 32, 1)
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v)
+    return found.select("start", total.alias("x"), F.element_at("x", 1).alias("first"), F.element_at("y", -1).alias("last"))
+
+
+@query(
+    f"WITH {_stream_sql('documents', 'doc_id')}, n AS (SELECT count(*) AS n FROM t), s AS (SELECT doc_id AS step, i, ('0x' || substr(sha256('7:' || doc_id || ':' || i), 1, 15))::BIGINT % (n - 64) AS start FROM documents, range(4) r(i), n), "
+    "c AS (SELECT step, i, start, unnest(range(start, start + 65)) AS pos FROM s) SELECT step, CAST(i AS INTEGER) AS i, start, CAST(sum(id * (pos - start + 1)) FILTER (pos < start + 64) AS BIGINT) AS x, CAST(sum(id * (pos - start)) FILTER (pos > start) AS BIGINT) AS y FROM c JOIN t USING (pos) GROUP BY step, i, start"
+)
 def drawn_windows(spark, d):
-    return numeric.drawn_starts(spark.range(200).withColumnRenamed("id", "step"), 5000, 64, 7, 8)
+    """Four windows for each of as many steps as there are documents, drawn from their stream with replacement."""
+    docs = table(spark, d, "documents")
+    draws = docs.select(F.col("doc_id").alias("step"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    found = streams.drawn(_stream(docs, "doc_id"), draws, ["step", "i"], 64, 7)
+    return found.select("step", "i", "start", streams.weighted(F.col("x")).alias("x"), streams.weighted(F.col("y")).alias("y"))
+
+
+@query(
+    S.cte(S.DOCS, S.GROUPS, S.SPLIT)
+    + f", e AS (SELECT split, document_id AS key, list_concat([1], {S._bytes('text')}, [2]) AS ids FROM ranked JOIN splits USING (fp) WHERE rn = 1), t AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY key, i) - 1 AS pos, id FROM (SELECT split, key, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM e)) "
+    "SELECT split, pos // 4096 AS chunk, count(*) AS n, CAST(sum(id * (pos % 4096 + 1)) AS BIGINT) AS checksum, 'uint16' AS dtype FROM t GROUP BY 1, 2"
+)
+def split_streams(spark, d):
+    """Both splits' documents, one of each duplicate group, as streams of ids in chunks."""
+    docs = Q.docs(spark, d)
+    groups = documents.assign_splits(documents.duplicate_groups(docs), Q.SEED, Q.RATIO).select(F.col("representative.document_id").alias("document_id"), "split")
+    kept, out = docs.join(groups, "document_id"), None
+    for split in ("train", "validation"):
+        part = streams.chunks(_stream(kept.where(F.col("split") == split), "document_id"), 4096).select(F.lit(split).alias("split"), "chunk", F.size("ids").cast("long").alias("n"), streams.weighted(F.col("ids")).alias("checksum"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("dtype", F.lit(streams.array_type(256 + tokens.FIRST_BYTE)))
 
 
 @query("SELECT t.vec_id, round(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda k: CAST(t.embedding[k] AS DOUBLE) + CAST(p.embedding[k] AS DOUBLE))), 5) AS total FROM embeddings t JOIN embeddings p ON p.vec_id = t.vec_id % 32")
