@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, documents, numeric, overlap, scoring, sessions, streams, tokens
+from ..operators import checks, documents, numeric, overlap, scoring, sessions, streams, tokens, vocabulary
 from ..sources import readers
 from . import oracles as S
 from . import queries as Q
@@ -279,6 +279,40 @@ def split_streams(spark, d):
     return out.withColumn("dtype", F.lit(streams.array_type(256 + tokens.FIRST_BYTE)))
 
 
+def vocabulary_file(path: str | None = None) -> str:
+    """A file of byte pairs; by default the installed public one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path if "://" in path else f"file://{path}"
+
+
+def _learned(spark, d) -> tuple[DataFrame, vocabulary.Vocabulary]:
+    learned = vocabulary.read(spark, vocabulary_file())
+    return table(spark, d, "documents").select("doc_id", "text", vocabulary.encode(spark, learned, F.col("text")).alias("ids")), learned
+
+
+@query(None)
+def learned_tokens(spark, d):
+    """Every document by a learned vocabulary; tests hold the ids against the vocabulary's own library."""
+    rows, _ = _learned(spark, d)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("ids"), streams.weighted(F.col("ids")).alias("checksum"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def learned_round_trip(spark, d):
+    """Every document encoded and decoded."""
+    rows, learned = _learned(spark, d)
+    return rows.select("doc_id", F.sha2(vocabulary.decode(spark, learned, F.col("ids")), 256).alias("sha"))
+
+
+@query(None)
+def learned_usage(spark, d):
+    """How often each id of a learned vocabulary occurs in all documents."""
+    return vocabulary.usage(*_learned(spark, d))
+
+
 @query("SELECT t.vec_id, round(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda k: CAST(t.embedding[k] AS DOUBLE) + CAST(p.embedding[k] AS DOUBLE))), 5) AS total FROM embeddings t JOIN embeddings p ON p.vec_id = t.vec_id % 32")
 def embedding_sums(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
