@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks, documents, numeric, overlap, scoring, sessions, streams, tokens, vocabulary
-from ..sources import readers
+from ..sources import artifacts, readers, scratch
 from . import oracles as S
 from . import queries as Q
 from .queries import table
@@ -313,6 +313,15 @@ def learned_usage(spark, d):
     return vocabulary.usage(*_learned(spark, d))
 
 
+@query(f"WITH {_stream_sql('documents', 'doc_id')} SELECT pos // 65536 AS part, count(*) AS ids, CAST(sum(id * (pos % 65536 + 1)) AS BIGINT) AS checksum FROM t GROUP BY 1")
+def array_round_trip(spark, d):
+    """All documents' ids written as an array of NumPy's format and read back, wherever its parts begin."""
+    path = scratch.path(spark, "array")
+    artifacts.write_array(_stream(table(spark, d, "documents"), "doc_id"), path, 256 + tokens.FIRST_BYTE)
+    rows = artifacts.read_array(spark, path).select(F.posexplode("ids").alias("at", "id"), (F.col("position") + F.col("at")).alias("pos"))
+    return rows.groupBy(F.floor(F.col("pos") / 65536).alias("part")).agg(F.count("*").alias("ids"), F.sum(F.col("id") * (F.col("pos") % 65536 + 1)).alias("checksum"))
+
+
 @query("SELECT t.vec_id, round(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda k: CAST(t.embedding[k] AS DOUBLE) + CAST(p.embedding[k] AS DOUBLE))), 5) AS total FROM embeddings t JOIN embeddings p ON p.vec_id = t.vec_id % 32")
 def embedding_sums(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

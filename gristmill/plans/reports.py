@@ -229,12 +229,12 @@ def supervised_report(records: DataFrame, dataset: str, output_sha256: str, suit
     return provenance.sealed(value)
 
 
-def metric_label(suite: str, retention: str, holdout: str, status: str) -> str:
-    """How a suite's share of passes may be called, by what is known of its contamination."""
-    if suite == retention:
-        return "Retention check"
-    kind = "generalization" if suite == holdout else "paraphrase"
-    return f"Held-out {kind} check, verified clean" if status == "verified_clean" else f"Candidate {kind} check, not verified"
+def metric_label(suite: str, status: str, labels: Mapping[tuple[str | None, str | None], str]) -> str:
+    """What a suite's share of passes may be called: the caller's label for the suite and its contamination's status. None stands for any, and a suite's own labels come first."""
+    for key in ((suite, status), (suite, None), (None, status), (None, None)):
+        if key in labels:
+            return labels[key]
+    raise KeyError(f"no label for {suite} with status {status}")
 
 
 def tiny(tokens: int, block: int) -> bool:

@@ -182,7 +182,10 @@ def test_supervised_report(spark):
 def test_small_rules(spark):
     assert checks.generation({"temperature": 0.7, "top_k": 5}) == [] and checks.generation({"temperature": 0, "top_p": 1}) == ["unknown setting top_p", "temperature is out of range"]
     assert reports.tiny(100, 64) and not reports.tiny(1280, 64) and reports.aligned(reports.Config(), 300).vocab_size == 300
-    assert len({reports.metric_label(s, "r", "h", c) for s in ("r", "h", "o") for c in ("verified_clean", "contaminated")}) == 5
+    labels = {("r", None): "kept", (None, "verified_clean"): "clean", (None, None): "open", ("h", "contaminated"): "seen"}
+    assert [reports.metric_label(s, c, labels) for s in ("r", "h", "o") for c in ("verified_clean", "contaminated")] == ["kept", "kept", "clean", "seen", "clean", "open"]
+    with pytest.raises(KeyError):
+        reports.metric_label("h", "contaminated", {("r", None): "kept"})
     r = spark.range(1).select(numeric.until_stop(F.array(F.lit(5), F.lit(9), F.lit(2), F.lit(7)), [2], 3, 0).alias("a"), numeric.until_stop(F.array(F.lit(5)), [2], 3, 0).alias("b"), numeric.parameters(F.array().cast("array<bigint>")).alias("c")).first()
     assert tuple(r.a) == ([5, 9, 0], True, 2) and tuple(r.b) == ([5, 0, 0], False, 1) and r.c == 1
 
