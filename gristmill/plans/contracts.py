@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, documents, numeric, overlap, scoring, sessions, streams, tokens, vocabulary
+from ..operators import checks, documents, numeric, overlap, report_tables, scoring, sessions, streams, tokens, vocabulary
 from ..sources import artifacts, readers, scratch
 from . import oracles as S
 from . import queries as Q
@@ -322,6 +322,15 @@ def array_round_trip(spark, d):
     return rows.groupBy(F.floor(F.col("pos") / 65536).alias("part")).agg(F.count("*").alias("ids"), F.sum(F.col("id") * (F.col("pos") % 65536 + 1)).alias("checksum"))
 
 
+@query("SELECT event_id, '$.k' AS path, 'bad value' AS violation FROM events WHERE CAST(props->>'k' AS BIGINT) NOT BETWEEN 10 AND 89 UNION ALL SELECT event_id, '$.v', 'missing' FROM events WHERE event_type = 'click'")
+def property_violations(spark, d):
+    """Where the properties of all events depart from a schema, one that clicks have to meet being stricter."""
+    rows = table(spark, d, "events").select("event_id", "event_type", F.try_parse_json("props").alias("report"))
+    plain, strict = report_tables.Object({"k": report_tables.whole(10, 89)}), report_tables.Object({"k": report_tables.whole(10, 89), "v": report_tables.text()})
+    click = F.col("event_type") == "click"
+    return report_tables.violations(rows.where(click), strict, ["event_id"]).unionByName(report_tables.violations(rows.where(~click), plain, ["event_id"]))
+
+
 @query("SELECT t.vec_id, round(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda k: CAST(t.embedding[k] AS DOUBLE) + CAST(p.embedding[k] AS DOUBLE))), 5) AS total FROM embeddings t JOIN embeddings p ON p.vec_id = t.vec_id % 32")
 def embedding_sums(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
