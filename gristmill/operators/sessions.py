@@ -72,12 +72,17 @@ def step(state: dict[str, Any], line: str) -> str:
     return "set"
 
 
+def opening(start: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The state that a session begins with."""
+    return PRESETS["balanced"] | {"raw": False, "history_enabled": True, "turns": 0, "open": True} | (start or {})
+
+
 def folded(events: DataFrame, start: dict[str, Any] | None = None) -> DataFrame:
     """Events (session, seq, line) with what each was answered and the state after it, in order of seq.
 
     A session is one task's fold, its feature; sessions are independent. Null lines are blank.
     """
-    first = PRESETS["balanced"] | {"raw": False, "history_enabled": True, "turns": 0, "open": True} | (start or {})
+    first = opening(start)
 
     def fold(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
         rows = frames.sort_values("seq")
