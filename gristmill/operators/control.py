@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def learning_rate(step: Column, rate: float, warmup: int) -> Column:
     """Linear warm-up, then constant."""
@@ -52,3 +56,49 @@ def ready(stages: DataFrame, outputs: DataFrame) -> DataFrame:
     found = missing.groupBy("stage", "makes").agg(F.bool_and(F.col("output").isNull() | F.col("_is").isNotNull()).alias("ready"))
     made = outputs.select(F.col("output").alias("makes"), F.lit(True).alias("_made"))
     return found.join(made, "makes", "left").select("stage", (F.col("ready") & F.col("_made").isNull()).alias("ready"))
+
+
+#: Rounds after which a graph of stages is given up: as many levels as it may have.
+MOST_LEVELS = 1000
+
+
+def _rounds(left: DataFrame, edges: DataFrame, forward: bool) -> Iterator[DataFrame]:
+    """The stages that leave a graph in each round: those that wait for none of the others (or none of them waits for), until none does; at last what stays."""
+    one, other = ("stage", "before") if forward else ("before", "stage")
+    for _ in range(MOST_LEVELS):
+        held = edges.select(F.col(one).alias("stage")).distinct()
+        free = scratch.kept(left.join(held, "stage", "left_anti"), "stages")
+        if free.isEmpty():
+            break
+        yield free
+        gone = free.select(F.col("stage").alias(other))
+        left, edges = scratch.kept(left.join(free, "stage", "left_anti"), "stages"), scratch.kept(edges.join(gone, other, "left_anti"), "stage-edges")
+    else:
+        raise ValueError(f"a graph of more than {MOST_LEVELS} levels")
+    yield left
+
+
+def plan_stages(stages: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(stage, level, state, blocked_by) of stages (stage, needs, makes), by the outputs (output) that there are.
+
+    A stage's level is one more than the highest of those that make what it needs; without such it is 0. States: ``done`` (what it makes is there), ``ready`` (all it needs is),
+    ``waiting`` (some of it is to be made), ``missing input`` (nothing makes it), ``cycle`` (the stage needs its own output, by way of others or not), ``behind a cycle``; the last two have no level.
+    ``blocked_by`` lists what it needs that isn't there, in order. Each level is a round of joins, and a round's stages are counted nowhere but in Spark.
+    """
+    needs = stages.select("stage", F.explode("needs").alias("output")).distinct()
+    makers = stages.select(F.col("makes").alias("output"), F.col("stage").alias("before"))
+    there = outputs.select("output").distinct().withColumn("_there", F.lit(True))
+    open_needs = needs.join(there, "output", "left_anti").join(makers, "output", "left")
+    edges = scratch.kept(needs.join(makers, "output").select("stage", "before").distinct(), "stage-edges")
+    names = stages.select("stage")
+    *levels, stuck = _rounds(names, edges, True)
+    found = names.limit(0).withColumn("level", F.lit(0).cast("long"))
+    for level, part in enumerate(levels):
+        found = found.unionByName(part.select("stage", F.lit(level).cast("long").alias("level")))
+    within = edges.join(stuck, "stage").join(stuck.select(F.col("stage").alias("before")), "before").select("stage", "before")
+    *_, core = _rounds(stuck, scratch.kept(within, "stage-edges"), False)
+    blocked = open_needs.groupBy("stage").agg(F.array_sort(F.collect_set("output")).alias("blocked_by"), F.bool_or(F.col("before").isNull()).alias("_missing"))
+    made = stages.join(there, F.col("makes") == F.col("output"), "left").select("stage", F.col("_there").alias("_done"))
+    rows = made.join(found, "stage", "left").join(core.withColumn("_cycle", F.lit(True)), "stage", "left").join(blocked, "stage", "left")
+    state = F.when(F.col("_done"), "done").when(F.col("_cycle"), "cycle").when(F.col("level").isNull(), "behind a cycle").when(F.col("_missing"), "missing input").when(F.size("blocked_by") > 0, "waiting").otherwise("ready")
+    return rows.select("stage", "level", state.alias("state"), F.coalesce("blocked_by", F.array().cast("array<string>")).alias("blocked_by"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
+
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array; null entries stand for minus infinity and give 0."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    return F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
+    raised = once(F.struct(logits.alias("v"), F.array_max(logits).alias("top")), lambda s: F.transform(s["v"], lambda x: F.coalesce(F.exp(x - s["top"]), F.lit(0.0))))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+    return once(raised, lambda e: once(F.struct(e.alias("e"), total(e).alias("sum")), lambda s: F.transform(s["e"], lambda x: x / s["sum"])))
 
 
 def tempered(logits: Column, temperature: float) -> Column:
@@ -43,9 +45,11 @@ def draw(probabilities: Column, uniform: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Negative log likelihood of one label; null for an ignored one (below 0)."""
-    top = F.array_max(logits)
-    total = F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(label >= 0, F.log(total) + top - F.get(logits, label))
+    def loss(s: Column) -> Column:
+        total = F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.exp(x - s["top"]))
+        return F.log(total) + s["top"] - F.get(s["v"], label)
+
+    return F.when(label >= 0, once(F.struct(logits.alias("v"), F.array_max(logits).alias("top")), loss))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,9 +74,10 @@ def causal_attention(vectors: DataFrame, by: str, position: str, vector: str) ->
 
 
 def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"), lambda s: s / n)
-    return F.transform(F.array(F.struct(v.alias("v"), mean.alias("m"))), lambda s: F.transform(s["v"], lambda x: (x - s["m"]) / F.sqrt(F.aggregate(s["v"], F.lit(0.0), lambda a, y: a + F.pow(y - s["m"], F.lit(2.0))) / n + epsilon)))[0]
+    mean_of = lambda x, of: F.aggregate(x, F.lit(0.0), lambda s, y: s + of(y)) / F.size(x)
+    centred = once(F.struct(v.alias("v"), mean_of(v, lambda y: y.cast("double")).alias("m")), lambda s: F.transform(s["v"], lambda x: x - s["m"]))
+    spread = lambda c: once(F.struct(c.alias("c"), F.sqrt(mean_of(c, lambda y: y * y) + epsilon).alias("d")), lambda s: F.transform(s["c"], lambda x: x / s["d"]))
+    return once(centred, spread)
 
 
 def gelu(x: Column) -> Column:

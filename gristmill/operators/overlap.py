@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
 from .documents import DataQualityError
 
 FULL, FIELD, SUBSTRING = "full-document", "field-exact", "normalized-substring"
@@ -84,7 +86,11 @@ def contamination(docs: DataFrame, prompts: DataFrame, fields: list[str] | None
         narrow = narrow.unionByName(values)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_part") + ", prompt_id string, _whole boolean"
     found = None
-    for block in _blocks(listed):
+    blocks = _blocks(listed)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        narrow = scratch.kept(narrow, "searched-texts")  # texts are brought into canonical form once, however many blocks there are
+    for block in chain([first], [second] if second is not None else [], blocks):
         part = narrow.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex), schema)
         found = part if found is None else found.unionByName(part)
     kind = F.when(F.col("_whole") & ~F.col("_field"), 0).when(F.col("_whole"), 1).otherwise(2)
@@ -144,7 +150,11 @@ def covered(texts: DataFrame, prompts: DataFrame) -> DataFrame:
     form = F.lower(T.normalize(F.col("text")))
     each = texts.select(form.alias("text")).where("text <> ''").distinct()
     found = None
-    for block in _blocks(prompts.select("prompt_id", form.alias("text")).where("text <> ''")):
+    blocks = _blocks(prompts.select("prompt_id", form.alias("text")).where("text <> ''"))
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        each = scratch.kept(each, "searched-texts")
+    for block in chain([first], [second] if second is not None else [], blocks):
         part = each.mapInArrow(_cover(spark.sparkContext.broadcast(block), uuid.uuid4().hex), "prompt_id string")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("prompt_id").agg(F.count("*").alias("turns"))

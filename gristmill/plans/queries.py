@@ -376,7 +376,7 @@ def lesson_records(spark, d):
 def capped_expansion(spark, d):
     p = table(spark, d, "part").select("p_name", "p_type", "p_brand")
     r = table(spark, d, "region").select("r_name")
-    rows = p.join(F.broadcast(r)).select(F.concat(F.rpad("p_type", 80, "."), F.col("p_name"), F.col("r_name")).alias("user"), F.col("p_brand").alias("assistant"))
+    rows = p.crossJoin(r).select(F.concat(F.rpad("p_type", 80, "."), F.col("p_name"), F.col("r_name")).alias("user"), F.col("p_brand").alias("assistant"))
     return conversations.capped_expansion(rows, 5000, 8, "7")
 
 

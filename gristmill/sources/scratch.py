@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,10 @@ def path(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that rounds don't repeat each other and a lost executor repeats little."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
