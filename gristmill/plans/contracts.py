@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, documents, numeric, overlap, report_tables, scoring, sessions, streams, tokens, vocabulary
+from ..operators import checks, control, documents, numeric, overlap, report_tables, scoring, sessions, streams, tokens, vocabulary
 from ..sources import artifacts, readers, scratch
 from . import oracles as S
 from . import queries as Q
@@ -139,11 +139,28 @@ def near_review_counts(spark, d):
     return checks.near_counts(Q.near_duplicate_review(spark, d))
 
 
-@query(None)
+_COMMANDS = ["/temp 0.5", "/topk 7", "hello", "/history off", "/max -3", "hi", "/raw", "/temp", "/history on", "again", "/what", "/reset", "/topk x", "/HELP"]
+_SAID = {"/temp 0.5": "set", "/topk 7": "set", "/history off": "set", "/max -3": "invalid", "/raw": "set", "/temp": "usage", "/history on": "set", "/what": "unknown", "/reset": "cleared", "/topk x": "invalid", "/HELP": "help", "/quit": "closed"}
+_FOLD = f"""
+WITH RECURSIVE e AS (
+  SELECT conv_id AS session, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+         CASE WHEN conv_id % 9 = 0 AND turn = 4 THEN '/quit' ELSE {_COMMANDS}[(conv_id * 5 + turn * 3) % {len(_COMMANDS)} + 1] END AS line FROM conversations
+), s AS (
+  SELECT DISTINCT session, 0::BIGINT AS n, NULL::BIGINT AS seq, '' AS line, TRUE AS was, 0.3::DOUBLE AS temperature, 8::BIGINT AS top_k, FALSE AS raw, TRUE AS history_enabled, 0::BIGINT AS turns, TRUE AS open FROM e
+  UNION ALL
+  SELECT e.session, e.n, e.seq, e.line, s.open, CASE WHEN s.open AND e.line = '/temp 0.5' THEN 0.5 ELSE s.temperature END, CASE WHEN s.open AND e.line = '/topk 7' THEN 7 ELSE s.top_k END, CASE WHEN s.open AND e.line = '/raw' THEN NOT s.raw ELSE s.raw END,
+         CASE WHEN s.open AND e.line = '/history off' THEN FALSE WHEN s.open AND e.line = '/history on' THEN TRUE ELSE s.history_enabled END,
+         CASE WHEN NOT s.open THEN s.turns WHEN e.line IN ('/reset', '/history off', '/history on') THEN 0 WHEN e.line IN ('hello', 'hi', 'again') AND s.history_enabled THEN s.turns + 1 ELSE s.turns END, s.open AND e.line <> '/quit'
+  FROM s JOIN e ON e.session = s.session AND e.n = s.n + 1
+)
+SELECT session, seq, CASE WHEN NOT was THEN 'closed' ELSE coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in _SAID.items())}}}[line], 'message') END AS answer, temperature, top_k, 120::BIGINT AS max_new_tokens, raw, history_enabled, turns, open FROM s WHERE n > 0
+"""
+
+
+@query(_FOLD)
 def session_commands(spark, d):
-    """Conversations as sessions: each turn a command or a message by its place. A fold in order has no SQL; a test holds it against a plain one."""
-    commands = ["/temp 0.5", "/topk 7", "hello", "/history off", "/max -3", "hi", "/raw", "/temp", "/history on", "again", "/what", "/reset", "/topk x", "/HELP"]
-    line = F.element_at(F.array(*map(F.lit, commands)), (F.pmod(F.col("conv_id") * 5 + F.col("turn") * 3, F.lit(len(commands))) + 1).cast("int"))
+    """Conversations as sessions: each turn a command or a message by its place, folded in order."""
+    line = F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.pmod(F.col("conv_id") * 5 + F.col("turn") * 3, F.lit(len(_COMMANDS))) + 1).cast("int"))
     events = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.when((F.col("conv_id") % 9 == 0) & (F.col("turn") == 4), "/quit").otherwise(line).alias("line"))
     return sessions.folded(events)
 
@@ -189,9 +206,29 @@ def combined_corpus(spark, d):
 _BANKS = [["How do I", "Why does one"], ["open", "sort", "merge"], ["a list", "a queue"], ["at once?", "safely?"], ["Please be brief.", "Give steps."]]
 
 
-@query("SELECT row_number() OVER (ORDER BY a, b, c, e, f) - 1 AS i, " + " || ' ' || ".join(f"t{k}" for k in "abcef") + " AS text FROM " + ", ".join(f"(VALUES {', '.join(f'({i}, {chr(39)}{w}{chr(39)})' for i, w in enumerate(bank))}) v{k}({k}, t{k})" for k, bank in zip("abcef", _BANKS, strict=True)))
+@query(
+    "WITH p AS (SELECT row_number() OVER (ORDER BY a, b, c, e, f) - 1 AS i, " + " || ' ' || ".join(f"t{k}" for k in "abcef") + " AS text FROM "
+    + ", ".join(f"(VALUES {', '.join(f'({i}, {chr(39)}{w}{chr(39)})' for i, w in enumerate(bank))}) v{k}({k}, t{k})" for k, bank in zip("abcef", _BANKS, strict=True)) + ") SELECT c_custkey AS customer, text FROM customer JOIN p ON i = c_custkey % 48"
+)
 def synthetic_prompts(spark, d):
-    return readers.synthetic(spark, _BANKS)
+    """A prompt put together for each customer."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("customer"), readers.combination(F.col("c_custkey"), _BANKS).alias("text"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT p_partkey AS stage, unnest([p_partkey // 4, p_partkey // 5]) AS before FROM part WHERE p_partkey > 3), l(stage, level) AS (SELECT p_partkey, 0 FROM part UNION ALL SELECT e.stage, level + 1 FROM e JOIN l ON e.before = l.stage), "
+    "n AS (SELECT stage, before, 'o' || before AS output FROM e GROUP BY ALL HAVING before % 7 <> 0 OR before NOT IN (SELECT p_partkey FROM part)), b AS (SELECT stage, array_to_string(list_sort(list(output)), ',') AS blocked_by, bool_or(before NOT IN (SELECT p_partkey FROM part)) AS gone FROM n GROUP BY stage) "
+    "SELECT p_partkey AS stage, max(level)::BIGINT AS level, CASE WHEN p_partkey % 7 = 0 THEN 'done' WHEN any_value(gone) THEN 'missing input' WHEN any_value(blocked_by) IS NOT NULL THEN 'waiting' ELSE 'ready' END AS state, coalesce(any_value(b.blocked_by), '') AS blocked_by "
+    "FROM part JOIN l ON l.stage = p_partkey LEFT JOIN b ON b.stage = p_partkey GROUP BY p_partkey"
+)
+def stage_plan(spark, d):
+    """Parts as stages that need what two of smaller number make, every seventh being there."""
+    k = F.col("p_partkey")
+    made = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    parts = table(spark, d, "part")
+    needs = F.when(k > 3, F.array(made(F.floor(k / 4)), made(F.floor(k / 5)))).otherwise(F.array().cast("array<string>"))
+    found = control.plan_stages(parts.select(k.alias("stage"), needs.alias("needs"), made(k).alias("makes")), parts.where(k % 7 == 0).select(made(k).alias("output")))
+    return found.withColumn("blocked_by", F.array_join("blocked_by", ","))
 
 
 @query("SELECT o_custkey AS folder, CASE min(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '2-HIGH' THEN 2 END) WHEN 0 THEN '1-URGENT' WHEN 1 THEN '4-NOT SPECIFIED' ELSE '2-HIGH' END AS path FROM orders WHERE o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED', '2-HIGH') GROUP BY o_custkey")

@@ -129,7 +129,19 @@ _AGAIN = "both_rec AS (SELECT id, source, category, group_id, \"user\" FROM rec
 O["near_duplicate_review"] = cte(PAIRS, _REC, _AGAIN, "u AS (SELECT id, \"user\" AS text FROM both_rec)", near("u", None)) + """SELECT left_id, right_id, similarity, a.category AS left_family, b.category AS right_family, a.group_id AS left_group, b.group_id AS right_group,
  CASE WHEN a.source = b.source OR (a.group_id = b.group_id AND a.group_id = 'chat-v1:0') THEN 'expected same-cluster variant' WHEN greatest(left_id, right_id) = least(left_id, right_id) || '.again' AND CAST(split_part(left_id, '.', 2) AS BIGINT) % 3 = 1 THEN 'legitimate cross-topic wording' ELSE 'rewrite required' END AS classification
  FROM near JOIN both_rec a ON a.id = left_id JOIN both_rec b ON b.id = right_id WHERE similarity >= 0.82"""
-O["similarity_cases"] = "SELECT * FROM (VALUES ('equal', 1.0), ('empty', 0.0), ('inside', 1.0), ('one word', 0.4), ('set', 1.0), ('order', 1.0), ('nine tenths', 1.0), ('same length', 0.75), ('none', 0.0)) v(\"case\", similarity)"
+
+
+def _likeness(a: str, b: str) -> str:
+    count = lambda x: f"len(list_filter({x}, lambda y: y = w))"
+    bags, sets = f"list_sum(list_transform(list_distinct({a}), lambda w: least({count(a)}, {count(b)})))", f"len(list_intersect(list_distinct({a}), list_distinct({b})))"
+    pad = lambda x: f"' ' || array_to_string({x}, ' ') || ' '"
+    short, few = f"least(len({a}), len({b}))", f"CASE WHEN len({a}) <= len({b}) THEN len(list_distinct({a})) ELSE len(list_distinct({b})) END"
+    inside = f"CASE WHEN len({a}) <= len({b}) THEN contains({pad(b)}, {pad(a)}) ELSE contains({pad(a)}, {pad(b)}) END"
+    held = f"CASE WHEN {short} < 2 THEN 0.0 WHEN {inside} THEN 1.0 WHEN {sets} / ({few}) >= 0.9 THEN least(1.0, {short} / greatest(len({a}), len({b})) + 0.35) ELSE 0.0 END"
+    return f"CASE WHEN {a} = {b} THEN 1.0 ELSE round_even(greatest(2.0 * {sets} / (len(list_distinct({a})) + len(list_distinct({b}))), 2.0 * {bags} / (len({a}) + len({b})), {held})::DOUBLE, 6) END::DOUBLE"
+
+
+O["similarity_cases"] = f"WITH t AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type || ' ' || p_name || ' ' || p_brand), ' ') AS b, string_split(lower(p_type), ' ') AS c, string_split(lower(p_type || ' ' || p_type), ' ') AS d FROM part) SELECT p_partkey AS case, {_likeness('a', 'b')} AS similarity, {_likeness('c', 'd')} AS doubled FROM t"
 O["conversation_pairs"] = cte(PAIRS) + "SELECT * FROM pairs"
 _field = lambda x: strip(f"replace(coalesce({x}, ''), chr(13) || chr(10), chr(10))")
 O["message_tree_pairs"] = f"SELECT a.conv_id * 1000 + a.turn AS message_id, {_field('p.text')} AS prompt, {_field('a.text')} AS answer FROM conversations a JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1 WHERE a.role = 'assistant' AND p.role = 'user' AND {_field('p.text')} <> '' AND {_field('a.text')} <> ''"
@@ -214,7 +226,7 @@ O["checkpoint_select"] = cte(_CAT) + "SELECT folder, 'resume' AS operation, path
 O["early_stopping"] = """WITH n AS (SELECT user_id, value AS loss, row_number() OVER w AS n, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  i AS (SELECT *, n - max(CASE WHEN best IS NULL OR loss < best THEN n END) OVER (PARTITION BY user_id ORDER BY n) AS since FROM n), s AS (SELECT *, min(CASE WHEN since >= 5 THEN n END) OVER (PARTITION BY user_id) AS stop FROM i)
  SELECT user_id, count(*) AS evaluations, min(loss) AS best, max(stop) AS stopped_at FROM s WHERE stop IS NULL OR n <= stop GROUP BY user_id"""
-O["lr_schedule"] = "SELECT i AS step, CASE WHEN i < 100 THEN CAST(0.0003 AS DOUBLE) * (i + 1) / 100 ELSE CAST(0.0003 AS DOUBLE) END AS rate, i % 250 = 0 OR i = 1999 AS evaluate FROM range(2000) t(i)"
+O["lr_schedule"] = "SELECT event_id, i AS step, CASE WHEN i < 20 THEN CAST(0.0003 AS DOUBLE) * (i + 1) / 20 ELSE CAST(0.0003 AS DOUBLE) END AS rate, i % 25 = 0 OR i = n - 1 AS evaluate FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 O["benchmark_aggregate"] = "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 2 AS i, CAST(round(value * 100) AS BIGINT) AS elapsed, event_id AS tokens FROM events) SELECT user_id, count(*) AS runs, CAST(sum(elapsed) AS BIGINT) AS total, round(avg(elapsed), 6) AS mean, min(elapsed) AS least, max(elapsed) AS most, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / CAST(sum(elapsed) AS DOUBLE), 6) AS tokens_per_second FROM r WHERE i >= 1 AND elapsed > 0 GROUP BY user_id"
 _L = "l AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 O["topk_softmax"] = cte(_L, "t AS (SELECT vec_id, list_transform(v[1:50], lambda x: x / CAST(0.7 AS DOUBLE)) AS v FROM l)", "k AS (SELECT vec_id, v, list_reverse_sort(v)[5] AS cut, list_max(v) AS top FROM t)", "e AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x >= cut THEN exp(x - top) ELSE 0.0 END) AS e FROM k)", "p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)") + "SELECT vec_id, len(list_filter(p, lambda x: x > 0)) AS kept, round(list_max(p), 6) AS top, CAST(list_min(list_filter(list_transform(p, lambda x, i: CASE WHEN list_sum(p[1:i]) > 0.5 THEN i - 1 END), lambda x: x IS NOT NULL)) AS BIGINT) AS drawn FROM p"

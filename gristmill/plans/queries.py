@@ -259,10 +259,9 @@ def near_duplicate_review(spark, d):
 
 @query
 def similarity_cases(spark, d):
-    rows = [("equal", "a b", "a b"), ("empty", "", "a"), ("inside", "b c", "a b c d e f g h"), ("one word", "b", "a b c d"), ("set", "a a b", "a b b b"), ("order", "a b c d", "d c b a"), ("nine tenths", "a b c d e f g h i j", "a b c d e f g h i x y z"), ("same length", "a b c d", "a b c e"), ("none", "p q", "r s")]
-    cases = spark.createDataFrame(rows, "case string, a string, b string")
-    split = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    return cases.select("case", overlap.similarity(split("a"), split("b")).alias("similarity"))
+    """Each part's name against its type and brand, word by word."""
+    words = lambda *c: F.split(F.lower(F.concat_ws(" ", *c)), " ")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("case"), overlap.similarity(words("p_name"), words("p_type", "p_name", "p_brand")).alias("similarity"), overlap.similarity(words("p_type"), words("p_type", "p_type")).alias("doubled"))
 
 
 # conversations and supervised records
@@ -597,7 +596,9 @@ def early_stopping(spark, d):
 
 @query
 def lr_schedule(spark, d):
-    return control.schedule(spark, 2000, 3e-4, 100, 250)
+    """Each user's events as training steps: their learning rate, and whether one evaluates after them."""
+    steps = table(spark, d, "events").select("event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("step"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    return steps.select("event_id", F.col("step").cast("long").alias("step"), control.learning_rate(F.col("step"), 3e-4, 20).alias("rate"), control.should_evaluate(F.col("step"), 25, F.col("n")).alias("evaluate"))
 
 
 @query

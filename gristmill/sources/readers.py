@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -126,12 +126,17 @@ def rows_from_table(spark: SparkSession, rows: list[tuple], columns: list[str])
 
 def synthetic(spark: SparkSession, banks: list[list[str]], glue: str = " ") -> DataFrame:
     """(i, text): every combination of one phrase of each bank, joined; the last bank varies fastest. Row i is worked out from its number, so nothing is joined."""
-    total = math.prod(map(len, banks))
-    parts, below = [], total
+    return spark.range(math.prod(map(len, banks))).select(F.col("id").alias("i"), combination(F.col("id"), banks, glue).alias("text"))
+
+
+def combination(i: Column, banks: list[list[str]], glue: str = " ") -> Column:
+    """The combination of number ``i``, which begin anew after the last."""
+    parts, below = [], math.prod(map(len, banks))
+    i = F.pmod(i, F.lit(below))
     for bank in banks:
         below //= len(bank)
-        parts.append(F.element_at(F.array(*map(F.lit, bank)), (F.floor(F.col("id") / below) % len(bank) + 1).cast("int")))
-    return spark.range(total).select(F.col("id").alias("i"), F.concat_ws(glue, *parts).alias("text"))
+        parts.append(F.element_at(F.array(*map(F.lit, bank)), (F.floor(i / below) % len(bank) + 1).cast("int")))
+    return F.concat_ws(glue, *parts)
 
 
 def first_existing(preferred: list[str], present: DataFrame, by: list[str]) -> DataFrame:
