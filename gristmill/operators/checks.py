@@ -258,6 +258,54 @@ def supervised_report(report: Mapping[str, Any], suites: Mapping[str, tuple[int,
     return wrong
 
 
+def supervised_manifest(value: Mapping[str, Any], report: Mapping[str, Any] | None) -> list[str]:
+    """What breaks the contract of a supervised set's manifest, and its link to the report that it names."""
+    wrong = provenance.verify(value, {"version", "kind", "dataset", "output", "components", "build", "grouping", "evaluation_audit", "quality_report", "digest"}, 1)
+    output, grouping, components = value.get("output") or {}, value.get("grouping") or {}, value.get("components") or []
+    if not _hex(output.get("sha256")) or not _whole(output.get("size_bytes")) or not _whole(output.get("record_count")):
+        wrong.append("the output has no digest, size and count")
+    sizes = grouping.get("group_sizes") or {}
+    if sum(sizes.values()) != grouping.get("group_count") or sum(int(k) * n for k, n in sizes.items()) != output.get("record_count"):
+        wrong.append("the groups don't add up")
+    if any(not _hex(c.get("sha256")) or not _whole(c.get("record_count")) for c in components) or len({c.get("name") for c in components}) != len(components):
+        wrong.append("a component has no digest and count, or is named twice")
+    own = [c for c in components if c.get("sha256") == output.get("sha256")]
+    if len(own) != 1 or own[0].get("record_count") != output.get("record_count"):
+        wrong.append("the output isn't a component")
+    if report is None:
+        return [*wrong, "orphaned manifest: its report is missing"]
+    if (value.get("quality_report") or {}).get("digest") != report.get("digest"):
+        return [*wrong, "the report is another one"]
+    if report.get("output_sha256") != output.get("sha256") or report.get("counts", {}).get("records") != output.get("record_count") or report.get("dataset") != value.get("dataset"):
+        wrong.append("the report is of another output")
+    if report.get("evaluation_audit") != value.get("evaluation_audit") or (report.get("split_readiness") or {}).get("digest") != grouping.get("split_digest"):
+        wrong.append("audit or split differ from the report's")
+    return wrong
+
+
+def tokenizer(identity: Mapping[str, Any]) -> list[str]:
+    """What breaks the contract of a tokenizer's identity."""
+    wrong = provenance.verify(identity, {"version", "algorithm", "model_sha256", "vocab_size", "special_tokens", "digest"}, 1)
+    special = identity.get("special_tokens")
+    if not _hex(identity.get("model_sha256")):
+        wrong.append("no digest of the model")
+    if not _whole(identity.get("vocab_size")) or not identity.get("vocab_size"):
+        wrong.append("no vocabulary size")
+    if not isinstance(special, Mapping) or set(special) != set(provenance.SPECIAL_TOKENS):
+        wrong.append("the special tokens are incomplete")
+    elif any(not _whole(i) or i >= (identity.get("vocab_size") or 0) for i in special.values()) or len(set(special.values())) < len(special):
+        wrong.append("special tokens share ids, or have some out of range")
+    return wrong
+
+
+def same_tokenizer(saved: Mapping[str, Any], running: Mapping[str, Any]) -> list[str]:
+    """In what two identities differ; broken ones are an error that says of which side."""
+    for side, identity in (("saved", saved), ("running", running)):
+        if wrong := tokenizer(identity):
+            raise ValueError(f"the {side} tokenizer's identity: {'; '.join(wrong)}")
+    return provenance.differences(saved, running)
+
+
 def generation(values: Mapping[str, Any]) -> list[str]:
     """What is out of range in settings of generation."""
     number = lambda k, ok: k not in values or isinstance(values[k], (int, float)) and not isinstance(values[k], bool) and ok(values[k])

@@ -126,6 +126,17 @@ def incompatible(catalog: DataFrame, resume: bool) -> DataFrame:
     return catalog.select("path", F.array_join(F.array_compact(F.array(*reasons)), ",").alias("reasons"))
 
 
+def explicit(classified: DataFrame, path: str, resume: bool) -> DataFrame:
+    """The one row of classified checkpoints that a path names, however it is written; none is an error, and so is one that can't be used, which says why."""
+    named = classified.where(provenance.normalized_path(F.col("path")) == path.replace("\\", "/").lower())
+    found = incompatible(named, resume).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} checkpoint {path}")
+    if found[0].reasons:
+        raise ValueError(f"checkpoint {path}: {found[0].reasons}")
+    return named
+
+
 def resume(catalog: DataFrame, by: list[str], explicit: str | None = None, allow_inexact: bool = False) -> DataFrame:
     """(by, path, decision) for each run folder: where training goes on.
 

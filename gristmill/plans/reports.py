@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, fields
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import control, documents, provenance, scoring
@@ -20,6 +20,7 @@ from ..operators import control, documents, provenance, scoring
 class Config:
     """Settings of a run; numbers given as text are converted, unknown names are errors."""
 
+    # fixed values: names and defaults of the settings files
     vocab_size: int = 8000
     block_size: int = 256
     n_layer: int = 4
@@ -60,6 +61,18 @@ class Config:
         return asdict(self)
 
 
+def settings(spark: SparkSession, path: str, **overrides: Any) -> Config:
+    """The settings of a YAML file, which Spark reads from wherever it lies, with those given here put over them."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("settings files need a YAML reader") from e
+    values = yaml.safe_load("\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect())) or {}
+    if not isinstance(values, dict):
+        raise ValueError(f"{path} holds no settings")
+    return Config.of(values, **overrides)
+
+
 def write(report: Mapping[str, Any], path: str) -> None:
     """Sorted, indented JSON with a line end; an existing file is never replaced."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
@@ -245,3 +258,17 @@ def tiny(tokens: int, block: int) -> bool:
 def aligned(config: Config, vocabulary: int) -> Config:
     """The settings with the tokenizer's own number of ids."""
     return Config.of(config.snapshot() | {"vocab_size": vocabulary})
+
+
+def supervised_manifest(records: DataFrame, report: Mapping[str, Any], output: Mapping[str, Any], components: list[Mapping[str, Any]], build: Mapping[str, Any]) -> dict[str, Any]:
+    """A sealed manifest of a supervised set: its file (logical_name, sha256, size_bytes), what it is trained with, how its records are grouped, and its sealed report.
+
+    Records are counted by Spark; a group is a row of the aggregate, and only their sizes' distribution comes here.
+    """
+    sizes = records.groupBy("group_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups")).orderBy("size").collect()
+    counts = {"records": sum(r.size * r.groups for r in sizes), "groups": sum(r.groups for r in sizes)}
+    listed = sorted(({k: c[k] for k in ("name", "logical_name", "sha256", "record_count")} for c in components), key=lambda c: c["name"])
+    return provenance.sealed({
+        "version": 1, "kind": "supervised_manifest", "dataset": report["dataset"], "output": {**{k: output[k] for k in ("logical_name", "sha256", "size_bytes")}, "record_count": counts["records"]}, "components": listed, "build": dict(build),
+        "grouping": {"group_count": counts["groups"], "group_sizes": {str(r.size): r.groups for r in sizes}, "split_digest": report["split_readiness"]["digest"]}, "evaluation_audit": report["evaluation_audit"], "quality_report": {"digest": report["digest"]},
+    })

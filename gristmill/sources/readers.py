@@ -13,10 +13,49 @@ from ..operators.documents import DataQualityError
 _BOM = "﻿"
 
 
+def _qualified(spark: SparkSession, folder: str) -> tuple[str, bool]:
+    """A folder's whole name, as files in it are named, and whether it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store.makeQualified(path).toString(), store.exists(path)
+
+
+def _below(spark: SparkSession, folders: list[str], path: Column) -> Column:
+    """The path of a file below whichever of the folders holds it; else its name."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    slim = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
+    rest = F.element_at(F.split(plain, "/"), -1)
+    # of nested folders the outermost counts
+    for base in sorted((_qualified(spark, f)[0].rstrip("/") + "/" for f in folders), key=len, reverse=True):
+        inside = F.startswith(slim(plain), slim(F.lit(base)))
+        rest = F.when(inside, F.substr(slim(plain), F.length(slim(F.lit(base))) + 1)).otherwise(rest)
+    return rest
+
+
 def markdown(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """(source, text): a document for each ``.md`` file; the source is its path below the given folder."""
+    """(source, path, text): a document for each ``.md`` file; the source is its path below the given folder."""
     files = spark.read.text(paths, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), "path", F.regexp_replace("text", f"^{_BOM}", "").alias("text"))
+    return files.select(_below(spark, paths, F.col("path")).alias("source"), "path", F.regexp_replace("text", f"^{_BOM}", "").alias("text"))
+
+
+def corpus(spark: SparkSession, folder: str, below: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """(document_id, text, source, explicit_split, fields) of a folder: its Markdown files and those of the folders ``below`` it, but for the sources ``without``, and the rows of its JSON lines.
+
+    A source is a path below the folder, so files of one name in different folders are told apart. Nothing to read is an error.
+    """
+    folder = folder.rstrip("/")
+    found = [f for f in (folder, *(f"{folder}/{b}" for b in below or [])) if _qualified(spark, f)[1]]
+    if not found:
+        raise DataQualityError(f"there is no folder {folder}")
+    notes = spark.read.text(found, wholetext=True, pathGlobFilter="*.md").select(_below(spark, [folder], F.col("_metadata.file_path")).alias("source"), F.regexp_replace("value", f"^{_BOM}", "").alias("text"))
+    notes = notes.where(~F.col("source").isin(*(without or [""])))
+    none = F.lit(None).cast("string")
+    notes = notes.select(none.alias("document_id"), "text", "source", none.alias("explicit_split"), F.create_map().cast("map<string,string>").alias("fields"))
+    if spark.read.format("binaryFile").load(folder, pathGlobFilter="*.jsonl").select("path").limit(1).count():
+        return notes.unionByName(documents(spark, folder, glob="*.jsonl"))
+    if not notes.select("source").limit(1).count():
+        raise DataQualityError(f"no Markdown and no JSON lines in {folder}")
+    return notes
 
 
 def json_lines(spark: SparkSession, paths: list[str] | str, required: list[str], optional: list[str] | None = None, lenient: bool = False) -> DataFrame:
@@ -62,7 +101,7 @@ def read_tokens(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def documents(spark: SparkSession, paths: list[str] | str, conversation: bool = False) -> DataFrame:
+def documents(spark: SparkSession, paths: list[str] | str, conversation: bool = False, glob: str | None = None) -> DataFrame:
     """Documents of JSON lines: (document_id, text, source, explicit_split, fields).
 
     A row's text is its ``text`` or, without one (or with ``conversation``), made of system, user and assistant in chat
@@ -72,7 +111,7 @@ def documents(spark: SparkSession, paths: list[str] | str, conversation: bool =
     from ..operators.conversations import conversation_text
 
     names = ["text", "source", "id", "split", "system", "user", "assistant"]
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", f"^{_BOM}", ""), r"\r\n?|\n", -1)).alias("at", "line"))
+    lines = spark.read.text(paths, wholetext=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", f"^{_BOM}", ""), r"\r\n?|\n", -1)).alias("at", "line"))
     lines = lines.where(T.strip(F.col("line")) != "")
     row = F.from_json("line", ", ".join(f"`{n}` string" for n in names) + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     parsed = lines.withColumn("row", row)
