@@ -131,6 +131,13 @@ def ambiguous_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("document_id").agg(F.count_distinct("canonical_fingerprint").alias("contents")).where("contents > 1")
 
 
+def ambiguous_list(docs: DataFrame, shown: int = 20) -> DataFrame:
+    """One row: how many ids stand for more than one content, and the first ``shown`` of them in order, joined."""
+    found = ambiguous_ids(docs)
+    first = found.select("document_id").orderBy("document_id").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("document_id")), ", ").alias("listed"))
+    return found.agg(F.count("*").alias("ids")).crossJoin(first)
+
+
 def require_unique_ids(docs: DataFrame, shown: int = 20) -> None:
     """An error that names ids, the first in order, if any stands for more than one content."""
     if found := [r.document_id for r in ambiguous_ids(docs).orderBy("document_id").limit(shown).collect()]:

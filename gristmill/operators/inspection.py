@@ -57,6 +57,13 @@ def keyword_class(c: Column, classes: dict[str, list[str]]) -> Column:
     return out.otherwise("other")
 
 
+def class_of(rows: DataFrame, text: str, classes: dict[str, list[str]], category: str) -> DataFrame:
+    """``rows`` with ``class``: where any row of all states a category, that (``other`` if null or not one of the classes); only where none does, what its text's keywords say."""
+    stated = rows.agg(F.coalesce(F.bool_or(F.col(category).isNotNull()), F.lit(False)).alias("_stated"))  # one row
+    known = F.when(F.col(category).isin(*classes), F.col(category)).otherwise("other")
+    return rows.crossJoin(stated).withColumn("class", F.when(F.col("_stated"), known).otherwise(keyword_class(F.col(text), classes))).drop("_stated")
+
+
 def totals(docs: DataFrame) -> DataFrame:
     """One row: texts, characters, estimated tokens, shortest and longest."""
     n = F.length("text").cast("long")
@@ -77,3 +84,23 @@ def top_repeats(docs: DataFrame, c: str, key: str, limit: int = 5) -> DataFrame:
 def near_topic(total: Column, count: Column) -> Column:
     """Whether one opening dominates."""
     return count > F.greatest(F.lit(25), F.floor(total / 20))
+
+
+#: Characters from which a corpus is of the second and the third size, and examples below which a set is small: fixed values of the inspection.
+BANDS, FEW = (100_000, 500_000), 100
+
+
+def size_band(chars: Column) -> Column:
+    return F.when(chars < BANDS[0], "small").when(chars < BANDS[1], "medium").otherwise("large")
+
+
+def warnings(docs: DataFrame, by: str, opening: Column) -> DataFrame:
+    """(by, texts, chars, band, few, dominant): each group's size, whether it has few texts, and the opening that dominates it, if one does (the least of the most frequent ones)."""
+    rows = docs.select(by, F.length("text").cast("long").alias("chars"), opening.alias("opening"))
+    counted = rows.groupBy(by, "opening").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    top = F.max(F.struct(F.when(F.col("opening") != "", F.col("n")).otherwise(0)))
+    sums = counted.groupBy(by).agg(F.sum("n").alias("texts"), F.sum("chars").alias("chars"), top.alias("top"))
+    first = counted.where("opening <> ''").groupBy(by, "n").agg(F.min("opening").alias("opening")).select(F.col(by).alias("_by"), F.col("n").alias("_n"), "opening")
+    joined = sums.join(first, F.col(by).eqNullSafe(F.col("_by")) & (F.col("top.col1") == F.col("_n")), "left")
+    dominant = F.when(near_topic(F.col("texts"), F.col("_n")), F.col("opening"))
+    return joined.select(by, "texts", "chars", size_band(F.col("chars")).alias("band"), (F.col("texts") < FEW).alias("few"), dominant.alias("dominant"))

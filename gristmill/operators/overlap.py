@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import scratch
+from . import tokens
 from .documents import DataQualityError
 
 FULL, FIELD, SUBSTRING = "full-document", "field-exact", "normalized-substring"
@@ -100,6 +101,13 @@ def contamination(docs: DataFrame, prompts: DataFrame, fields: list[str] | None
     return best.join(listed.select("prompt_id", "suite"), "prompt_id").select("prompt_id", "suite", "document_id", "source", named.alias("match_type"), F.substring("b.canonical_fingerprint", 1, 12).alias("document_fingerprint"))
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings with ``ordinal``, their place by prompt, source, document and fingerprint, from 0: counted range by range, not sorted in one task."""
+    null = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keyed = findings.withColumn("_key", F.concat_ws("\u0001", *map(null, ("prompt_id", "source", "document_id", "document_fingerprint", "match_type")))).withColumn("_one", F.lit(1).cast("long"))
+    return tokens.offsets(keyed, "_key", "_one").withColumnRenamed("offset", "ordinal").drop("_key", "_one")
+
+
 def _blocks(prompts: DataFrame) -> Iterator[dict[str, list[str]]]:
     block: dict[str, list[str]] = {}
     size = 0

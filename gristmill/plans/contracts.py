@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, control, documents, numeric, overlap, report_tables, scoring, sessions, streams, tokens, vocabulary
+from ..operators import checks, control, documents, inspection, numeric, overlap, report_tables, scoring, sessions, streams, tokens, vocabulary
 from ..sources import artifacts, readers, scratch
 from . import oracles as S
 from . import queries as Q
@@ -368,6 +368,39 @@ def property_violations(spark, d):
     return report_tables.violations(rows.where(click), strict, ["event_id"]).unionByName(report_tables.violations(rows.where(~click), plain, ["event_id"]))
 
 
+@query(S.cte(S.DOCS, S.PROMPTS, S.FOUND) + "SELECT prompt_id, suite, document_id, source, match_type, document_fingerprint, row_number() OVER (ORDER BY prompt_id || chr(1) || source || chr(1) || document_id || chr(1) || document_fingerprint || chr(1) || match_type) - 1 AS ordinal FROM found")
+def ordered_findings(spark, d):
+    return overlap.in_order(overlap.contamination(Q.docs(spark, d), Q.prompts(spark, d)))
+
+
+@query(S.cte(S.DOCS) + ", a AS (SELECT source || '-' || lang AS document_id FROM docs GROUP BY 1 HAVING count(DISTINCT fp) > 1) SELECT (SELECT count(*) FROM a) AS ids, (SELECT string_agg(document_id, ', ' ORDER BY document_id) FROM (SELECT document_id FROM a ORDER BY 1 LIMIT 20)) AS listed")
+def ambiguous_list(spark, d):
+    rows = documents.identify(table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("document_id"), "text", "source"), "drop")
+    return documents.ambiguous_list(rows)
+
+
+@query(
+    "WITH o AS (SELECT source, len(text) AS chars, array_to_string(regexp_extract_all(lower(text), '[a-z0-9'']+')[1:1], ' ') AS opening FROM documents), c AS (SELECT source, opening, count(*) AS n, sum(chars) AS chars FROM o GROUP BY 1, 2), "
+    "g AS (SELECT source, sum(n)::BIGINT AS texts, sum(chars)::BIGINT AS chars, max(n) FILTER (opening <> '') AS top FROM c GROUP BY 1) "
+    "SELECT g.source, texts, g.chars, CASE WHEN g.chars < 100000 THEN 'small' WHEN g.chars < 500000 THEN 'medium' ELSE 'large' END AS band, texts < 100 AS few, CASE WHEN top > greatest(25, texts // 20) THEN (SELECT min(opening) FROM c WHERE c.source = g.source AND n = top AND opening <> '') END AS dominant FROM g"
+)
+def source_warnings(spark, d):
+    """Size, number of texts and dominating first word of each source."""
+    return inspection.warnings(table(spark, d, "documents"), "source", T.opening(F.col("text"), 1))
+
+
+@query(
+    "WITH b AS (SELECT conv_id, turn, CASE WHEN role <> 'system' THEN role END AS a, CAST(NULL AS VARCHAR) AS n, lower(text) AS l FROM conversations), k AS (SELECT *, CASE WHEN contains(l, 'the ') THEN 'user' WHEN contains(l, 'la ') THEN 'assistant' ELSE 'other' END AS w FROM b) "
+    "SELECT conv_id, turn, coalesce(a, 'other') AS stated, w AS by_words FROM k"
+)
+def category_or_keywords(spark, d):
+    """Turns by their stated category, and by their words where none is stated at all."""
+    classes = {"user": ["the "], "assistant": ["la "]}
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("role") != "system", F.col("role")).alias("category"), F.lit(None).cast("string").alias("none"))
+    stated = inspection.class_of(rows, "text", classes, "category").withColumnRenamed("class", "stated")
+    return inspection.class_of(stated, "text", classes, "none").select("conv_id", "turn", "stated", F.col("class").alias("by_words"))
+
+
 @query("SELECT t.vec_id, round(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda k: CAST(t.embedding[k] AS DOUBLE) + CAST(p.embedding[k] AS DOUBLE))), 5) AS total FROM embeddings t JOIN embeddings p ON p.vec_id = t.vec_id % 32")
 def embedding_sums(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
