@@ -197,10 +197,10 @@ def resume_decisions(spark, d):
     return sessions.resume(Q._catalog(spark, d).withColumn("exact", exact), ["folder"])
 
 
-@query("SELECT lang, sha256(string_agg('# ' || KEY || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY KEY)) AS sha FROM (SELECT lang, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS KEY, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE source = 'src1') WHERE t <> '' GROUP BY lang".replace("regexp_replace(text, '^\\s+|\\s+$', '', 'g')", S.strip("text")))
+@query("SELECT source, lang, sha256(string_agg('# ' || KEY || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY KEY)) AS sha FROM (SELECT source, lang, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS KEY, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> '' GROUP BY source, lang".replace("regexp_replace(text, '^\\s+|\\s+$', '', 'g')", S.strip("text")))
 def combined_corpus(spark, d):
-    docs = table(spark, d, "documents").where("source = 'src1'").select("lang", "text", Q.doc_key().alias("key"))
-    return readers.joined_corpus(docs, ["lang"], "key", headed=True).select("lang", F.sha2("text", 256).alias("sha"))
+    docs = table(spark, d, "documents").select("source", "lang", "text", Q.doc_key().alias("key"))
+    return readers.joined_corpus(docs, ["source", "lang"], "key", headed=True).select("source", "lang", F.sha2("text", 256).alias("sha"))
 
 
 _BANKS = [["How do I", "Why does one"], ["open", "sort", "merge"], ["a list", "a queue"], ["at once?", "safely?"], ["Please be brief.", "Give steps."]]

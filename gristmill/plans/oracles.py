@@ -165,7 +165,7 @@ O["sft_audit"] = cte(PAIRS, f"d AS (SELECT {fp(CHAT)} AS raw, {fp(norm(CHAT))} A
 O["sft_word_buckets"] = cte(PAIRS, f"n AS (SELECT len({words('assistant')}) AS n FROM pairs)") + "SELECT count(*) AS records, min(n) AS least, max(n) AS most, round_even(avg(n), 3) AS mean, count(*) FILTER (n <= 12) AS to_12, count(*) FILTER (n BETWEEN 13 AND 24) AS to_24, count(*) FILTER (n BETWEEN 25 AND 40) AS to_40, count(*) FILTER (n > 40) AS over_40 FROM n"
 O["category_balance"] = "SELECT coalesce(a.lang, b.lang) AS category, coalesce(b.n, 0) AS expected, coalesce(a.n, 0) AS actual, coalesce(a.n, 0) = coalesce(b.n, 0) AS ok FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang) b ON a.lang = b.lang"
 O["label_quality_filter"] = "SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang"
-O["cross_dataset_overlap"] = cte(PAIRS, f"k AS (SELECT turn, array_to_string({toks('\"user\"')}, ' ') AS p, \"user\" || chr(1) || assistant AS c FROM pairs)") + "SELECT (SELECT count(DISTINCT p) FROM k WHERE turn < 3 AND p <> '') AS prompts, (SELECT count(DISTINCT c) FROM k WHERE turn < 3) AS conversations"
+O["cross_dataset_overlap"] = cte(PAIRS, f"k AS (SELECT array_to_string({toks('\"user\"')}, ' ') AS p, \"user\" AS u, assistant AS a FROM pairs)", f"t AS (SELECT array_to_string({toks('text')}, ' ') AS p FROM conversations)") + "SELECT (SELECT count(DISTINCT p) FROM k WHERE p <> '' AND p IN (SELECT p FROM t)) AS prompts, (SELECT count(DISTINCT u) FROM k WHERE u = a) AS conversations"
 O["prompt_coverage"] = cte(PROMPTS, f"t AS (SELECT DISTINCT lower({norm('text')}) AS canon FROM (SELECT text FROM conversations WHERE role = 'user' UNION ALL SELECT text FROM documents))") + "SELECT prompt_id, count(t.canon) AS turns FROM prompts p LEFT JOIN t ON t.canon <> '' AND (contains(t.canon, lower(p.canon)) OR contains(lower(p.canon), t.canon)) GROUP BY prompt_id"
 _S = "'One is on the shelf.'"
 _forms = {

@@ -336,8 +336,9 @@ def label_quality_filter(spark, d):
 
 @query
 def cross_dataset_overlap(spark, d):
-    c = chat(spark, d)
-    return conversations.overlapping(c.where("turn < 3"), c)
+    """What pairs share with a table of all turns, each of which answers itself."""
+    turns = table(spark, d, "conversations").select(F.col("text").alias("user"), F.col("text").alias("assistant"))
+    return conversations.overlapping(chat(spark, d), turns)
 
 
 @query
