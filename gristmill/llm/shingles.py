@@ -5,20 +5,21 @@ Sets near enough share one of their first elements in any order that holds for a
 comes last in the order; the sample decides how many rows meet, never which pairs
 are found. Rows that meet are compared by length and by a bitmap of parities, which
 reject no pair that is near enough, and then by their sets. A first round compares
-each set with one other, the least that it meets. The next ones compare, of any two
-components that meet under a key, the two sets of most alike bitmaps, until that links
+each set with one other, the least that it meets, and with those that the caller
+names, say by their fingerprints. The next ones compare, for each component under a
+key, the two sets of most alike bitmaps of it and of any other, until that links
 no more. Then all that meet and have no link yet are compared, so a large group of copies
 isn't compared pair by pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, text_chunks
@@ -31,10 +32,14 @@ SIZE, NEAR = 5, (4, 5)
 SAMPLE_DOCS, COMMON, MOST_COMMON = 4000, 4, 200_000
 #: Bits of a bitmap of parities at least; it has as many as its set has elements, rounded up to a power of two.
 BITS = 512
+#: Byte b as eight bytes, one for each of its bits: sums of up to 255 of them don't overflow.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 #: Places of the bitmap of wanted documents.
 SLOTS = 1 << 22
-_ROWS = "node long, n long, bits binary"
+_ROWS = "node long, n long, bits binary, fp long"
 _SETS = "doc_id long, node long, hashes binary"
+#: Keys before a key that a row remembers, so that a pair with one of them in common isn't named again.
+BEFORE = 8
 #: Sets that are compared with one other in one task, about.
 DEALT = 50
 
@@ -53,6 +58,27 @@ def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A fingerprint for each run of ``counts[i]`` hashes: bits set in over half of the run; zero for an empty run."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    n = counts[full]
+    pieces = -(-n // 255)
+    first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    which = np.repeat(np.arange(len(full)), pieces)
+    head = np.concatenate(([0], np.cumsum(pieces)[:-1]))
+    starts = first[which] + (np.arange(len(which)) - head[which]) * 255
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    bits = np.empty((len(full), 64), np.uint8)
+    for k in range(8):
+        sums = np.add.reduceat(_SPREAD[octets[:, k]], starts).view(np.uint8).reshape(-1, 8)
+        bits[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums, head, axis=0, dtype=np.int64) * 2 > n[:, None]
+    out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], pa.Array]:
     """Each row's sorted set of shingle hashes, and a hash of it."""
     found = [np.unique(np.array(shingle_hashes(t, size), np.uint64)) for t in batch.column("text").to_pylist()]
@@ -109,8 +135,9 @@ def _keys_with(shared, size: int, near: tuple[int, int]):
             for x in found:
                 late = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x if len(common) else np.zeros(len(x), bool)
                 first.append(np.concatenate((x[~late], x[late]))[: len(x) - -(-near[0] * len(x) // near[1]) + 1])
-            n = pa.array(np.array([len(x) for x in found], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), node, n, pa.array(list(map(parities, found)), pa.binary()), _lists(first)], ["doc_id", "node", "n", "bits", "keys"])
+            n = np.array([len(x) for x in found], np.int64)
+            fp = pa.array(majority(np.concatenate(found), n).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), node, pa.array(n), pa.array(list(map(parities, found)), pa.binary()), fp, _lists(first)], ["doc_id", "node", "n", "bits", "fp", "keys"])
 
     return keys
 
@@ -251,8 +278,27 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, root)], ["key", "node", "root"])
 
 
+def _before(column: pa.ListArray, key: np.ndarray) -> np.ndarray:
+    """Each row's list of at most BEFORE keys, filled up with its own."""
+    sizes = pa.compute.list_value_length(column).to_numpy()
+    out = np.repeat(key[:, None], BEFORE, axis=1)
+    rows = np.repeat(np.arange(len(column)), sizes)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy()
+    return out
+
+
+def _named_before(before: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a[i] and b[i] remember a key in common, under which they have met."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 14):
+        x, y, top = before[a[k : k + (1 << 14)]], before[b[k : k + (1 << 14)]], key[a[k : k + (1 << 14)], None]
+        for j in range(BEFORE):
+            out[k : k + (1 << 14)] |= ((x == y[:, j, None]) & (x != top)).any(axis=1)
+    return out
+
+
 def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
-    """Pairs of different roots under a key that may be near: all, or of two roots those of most alike bitmaps."""
+    """Pairs of different roots under a key that may be near: all, or for each root under a key that of most alike bitmaps, which are no more than rows came in."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -264,11 +310,18 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
         order = np.lexsort((node, key))
         key, node, n, root = key[order], node[order], n[order], root[order]
         bits = Bitmaps([bits[i] for i in order.tolist()])
+        before = np.concatenate([_before(b.column("before"), b.column("key").to_numpy()) for b in parts])[order]
+        parts.clear()
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         end = np.append(begin[1:], len(key))
         rows = np.arange(len(key))
         others = end[np.searchsorted(begin, rows, "right") - 1] - rows - 1  # a row meets those after it in its bucket
         ahead = np.concatenate(([0], np.cumsum(others)))
+        same = np.lexsort((root, key))
+        other = np.concatenate(([True], (key[same][1:] != key[same][:-1]) | (root[same][1:] != root[same][:-1])))
+        group = np.empty(len(key), np.int64)  # of each row's key and root
+        group[same] = np.cumsum(other) - 1
+        best = np.full((int(other.sum()), 3), np.iinfo(np.int64).max)  # for each group the least distance, and the rows of that pair
         for start in range(0, int(ahead[-1]), step):
             at = np.arange(start, min(start + step, int(ahead[-1])))
             a = np.searchsorted(ahead, at, "right") - 1
@@ -280,32 +333,39 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
             apart = bits.apart(bits, a, b)
             fit = _close(near, n[a], n[b], apart)
             a, b, apart = a[fit], b[fit], apart[fit]
-            if len(a) and not every:
-                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                o = np.lexsort((apart, high, low, key[a]))
-                a, b, low, high = a[o], b[o], low[o], high[o]
-                first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (key[a][1:] != key[a][:-1])))
-                a, b = a[first], b[first]
-            if len(a):
+            again = _named_before(before, key, a, b)
+            a, b, apart = a[~again], b[~again], apart[~again]
+            if every and len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            elif len(a):
+                at, apart, a, b = np.concatenate((group[a], group[b])), np.tile(apart, 2), np.tile(a, 2), np.tile(b, 2)
+                o = np.lexsort((b, a, apart, at))
+                o = o[np.concatenate(([True], at[o][1:] != at[o][:-1]))]
+                o = o[apart[o] < best[at[o], 0]]
+                best[at[o]] = np.column_stack((apart[o], a[o], b[o]))
+        best = best[best[:, 1] < len(key)]
+        if len(best):
+            chosen = np.unique(np.column_stack((node[best[:, 1]], node[best[:, 2]])), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen[:, 0]), pa.array(chosen[:, 1])], ["a", "b"])
 
     return pairs
 
 
-def resembling(docs: DataFrame, size: int = SIZE, near: tuple[int, int] = NEAR) -> DataFrame:
+def resembling(docs: DataFrame, size: int = SIZE, near: tuple[int, int] = NEAR, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id) for every row that has a doc_id: the least doc_id that is reached by links of near texts.
 
     Two texts are near if the Jaccard coefficient of their sets of shingles is at
     least ``near``; all such pairs are linked, whatever the length of the texts.
     Texts without words are near one another. Rows that share a doc_id count as
-    one document.
+    one document. ``first`` makes pairs (u, v) of nodes that are compared before any
+    others, from (fp, node): the SimHash of each set and a number that stands for it.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     shared = spark.sparkContext.broadcast(_common(narrow, size))
     prints = materialize(narrow.mapInArrow(_keys_with(shared, size, near), f"doc_id long, {_ROWS}, keys array<long>"), "shingles")
     # equal sets are one node, and its least doc_id stands for it
-    facts = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-nodes")
+    facts = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "shingle-nodes")
     rows = materialize(prints.select("doc_id", "node"), "shingle-rows")
     met = materialize(prints.select(F.explode("keys").alias("key"), "node").repartition("key").mapInArrow(_several, "star boolean, x long, y long"), "shared-shingles")
     discard(prints)
@@ -316,16 +376,21 @@ def resembling(docs: DataFrame, size: int = SIZE, near: tuple[int, int] = NEAR)
     stars = met.where("star").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     stars = stars.join(facts.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
     stars = materialize(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_fitting(near), "a long, b long").groupBy("b").agg(F.min("a").alias("a")), "stars")
+    if first:
+        given = first(facts.select("fp", "node")).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        stars = materialize(stars.select("a", "b").unionByName(given).distinct(), "first-pairs")
     roots = components(own.unionByName(_verified(narrow, facts, stars, size, near)))
     # then what meets under a key and has no link yet
     rooted = lambda d: d.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keyed = rooted(met.where("not star").select(F.col("x").alias("key"), F.col("y").alias("node"))).select("key", "node", "root")
     mixed = keyed.repartition("key").mapInArrow(_mixed, "key long, node long, root long").select("key", "node")
-    mixed = materialize(mixed.join(facts.select("node", "n", "bits"), "node"), "mixed-shingles")
+    # with the keys right before each: sets with many keys in common then meet under the first of them, not under all
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1))
+    mixed = materialize(mixed.withColumn("before", earlier).join(facts.select("node", "n", "bits"), "node"), "mixed-shingles")
     discard(met)
     every = False
     while True:
-        pairs = rooted(mixed).select("key", "node", "n", "bits", "root").repartition("key").mapInArrow(_pairs_with(near, every), "a long, b long")
+        pairs = rooted(mixed).select("key", "node", "n", "bits", "before", "root").repartition("key").mapInArrow(_pairs_with(near, every), "a long, b long")
         pairs = materialize(pairs.distinct(), "shingle-pairs")
         links = _verified(narrow, facts, pairs, size, near)
         discard(pairs)

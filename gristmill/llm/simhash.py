@@ -23,36 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_chunks
 from .graph import components
-from .shingles import resembling, shingle_hashes
+from .shingles import majority, resembling, shingle_hashes
 
 #: Fingerprints of a bucket from which on it is dealt out by further bits.
 HOT = 20_000
-#: Byte b as eight bytes, one for each of its bits: sums of up to 255 of them don't overflow.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A fingerprint for each run of ``counts[i]`` hashes: bits set in over half of the run; zero for an empty run."""
-    out = np.zeros(len(counts), np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    n = counts[full]
-    pieces = -(-n // 255)
-    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    which = np.repeat(np.arange(len(full)), pieces)
-    head = np.concatenate(([0], np.cumsum(pieces)[:-1]))
-    starts = first[which] + (np.arange(len(which)) - head[which]) * 255
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    bits = np.empty((len(full), 64), np.uint8)
-    for k in range(8):
-        sums = np.add.reduceat(_SPREAD[octets[:, k]], starts).view(np.uint8).reshape(-1, 8)
-        bits[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums, head, axis=0, dtype=np.int64) * 2 > n[:, None]
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches):
         each = [shingle_hashes(t) for t in batch.column("text").to_pylist()]
@@ -217,15 +194,24 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, without near copies: of each component of ``shingles.resembling`` the row of its least doc_id.
+def set_links(sets: DataFrame, radius: int = 3) -> DataFrame:
+    """Links (u, v) that connect all nodes whose fingerprints are within the radius. ``sets``: (fp, node), any number of nodes of a fingerprint."""
+    named = materialize(sets.groupBy("fp").agg(F.min("node").alias("least")), "set-prints")
+    equal = sets.join(named, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return links(named.select("fp", F.col("least").alias("node")), radius).unionByName(equal)
+
+
+def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all their columns, without near copies: of each component of near texts the row of its least doc_id.
 
     Near are texts whose sets of 5-word shingles have a Jaccard coefficient of 0.8
-    or more; the fingerprints' radius would be some 20 bits for these, too many
-    for buckets, so the sets are joined. Of rows that share a doc_id one stays.
+    or more. The SimHash of each set is linked within the radius, as by
+    ``near_duplicates``, and the texts so linked are compared by their sets first.
+    Fingerprints of near texts often differ in more bits, so ``shingles.resembling``
+    adds what its join of the sets finds. Of rows that share a doc_id one stays.
     Rows without doc_id all stay, as none of them can be told from another.
     """
-    found = resembling(docs)
+    found = resembling(docs, first=lambda sets: set_links(sets, radius))
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     several = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")

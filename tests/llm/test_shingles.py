@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gristmill.llm import shingles, simhash
@@ -58,3 +60,31 @@ def test_rows_that_share_an_id(spark):
     got = {(r.doc_id, r.component_id) for r in shingles.resembling(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {(7, 7), (9, 7), (8, 7), (3, 3)}
     assert shingles.resembling(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_pairs_are_named_once_and_rounds_name_no_more_than_came_in():
+    keys, nodes = 40, 30
+    rows = [(k, v, 20, shingles.parities(np.arange(20, dtype=np.uint64)), list(range(max(0, k - shingles.BEFORE), k)), v) for k in range(keys) for v in range(nodes)]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "node", "n", "bits", "before", "root"])
+    every = [p for b in shingles._pairs_with(shingles.NEAR, True, 100)(iter([batch])) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert sorted(every) == [(a, b) for a in range(nodes) for b in range(a + 1, nodes)]
+    some = [p for b in shingles._pairs_with(shingles.NEAR, False, 100)(iter([batch])) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert {v for p in some for v in p} == set(range(nodes)) and len(some) < nodes
+
+
+def test_fingerprints_are_compared_before_the_sets(spark, monkeypatch):
+    made = []
+
+    def links(prints, radius):
+        found = simhash_links(prints, radius)
+        made.append((radius, found.count()))
+        return found
+
+    simhash_links = simhash.links
+    monkeypatch.setattr(simhash, "links", links)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:200] + [f"x{i}"] + words[200:])) for i in range(6)] + [(9, "other text")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
+    assert len(made) == 1 and made[0][0] == 3 and made[0][1] > 0
