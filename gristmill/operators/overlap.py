@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ THRESHOLD = 0.82
 BLOCK_CHARS = 1_000_000
 #: Rows of a batch that a task searches at once.
 SEARCHED = 256
+#: Bits of a token set's bitmap; rows that offer a token in one part, about; tokens counted to be ranked; rows under tokens in a task, about.
+BITS, DEALT, RANKED, ENTRIES = 512, 20_000, 200_000, 400_000
 
 
 _automata: dict[str, object] = {}
@@ -207,6 +212,131 @@ def token_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, members
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's tokens' hashes as its bag's elements, those of first occurrences first and ``m`` of them; later ones get hashes of their own."""
+    for batch in batches:
+        lists = batch.column("hashes")
+        sizes = pa.compute.list_value_length(lists).to_numpy()
+        row, h = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().view(np.uint64)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+        k = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
+        e = (h ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))[np.lexsort((h, k > 0, row))]
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(e.view(np.int64)))
+        m = pa.array(np.bincount(row[new], minlength=len(sizes)), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "side", "rep", "joined")), made, m], ["node", "side", "rep", "joined", "elements", "m"])
+
+
+def _least(share: float, n: np.ndarray) -> np.ndarray:
+    return np.ceil(share * n - 1e-9)
+
+
+def _entries(shared, t: float):
+    """Rows under each token that may tell a pair: its rarest as a bag and as a set, which ask and offer, and for containment the few that ask and all that offer.
+
+    A token of many offers is dealt out in parts; who asks goes to all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                lists, m = batch.column("elements"), batch.column("m").to_numpy()
+                n = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+                node, row, e = batch.column("node").to_numpy(), np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()
+                begin = np.cumsum(n) - n
+                single = np.arange(len(e)) - begin[row] < m[row]
+                bits = np.zeros((len(n), BITS), bool)
+                bits[row[single], e[single] & (BITS - 1)] = True
+                bits = pa.array(list(map(bytes, np.packbits(bits, axis=1))), pa.binary())
+                df = np.zeros(len(e), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, e), len(known) - 1)
+                    df = np.where(known[at] == e, counts[at], 0)
+                order = np.lexsort((e, df, row))
+                e, df, single = e[order], df[order], single[order]
+                place = np.arange(len(e)) - begin[row]
+                among = np.cumsum(single) - single
+                among = among - among[begin[row]]
+                dice, size = t / (2 - t), m[row]
+                bag, few, tenth = place < n[row] - _least(dice, n[row]) + 1, single & (among < size - _least(dice, size) + 1), single & (among < size - _least(0.9, size) + 1)
+                for kind, ask, offer in ((0, bag, bag), (1, tenth, single), (2, few, few)):
+                    parts = -(-np.maximum(df, 1) // DEALT)
+                    one = np.flatnonzero((ask | offer) & (parts == 1))
+                    given, asked = np.flatnonzero(offer & (parts > 1)), np.flatnonzero(ask & (parts > 1))
+                    many = np.repeat(asked, parts[asked])
+                    part = np.concatenate((np.zeros(len(one), np.int64), node[row[given]] % parts[given], np.arange(len(many)) - np.repeat(np.cumsum(parts[asked]) - parts[asked], parts[asked])))
+                    role = np.concatenate((ask[one] + 2 * offer[one], np.full(len(given), 2), np.full(len(many), 1)))
+                    at = np.concatenate((one, given, many))
+                    of = pa.array(row[at])
+                    longs = [pa.array(x.astype(np.int64)) for x in (np.full(len(at), kind), e[at], part, role, n[row[at]])]
+                    yield pa.RecordBatch.from_arrays([*longs, *(batch.column(c).take(of) for c in ("m", "node", "side")), bits.take(of)], _ENTRY_NAMES)
+
+    return run
+
+
+_ENTRY_NAMES = ["kind", "token", "part", "role", "n", "m", "node", "side", "bits"]
+_ENTRY = "kind long, token long, part long, role long, n long, m long, node long, side int, bits binary"
+
+
+def _meet(t: float, across: bool, step: int = 1 << 17):
+    """Pairs (a, b) of nodes under a token that can be near by their sizes and bitmaps; a bit that only one set has stands for a token that only it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        kind, token, part, role, n, m, node, side = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in _ENTRY_NAMES[:-1])
+        bits = np.concatenate([np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64) for b in parts])
+        parts.clear()
+        order = np.lexsort((role & 2 == 0, part, token, kind))  # what offers comes first
+        kind, token, part, role, n, m, node, side, bits = (x[order] for x in (kind, token, part, role, n, m, node, side, bits))
+        new = np.concatenate(([True], (kind[1:] != kind[:-1]) | (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        ahead = np.concatenate(([0], np.cumsum(np.where(role & 1, np.add.reduceat((role & 2) // 2, begin)[group], 0))))
+        for start in range(0, int(ahead[-1]), step):
+            at = np.arange(start, min(start + step, int(ahead[-1])))
+            a = np.searchsorted(ahead, at, "right") - 1
+            b = begin[group[a]] + at - ahead[a]
+            k = kind[a]
+            x, y = (side[a], side[b]) if across else (node[a], node[b])
+            size, other = np.where(k == 2, m[a], n[a]), np.where(k == 2, m[b], n[b])
+            some = np.where(k == 1, (x != y) & (n[a] <= n[b]) & (n[a] > 1), (x < y) & (np.minimum(size, other) >= t / (2 - t) * np.maximum(size, other) - 1e-9))
+            a, b, k, size, other = a[some], b[some], k[some], size[some], other[some]
+            mine, others = bits[a], bits[b]
+            alone = np.bitwise_count(mine & ~others).sum(axis=1, dtype=np.int64)
+            apart = alone + np.bitwise_count(others & ~mine).sum(axis=1, dtype=np.int64)
+            inside = (alone <= m[a] - _least(0.9, m[a])) & ((alone == 0) | (n[a] >= (t - 0.35) * n[b] - 1e-6))
+            fit = np.where(k == 1, inside, apart <= (1 - t) * (size + other) + 1e-6)
+            a, b = a[fit], b[fit]
+            if len(a):
+                turn = side[a] > side[b] if across else node[a] > node[b]
+                found = np.unique(np.column_stack((np.where(turn, node[b], node[a]), np.where(turn, node[a], node[b]))), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``scores`` needs of each pair, from its token sequences."""
+    for batch in batches:
+        rows = []
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = Counter(x.split(" ")), Counter(y.split(" "))
+            na, nb = a.total(), b.total()
+            short, long = (x, y) if na <= nb else (y, x)
+            rows.append((na, nb, len(a), len(b), len(a.keys() & b.keys()), (a & b).total(), f" {short} " in f" {long} ", x == y))
+        types = [pa.int64()] * 6 + [pa.bool_()] * 2
+        columns = zip(*rows, strict=True) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays([batch.column("left_id"), batch.column("right_id"), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], ["left_id", "right_id", *_PAIR_FACTS])
+
+
+_PAIR_FACTS = ["na", "nb", "da", "db", "shared_set", "shared_bag", "inside", "equal"]
+
+
 def near_pairs(classes: DataFrame, others: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(left_id, right_id, similarity) of classes at least ``threshold`` alike: within one table each pair once, left below right, or across two.
 
@@ -214,40 +344,29 @@ def near_pairs(classes: DataFrame, others: DataFrame | None = None, threshold: f
     shorter's set in the longer, can reach the threshold. So the rarest tokens of
     one, as many as can't all be missing from the other, are looked up among the
     other's: the short prefixes of both, as bags and as sets, for the Dice coefficients, and the
-    shorter's in all of the longer for containment. The exact score follows.
+    shorter's in all of the longer for containment. The most common tokens are
+    counted and come last in the order; any order finds all pairs. Of those that meet
+    under a token the sizes and bitmaps leave few pairs, and only these leave
+    the task; so what is shuffled grows with the tokens. The exact score follows.
     """
+    spark = classes.sparkSession
     t = threshold - 5e-7  # scores are rounded before they are compared
     both = classes.withColumn("side", F.lit(0)) if others is None else classes.withColumn("side", F.lit(0)).unionByName(others.withColumn("side", F.lit(1)))
-    counted = both.select("side", "rep", F.explode("tokens").alias("token")).groupBy("side", "rep", "token").agg(F.count("*").alias("n"))
-    spread = counted.select("side", "rep", "token", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k")).withColumn("token", F.concat_ws(" ", "token", F.col("k")))
-    rarity = spread.groupBy("token").agg(F.count("*").alias("df"))
-    bags = spread.join(rarity, "token").groupBy("side", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("bag"))
-    sized = bags.withColumn("n", F.size("bag"))
-    need = F.ceil(F.lit(t / (2 - t)) * F.col("n") - 1e-9)
-    first = F.array_distinct(F.transform(F.slice("bag", F.lit(1), (F.col("n") - need + 1).cast("int")), lambda x: F.struct(F.lit(0).alias("kind"), x["token"].alias("token"))))
-    firsts = F.filter("bag", lambda x: x["token"].endswith(" 1"))  # the set: first occurrences
-    tenth = F.transform(F.slice(firsts, F.lit(1), (F.size(firsts) - F.ceil(0.9 * F.size(firsts) - 1e-9) + 1).cast("int")), lambda x: F.struct(F.lit(1).alias("kind"), x["token"].alias("token")))
-    whole = F.transform(firsts, lambda x: F.struct(F.lit(1).alias("kind"), x["token"].alias("token")))
-    need = F.ceil(F.lit(t / (2 - t)) * F.size(firsts) - 1e-9)
-    of_set = F.transform(F.slice(firsts, F.lit(1), (F.size(firsts) - need + 1).cast("int")), lambda x: F.struct(F.lit(2).alias("kind"), x["token"].alias("token")))
-    asks = sized.select("side", "rep", "n", F.size(firsts).alias("m"), F.explode(F.concat(first, of_set, tenth)).alias("key"))
-    offers = sized.select("side", "rep", "n", F.size(firsts).alias("m"), F.explode(F.concat(first, of_set, whole)).alias("key"))
-    left = asks.select(F.col("side").alias("s1"), F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("m").alias("m1"), "key.kind", "key.token")
-    right = offers.select(F.col("side").alias("s2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("m").alias("m2"), "key.kind", "key.token")
-    near = lambda x, y: F.least(x, y) >= t / (2 - t) * F.greatest(x, y) - 1e-9
-    fits = F.when(F.col("kind") == 0, near("n1", "n2")).when(F.col("kind") == 2, near("m1", "m2")).otherwise(F.col("n1") <= F.col("n2"))
-    # the Dice keys are symmetric and are asked from the left only; containment is asked by whichever is shorter
-    across = F.when(F.col("kind") == 1, F.col("r1") != F.col("r2")).otherwise(F.col("r1") < F.col("r2")) if others is None else F.when(F.col("kind") == 1, F.col("s1") != F.col("s2")).otherwise(F.col("s1") < F.col("s2"))
-    met = left.join(right, ["kind", "token"]).where(fits & across)
-    if others is None:
-        pairs = met.select(F.least("r1", "r2").alias("left_id"), F.greatest("r1", "r2").alias("right_id"))
-    else:
-        pairs = met.select(F.when(F.col("s1") == 0, F.col("r1")).otherwise(F.col("r2")).alias("left_id"), F.when(F.col("s1") == 0, F.col("r2")).otherwise(F.col("r1")).alias("right_id"))
-    bag = sized.select("side", "rep", "n", F.transform("bag", lambda x: x["token"]).alias("bag"), F.transform(firsts, lambda x: x["token"]).alias("set"))
-    full = both.select("side", "rep", "joined").join(bag, ["side", "rep"])
-    a = full.where("side = 0").select(F.col("rep").alias("left_id"), *[F.col(c).alias(f"a_{c}") for c in ("n", "bag", "set", "joined")])
-    b = full.where(f"side = {0 if others is None else 1}").select(F.col("rep").alias("right_id"), *[F.col(c).alias(f"b_{c}") for c in ("n", "bag", "set", "joined")])
-    joined = pairs.distinct().join(a, "left_id").join(b, "right_id")
-    inside = _inside(F.col("a_joined"), F.col("b_joined"), F.col("a_n"), F.col("b_n"))
-    value = scores(F.col("a_n"), F.col("b_n"), F.size("a_set"), F.size("b_set"), F.size(F.array_intersect("a_set", "b_set")), F.size(F.array_intersect("a_bag", "b_bag")), inside, F.col("a_joined") == F.col("b_joined"))
-    return joined.select("left_id", "right_id", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    rep = both.schema["rep"].dataType.simpleString()
+    hashed = both.select(F.monotonically_increasing_id().alias("node"), "side", "rep", "joined", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
+    bags = scratch.kept(hashed.mapInArrow(_elements, f"node long, side int, rep {rep}, joined string, elements array<long>, m long"), "token-bags")
+    common = bags.select(F.explode("elements").alias("e")).groupBy("e").count().where("count > 1").orderBy(F.desc("count"), "e").limit(RANKED).orderBy("e").toArrow()
+    shared = spark.sparkContext.broadcast((common.column("e").to_numpy(), common.column("count").to_numpy()))
+    entries = bags.mapInArrow(_entries(shared, t), _ENTRY)
+    if others is not None:
+        entries = entries.join(scratch.kept(bags.where("side = 1").select(F.explode("elements").alias("token")).distinct(), "asked-tokens"), "token", "left_semi").select(_ENTRY_NAMES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bags.count() * 100 // ENTRIES)
+    pairs = scratch.kept(entries.repartition(parts, "kind", "token", "part").mapInArrow(_meet(t, others is not None), "a long, b long").distinct(), "met-pairs")
+    one = F.struct(F.col("x.rep").alias("rep"), F.col("x.joined").alias("joined"))
+    two = F.struct(F.col("y.rep").alias("rep"), F.col("y.joined").alias("joined"))
+    facts = bags.select("node", "rep", "joined")
+    joined = pairs.join(facts.select(F.col("node").alias("a"), F.struct("rep", "joined").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.struct("rep", "joined").alias("y")), "b")
+    joined = joined.select((F.least(one, two) if others is None else one).alias("l"), (F.greatest(one, two) if others is None else two).alias("r"))
+    joined = joined.select(F.col("l.rep").alias("left_id"), F.col("r.rep").alias("right_id"), F.col("l.joined").alias("a"), F.col("r.joined").alias("b"))
+    counted = joined.mapInArrow(_counted, f"left_id {rep}, right_id {rep}, na long, nb long, da long, db long, shared_set long, shared_bag long, inside boolean, equal boolean")
+    return counted.select("left_id", "right_id", scores(*map(F.col, _PAIR_FACTS)).alias("similarity")).where(F.col("similarity") >= threshold)
