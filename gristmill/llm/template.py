@@ -179,26 +179,23 @@ def _ends(text: str) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, int], list] = {}
-    words: dict[tuple[str, int], list] = {}
 
     def flush() -> pa.RecordBatch:
+        # all words, too: a task doesn't know how many of its host's other pages have one
         rows = [(h, r, *v) for (h, r), v in found.items()]
-        # a word of a whole host's template is one of each task's part of it
-        rows += [(h, r, *v) for (h, r), v in words.items() if v[0] >= SUPPORT * found[h, 0][0]]
         found.clear()
-        words.clear()
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _COUNT_NAMES)
 
     for batch in text_chunks(batches, "html"):
         for host, page, text in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html").to_pylist(), strict=True):
             sequence = tokens(text)
-            counts: dict[int, int] = {0: 1}
+            counts: dict[int, int] = {}
             for t in sequence:
                 if t.role:
                     counts[t.role] = counts.get(t.role, 0) + 1
             places = once(sequence)
-            marks = {n: xxhash.xxh64_intdigest(f"{page}|{n}") >> 1 for n in set(counts.values())}
+            marks = {n: xxhash.xxh64_intdigest(f"{page}|{n}") >> 1 for n in {1, *counts.values()}}
             for role, n in counts.items():
                 v = found.setdefault((host, role), [0, 0, 0, 0.0])
                 v[0] += 1
@@ -208,12 +205,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, i in places.items():
                 ends = _ends(sequence[i].text)
                 for w in {w for w in ends if ends.count(w) == 1}:
-                    v = words.setdefault((host, _word(role, w)), [0, 0, 0, 0.0])
+                    v = found.setdefault((host, _word(role, w)), [0, 0, 0, 0.0])
                     v[0] += 1
                     v[1] += 1
                     v[2] ^= marks[1]
                     v[3] += (i + 0.5) / len(sequence)
-        if len(found) + len(words) > 200_000:
+        if len(found) > 200_000:
             yield flush()
     if found:
         yield flush()
@@ -230,9 +227,10 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """
     counted = pages.select("host", "page", "html").mapInArrow(_count, _COUNT).groupBy("host", "role")
     counted = counted.agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"))
-    counted = materialize(counted, "roles")
-    sizes = counted.where("role = 0").select("host", F.col("pages").alias("all_pages"))
-    fitting = counted.where("role <> 0 AND once = pages").join(sizes, "host").where(F.col("pages") >= support * F.col("all_pages"))
+    sizes = materialize(pages.groupBy("host").agg(F.count("*").alias("all_pages")), "hosts")
+    # most words are on few of their host's pages: only what fits is written
+    fitting = counted.where("once = pages").join(sizes, "host").where(F.col("pages") >= support * F.col("all_pages"))
+    fitting = materialize(fitting, "roles")
     classes = fitting.groupBy("host", "vector").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     member = F.struct((F.col("place") / F.col("pages")).alias("place"), "role", "vector", "pages")
     # roles on half of a host's pages: not many more than a page has

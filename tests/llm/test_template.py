@@ -143,6 +143,17 @@ def test_classes_equal_gathered_vectors(spark):
     assert {frozenset(c) for c in by_vector.values() if len(c) > 1} == {c for c in brute if len(c) > 1}
 
 
+def test_words_count_on_all_pages_however_they_are_dealt_out(spark):
+    """A word that is on few of a task's pages is counted there, too."""
+    both = lambda i: "aaa bbb" if i < 4 or i == 7 else "ccc ddd"  # noqa: E731 # on 5 of 8 pages, of which 1 in the second part
+    pages = [(i, "h.org", f"<html><body><p>{both(i)} {i}</p></body></html>") for i in range(8)]
+    df = spark.createDataFrame(pages, "page long, host string, html string")
+    whole, dealt = ({(m.role, m.vector, m.pages) for m in template.templates(d).collect()[0].template} for d in (df.coalesce(1), spark.createDataFrame(spark.sparkContext.parallelize(pages, 2), df.schema)))
+    role = next(t.role for t in template.tokens(pages[0][2]) if t.text.startswith("aaa"))
+    assert {(r, p) for r, _, p in dealt} >= {(template._word(role, "aaa"), 5), (template._word(role, "bbb"), 5)}
+    assert dealt == whole
+
+
 def test_classes_nest_in_one_slot():
     page = "<html><body><div class='a'>1</div><div class='b'>2</div></body></html>"
     sequence = template.tokens(page)
