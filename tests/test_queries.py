@@ -39,3 +39,10 @@ def test_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_entry(spark):
     assert {r.split for r in __spark_entry__.entry(spark).collect()} == {"train", "validation"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+@pytest.mark.parametrize("name", ["split_leakage_check"])
+def test_documents_are_identified_once(spark, name):
+    """What reads the identified documents several times reads them from a table."""
+    assert not any("documents.parquet" in f for f in __spark_entry__.queries()[name](spark, FOLDER).inputFiles())
