@@ -177,3 +177,12 @@ def test_status_and_stages(spark):
     assert {r.stage: r.ready for r in control.ready(stages, spark.createDataFrame([("a",)], "output string")).collect()} == {"one": False, "two": True, "three": False}
     h = spark.createDataFrame([([("u", "a")], "m")], "h array<struct<user: string, assistant: string>>, m string")
     assert h.select(T.chat_prompt(F.col("h"), F.col("m")).alias("v")).first().v == "<|user|>\nu\n<|assistant|>\na\n<|end|>\n<|user|>\nm\n<|assistant|>\n"
+
+
+def test_candidates_are_dealt_out_before_they_are_sorted(spark):
+    """Rows made of one small file aren't ordered by that file's task."""
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 80) || id AS user", "'a' AS assistant")
+    found = conversations.capped_expansion(rows, 20, 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rfind("Sort") < plan.rfind("Exchange")
+    assert len(found.collect()) == 8
