@@ -80,3 +80,24 @@ def test_usage_and_bad_files(spark, learned, tmp_path):
             vocabulary.read(spark, str(tmp_path / f"{k}.json"))
     with pytest.raises(vocabulary.VocabularyError):
         vocabulary.Vocabulary([b"a"], {})
+
+
+def test_an_encoder_remembers_a_bounded_number_of_words(learned, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(vocabulary, "KNOWN_WORDS", 100, raising=False)
+    encode = learned.encoder()
+    tracemalloc.start()
+    try:
+        for i in range(20_000):
+            encode(f" w{i}")
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_nulls_and_slices_of_batches(spark, learned):
+    texts = ["a b", None, "", "\u00df c" * 9, None]
+    rows = spark.createDataFrame(enumerate(texts), "k int, text string").select("k", vocabulary.encode(spark, learned, F.col("text")).alias("ids"))
+    back = {r.k: r.t for r in rows.select("k", vocabulary.decode(spark, learned, F.col("ids")).alias("t")).collect()}
+    assert back == dict(enumerate(texts))
