@@ -15,6 +15,8 @@ from . import tokens
 
 #: Ids up to this size of a vocabulary are two bytes, beyond it four: fixed by the stored format.
 SMALL_VOCABULARY = 65_535
+#: Ids of a chunk that windows are drawn from: the more, the less of it is its halo.
+CHUNK = 1024
 
 
 class StreamError(ValueError):
@@ -83,11 +85,13 @@ def drawn_start(seed: int, keys: list[str], starts: int) -> Column:
 def drawn(stream: DataFrame, draws: DataFrame, keys: list[str], block: int, seed: int) -> DataFrame:
     """``draws`` with (start, x, y) of a window drawn for each row, whose ``keys`` tell it from the others.
 
-    A start lies in one chunk of ``block`` ids, whose halo completes its window, so draws meet ids by an equal number of a chunk, and a chunk is copied at twice a window's size.
+    A start lies in one chunk, whose halo completes its window, so draws meet ids by an equal number of a chunk. Chunks are of CHUNK ids, or ``block`` if that is more: what is
+    shuffled of a stream is little more than its ids.
     """
+    size = max(block, CHUNK)
     placed_draws = draws.withColumn("start", drawn_start(seed, keys, length(stream, block) - block))
-    met = placed_draws.withColumn("chunk", F.floor(F.col("start") / block).cast("long")).join(chunks(stream, block, block), "chunk")
-    x, y = _window(F.col("ids"), (F.col("start") % block).cast("int"), block)
+    met = placed_draws.withColumn("chunk", F.floor(F.col("start") / size).cast("long")).join(chunks(stream, size, block), "chunk")
+    x, y = _window(F.col("ids"), (F.col("start") % size).cast("int"), block)
     return met.select(*draws.columns, "start", x.alias("x"), y.alias("y"))
 
 

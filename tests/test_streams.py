@@ -62,3 +62,13 @@ def test_what_cannot_be_cut(spark):
         streams.placed(spark.createDataFrame([(7, []), (8, [1])], "key long, ids array<int>"), "key").collect()
     assert streams.windows(streams.placed(rows.limit(0), "key"), 4).collect() == []
     assert streams.array_type(65_535) == "uint16" and streams.array_type(65_536) == "int32"
+
+
+def test_windows_are_drawn_from_chunks_of_little_halo(spark, monkeypatch):
+    """What is shuffled of a stream is little more than its ids."""
+    asked, chunks = [], streams.chunks
+    monkeypatch.setattr(streams, "chunks", lambda stream, size, halo=0: asked.append((size, halo)) or chunks(stream, size, halo))
+    rows, flat = made(spark, [700, 900, 800])
+    got = streams.drawn(streams.placed(rows, "key"), spark.range(50), ["id"], 64, 3).collect()
+    assert len(got) == 50 and all(r.x == flat[r.start : r.start + 64] and r.y == flat[r.start + 1 : r.start + 65] for r in got)
+    assert all(halo >= 64 and size >= 10 * halo for size, halo in asked)
