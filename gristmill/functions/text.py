@@ -68,8 +68,7 @@ def is_canonical(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """``normalize_text`` as an expression. Texts that are canonical as they are never reach Python; the others go there in Arrow batches."""
-    plain = is_canonical(c)
-    return F.when(plain, c).otherwise(_normalized(F.when(~plain, c)))
+    return F.coalesce(_normalized(F.when(~is_canonical(c), c)), c)  # so that a text is tested once
 
 
 def singular(token: Column) -> Column:

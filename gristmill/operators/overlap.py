@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from bisect import bisect_right
 from collections import Counter
@@ -140,37 +141,45 @@ def _cover(shared, token: str):
                 begins.append(sum(map(len, joined[-1:])) + (begins[-1] if begins else 0))
                 joined.append(text + "\0")
             _automata.clear()
-            _automata[token] = made, listed, begins, "".join(joined)
-        made, listed, begins, joined = _automata[token]
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                hit = {i for _, ids in made.iter(text) for i in ids} if listed else set()
-                at = joined.find(text)
-                while at >= 0:
-                    k = bisect_right(begins, at) - 1
-                    hit.update(listed[k][1])
-                    at = joined.find(text, begins[k] + len(listed[k][0]))
-                found += hit
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["prompt_id"])
+            _automata[token] = made, listed, begins, "".join(joined), max(map(len, shared.value), default=0)
+        made, listed, begins, joined, longest = _automata[token]
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, SEARCHED):
+                found, digests = [], []
+                for text in whole_batch.column("text").slice(start, SEARCHED).to_pylist():
+                    if not text or not listed:
+                        continue
+                    hit = {i for _, ids in made.iter(text) for i in ids}
+                    at = joined.find(text) if len(text) <= longest else -1
+                    while at >= 0:
+                        k = bisect_right(begins, at) - 1
+                        hit.update(listed[k][1])
+                        at = joined.find(text, begins[k] + len(listed[k][0]))
+                    if hit:
+                        found += hit
+                        digests += [hashlib.sha256(text.encode()).digest()] * len(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(digests, pa.binary())], ["prompt_id", "digest"])
 
     return run
 
 
 def covered(texts: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(prompt_id, turns): how many different texts hold each prompt or lie in it, both in canonical form and lower case. Blank ones count nowhere; prompts without any are left out."""
+    """(prompt_id, turns): how many different texts hold each prompt or lie in it, both in canonical form and lower case. Blank ones count nowhere; prompts without any are left out.
+
+    Texts are searched where they are read, each one once, and only the digests of those with a prompt are shuffled; equal texts have equal ones.
+    """
     spark = texts.sparkSession
     form = F.lower(T.normalize(F.col("text")))
-    each = texts.select(form.alias("text")).where("text <> ''").distinct()
+    each = texts.select(form.alias("text"))  # blank ones are passed over by the search: a filter here would bring all texts into canonical form again
     found = None
     blocks = _blocks(prompts.select("prompt_id", form.alias("text")).where("text <> ''"))
     first, second = next(blocks), next(blocks, None)
     if second is not None:
         each = scratch.kept(each, "searched-texts")
     for block in chain([first], [second] if second is not None else [], blocks):
-        part = each.mapInArrow(_cover(spark.sparkContext.broadcast(block), uuid.uuid4().hex), "prompt_id string")
+        part = each.mapInArrow(_cover(spark.sparkContext.broadcast(block), uuid.uuid4().hex), "prompt_id string, digest binary")
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("prompt_id").agg(F.count("*").alias("turns"))
+    return found.distinct().groupBy("prompt_id").agg(F.count("*").alias("turns"))
 
 
 def similarity(a: Column, b: Column) -> Column:
