@@ -87,7 +87,7 @@ def _fold_rare(texts: pd.Series) -> pd.Series:
 def folded(c: Column) -> Column:
     """NFKC and case-folded. ASCII and Latin-1 letters (but ß) need only be lower-cased."""
     rare = c.rlike(r"[^\x00-\x7f\xc0-\xde\xe0-\xff]")
-    return F.when(rare, _fold_rare(F.when(rare, c))).otherwise(F.lower(c))
+    return F.coalesce(_fold_rare(F.when(rare, c)), F.lower(c))
 
 
 def overlap_tokens(c: Column) -> Column:

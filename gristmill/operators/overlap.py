@@ -210,15 +210,23 @@ def scores(na: Column, nb: Column, da: Column, db: Column, shared_set: Column, s
     return F.when((na == 0) | (nb == 0), 0.0).when(equal, 1.0).otherwise(F.bround(best, 6))
 
 
-def token_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): (rep, tokens, joined) of each token sequence with its least item_id, and (item_id, rep) of all items.
+def sequence_classes(items: DataFrame) -> DataFrame:
+    """(rep, tokens, joined) of each token sequence of items (item_id, text), with its least item_id. Null texts and those without a token are in no class."""
+    tokens = items.select("item_id", T.overlap_tokens(F.col("text")).alias("tokens")).withColumn("joined", F.array_join("tokens", " "))
+    # the filter comes after the grouping and isn't on its key: before it, all texts would be cut into tokens for it and once more
+    return tokens.groupBy("joined").agg(F.min("item_id").alias("rep"), F.first("tokens").alias("tokens")).where(F.size("tokens") > 0).select("rep", "tokens", "joined")
 
-    Items (item_id, text) whose text is null or has no token are in no class.
-    """
-    tokens = items.select("item_id", T.overlap_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).withColumn("joined", F.array_join("tokens", " "))
-    classes = tokens.groupBy("joined").agg(F.min("item_id").alias("rep"), F.first("tokens").alias("tokens"))
-    members = tokens.select("item_id", "joined").join(classes.select("joined", "rep"), "joined").select("item_id", "rep")
-    return classes, members
+
+def sequence_members(items: DataFrame) -> DataFrame:
+    """(item_id, rep): all items that are in a class of ``sequence_classes``. Texts are cut into tokens in one pass, and only digests of the sequences are shuffled."""
+    joined = F.array_join(T.overlap_tokens(F.col("text")), " ")
+    digests = scratch.kept(items.select("item_id", F.unhex(F.sha2(F.nullif(joined, F.lit("")), 256)).alias("sequence")), "sequences").where("sequence is not null")
+    return digests.join(digests.groupBy("sequence").agg(F.min("item_id").alias("rep")), "sequence").select("item_id", "rep")
+
+
+def token_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): ``sequence_classes`` and ``sequence_members`` of items."""
+    return sequence_classes(items), sequence_members(items)
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
