@@ -7,6 +7,11 @@ size is bounded whatever the documents' lengths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ from . import tokens
 SMALL_VOCABULARY = 65_535
 #: Ids of a chunk that windows are drawn from: the more, the less of it is its halo.
 CHUNK = 1024
+#: Chunks that a task adds up at once, and windows in a batch of what it finds.
+CHUNKS_AT_ONCE, ROWS_AT_ONCE = 64, 1 << 16
 
 
 class StreamError(ValueError):
@@ -53,12 +60,17 @@ def _window(ids: Column, at: Column, block: int) -> tuple[Column, Column]:
     return F.slice(ids, at + 1, F.lit(block)), F.slice(ids, at + 2, F.lit(block))
 
 
-def windows(stream: DataFrame, block: int, stride: int | None = None) -> DataFrame:
-    """(start, x, y) of the windows of ``block`` ids at every multiple of ``stride`` (``block`` by default): y is x one later, so a stream of n ids has starts 0 to n - block - 1."""
+def _sizes(block: int, stride: int | None) -> tuple[int, int]:
+    """Ids of the chunks that windows are cut from, and the step from one window to the next."""
     step = stride or block
     if block < 1 or step < 1:
         raise StreamError("windows and strides have one id at least")
-    size = step * max(1, -(-max(block, 1024) // step)) if step < block else step
+    return step * max(1, -(-max(block, 1024) // step)) if step < block else step, step
+
+
+def windows(stream: DataFrame, block: int, stride: int | None = None) -> DataFrame:
+    """(start, x, y) of the windows of ``block`` ids at every multiple of ``stride`` (``block`` by default): y is x one later, so a stream of n ids has starts 0 to n - block - 1."""
+    size, step = _sizes(block, stride)
 
     def cut(v: Column) -> Column:
         starts = F.when(F.size(v) > block, F.filter(F.sequence(F.lit(0), F.least(F.size(v) - block, F.lit(size)) - 1, F.lit(step)), lambda i: i < size))
@@ -68,6 +80,41 @@ def windows(stream: DataFrame, block: int, stride: int | None = None) -> DataFra
     return found.select((F.col("chunk") * size + F.col("w.at")).alias("start"), "w.x", "w.y")
 
 
+def _totals(size: int, block: int, step: int):
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, CHUNKS_AT_ONCE):
+                batch = whole.slice(begin, CHUNKS_AT_ONCE)
+                lists = batch.column("ids")
+                n = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+                ids = lists.flatten().to_numpy().astype(np.int64)
+                if not len(ids):
+                    continue
+                first = np.cumsum(n) - n
+                most = np.clip(n - block, 0, size)  # starts that have a window and its labels
+                count = -(-most // step)
+                row = np.repeat(np.arange(len(n)), count)
+                at = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * step
+                start = batch.column("chunk").to_numpy()[row] * size + at
+                before = np.concatenate(([0], np.cumsum(ids)))
+                at += first[row]
+                for k in range(0, len(at), ROWS_AT_ONCE):
+                    part = at[k : k + ROWS_AT_ONCE]
+                    columns = [start[k : k + ROWS_AT_ONCE], before[part + block] - before[part], ids[part].astype(np.int32), ids[part + block].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["start", "total", "first", "last"])
+
+    return totals
+
+
+def totals(stream: DataFrame, block: int, stride: int | None = None) -> DataFrame:
+    """(start, total, first, last) of ``windows``: the sum of x, its first id, and the last of y.
+
+    Sums are differences of a chunk's running sums, so a window costs the same whatever its length, and none is made.
+    """
+    size, step = _sizes(block, stride)
+    return chunks(stream, size, block).mapInArrow(_totals(size, block, step), "start long, total long, first int, last int")
+
+
 def length(stream: DataFrame, block: int | None = None) -> int:
     """The number of ids; too few for a window and its labels are an error."""
     n = stream.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0))).first()[0]

@@ -72,3 +72,22 @@ def test_windows_are_drawn_from_chunks_of_little_halo(spark, monkeypatch):
     got = streams.drawn(streams.placed(rows, "key"), spark.range(50), ["id"], 64, 3).collect()
     assert len(got) == 50 and all(r.x == flat[r.start : r.start + 64] and r.y == flat[r.start + 1 : r.start + 65] for r in got)
     assert all(halo >= 64 and size >= 10 * halo for size, halo in asked)
+
+
+@pytest.mark.parametrize(("block", "stride"), [(8, 1), (8, None), (8, 5), (8, 20), (449, 1), (450, 1), (451, 1)])
+def test_totals_are_those_of_the_windows_without_making_them(spark, block, stride, monkeypatch):
+    rows, flat = made(spark, SIZES)
+    monkeypatch.setattr(streams, "_window", None)
+    got = {r.start: (r.total, r.first, r.last) for r in streams.totals(streams.placed(rows, "key"), block, stride).collect()}
+    assert got == {i: (sum(flat[i : i + block]), flat[i], flat[i + block]) for i in range(0, max(0, len(flat) - block), stride or block)}
+
+
+def test_every_start_is_added_up_without_its_window(spark, tmp_path, monkeypatch):
+    from gristmill.plans import contracts
+
+    texts = [(0, 0, "user", "a" * 1500), (0, 1, "assistant", "é and b"), (1, 0, "user", "c" * 30)]
+    spark.createDataFrame(texts, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    flat = [v for *_, text in texts for v in [1, *(b + 4 for b in text.encode()), 2]]
+    monkeypatch.setattr(streams, "_window", None)
+    got = sorted(map(tuple, contracts.stream_starts(spark, str(tmp_path)).collect()))
+    assert got == [(i, sum(flat[i : i + 32]), flat[i], flat[i + 32]) for i in range(len(flat) - 32)]
