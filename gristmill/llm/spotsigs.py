@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Common words of English, French, German and Spanish that serve as anchors by default.
 ANCHORS = (
     "the a an and or of to in is are was be by for on it as at that this with from "
@@ -126,41 +128,60 @@ def with_next(docs: DataFrame, length: int = RANGE) -> DataFrame:
     return dealt.withColumn("next_text", F.lead("text").over(within)).where("ghost = 0").select("doc_id", "text", "next_text")
 
 
-def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of distinct fingerprints of likeness ``at_least``, each pair of texts' least doc_ids once, a < b.
+def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signed, sets), each a table: (doc_id, key) of every row, the key being a digest of its fingerprint; and (node, key, id, n, sigs) of each distinct one, ``id`` its least doc_id. Signatures are made in one pass."""
+    rows = docs.select(F.col("doc_id").cast("long"), signatures(words(F.col("text").cast("string"))).alias("sigs"))
+    signed = materialize(rows.select("doc_id", F.sha2(fingerprint(F.col("sigs")), 256).alias("key"), "sigs"), "signatures")
+    sets = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs"))
+    return signed.select("doc_id", "key"), materialize(sets.select(F.monotonically_increasing_id().alias("node"), "key", "id", F.size("sigs").alias("n"), "sigs"), "signature-sets")
+
+
+def _near_nodes(sets: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, likeness) of near sets' nodes, each pair once.
 
-    Equal fingerprints are one row first. Sets are dealt into length classes whose
-    borders grow by 1 / at_least, so a set meets only its own class and the next.
-    Of each set only the first, rarest signatures (as many as one of them must be
-    shared by any set near enough) are keys of the join, so common signatures
-    make no pairs; the exact coefficient follows. Sets of no signature are left out.
+    Sets are dealt into length classes whose borders grow by 1 / at_least, so a set
+    meets only its own class and the next. Of each set only the first, rarest
+    signatures (as many as one of them must be shared by any set near enough) are keys
+    of the join, so common signatures make no pairs; those that no other set has come first of all
+    and are only counted. Where sets share a key, what is left of both after it
+    bounds what they share: the first key that near sets have in common lets them pass. The exact coefficient follows.
     """
-    sets = docs.select(F.col("doc_id").cast("long"), signatures(words(F.col("text").cast("string"))).alias("sigs")).groupBy("sigs").agg(F.min("doc_id").alias("id")).where((F.size("sigs") > 0) & F.col("id").isNotNull())
-    each = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
-    seen = each.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = each.join(seen, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"), F.first("n").alias("n"))
-    prefix = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9) + 1).cast("int"))
+    sets = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
+    each = sets.select("node", "n", F.explode("sigs").alias("s"))
+    seen = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(seen, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"), F.first("n").alias("n"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("r"))
+    prefix = F.slice("r", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9) + 1 - F.col("alone")).cast("int"))
     step = F.lit(1.0 / at_least)
-    keys = ranked.select("id", "n", F.explode(F.transform(prefix, lambda x: x["s"])).alias("s")).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(step) + 1e-9))
-    left = keys.select(F.col("id").alias("x"), F.col("n").alias("nx"), "s", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    right = keys.select(F.col("id").alias("y"), F.col("n").alias("ny"), "s", "class")
+    keys = ranked.select("node", "n", "alone", F.posexplode(F.transform(prefix, lambda x: x["s"])).alias("at", "s")).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(step) + 1e-9))
+    keys = keys.select("node", "n", "s", "class", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))  # from the key on
+    left = keys.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), "s", F.col("class").alias("own"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    right = keys.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), "s", "class")
     close = F.least("nx", "ny") >= F.lit(at_least) * F.greatest("nx", "ny") - 1e-9
-    pairs = left.join(right, ["s", "class"]).where((F.col("x") != F.col("y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b")
+    enough = F.least("rx", "ry") >= F.lit(at_least / (1 + at_least)) * (F.col("nx") + F.col("ny")) - 1e-6
+    once = (F.col("own") < F.col("class")) | (F.col("x") < F.col("y"))
+    pairs = left.join(right, ["s", "class"]).where(once & close & enough).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sigs").alias("sb")), "b")
     return pairs.select("a", "b", likeness(F.col("sa"), F.col("sb"), at_least).alias("likeness")).where(F.col("likeness") >= at_least)
 
 
+def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """(a, b, likeness) of distinct fingerprints of likeness ``at_least``, each pair of texts' least doc_ids once, a <= b. Equal fingerprints are one row first; sets of no signature are left out."""
+    _, sets = _signed(docs)
+    ids = lambda node, c: sets.select(F.col("node").alias(node), F.col("id").alias(c))
+    pairs = _near_nodes(sets, at_least).join(ids("a", "x"), "a").join(ids("b", "y"), "b")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
+
+
 def near_classes(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the least doc_id of its fingerprint, and how many other fingerprints are near (``near_pairs``).
 
     Rows without any signature are one class without links. Without doc_id
     a row gets the class of its fingerprint, null if none of that has an id.
     """
-    key = F.sha2(fingerprint(F.col("sigs")), 256)
-    signed = docs.select(F.col("doc_id").cast("long"), signatures(words(F.col("text").cast("string"))).alias("sigs")).select("doc_id", key.alias("key"))
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    links = near_pairs(docs, at_least).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    classes = classes.join(links, "class_id", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    signed, sets = _signed(docs)
+    links = _near_nodes(sets, at_least).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    classes = sets.select("node", "key", F.col("id").alias("class_id")).join(links, "node", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return signed.join(classes, "key").select("doc_id", "class_id", "n_links")
 
 

@@ -134,3 +134,18 @@ def test_lengths_prune(spark):
     a, b = F.array(F.lit(1), F.lit(2)), F.array(*[F.lit(i) for i in range(1, 9)])
     r = spark.range(1).select(spotsigs.likeness(a, b).alias("x"), spotsigs.likeness(a, b, 0.5).alias("y")).first()
     assert (r.x, r.y) == (0.25, 0.0)
+
+
+def test_signatures_are_made_once_for_classes_and_links(spark, monkeypatch):
+    """All that follows reads tables of sets; a reading of the texts would make their signatures again."""
+    df = spark.createDataFrame([(i, f"the cat {i % 7} of a dog", 0, "", "") for i in range(20)], DOCS)
+    plan = spotsigs.near_classes(df)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    """A fingerprint's links are its own, also where another one has the same least doc_id."""
+    words = [f"the w{i} of v{i}" for i in range(30)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "the other of x"]), "the cat of a dog"
+    got = sorted(map(tuple, spotsigs.near_classes(spark.createDataFrame([(1, a, 0, "", ""), (1, c, 0, "", ""), (2, b, 0, "", "")], DOCS)).collect()))
+    assert got == [(1, 1, 0), (1, 1, 1), (2, 2, 1)]
