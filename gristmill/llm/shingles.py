@@ -297,8 +297,24 @@ def _named_before(before: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndar
     return out
 
 
-def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
-    """Pairs of different roots under a key that may be near: all, or for each root under a key that of most alike bitmaps, which are no more than rows came in."""
+_MET_NAMES = ["live", "x", "y", "n", "bits", "before"]
+_MET = "live boolean, x long, y long, n long, bits binary, before array<long>"
+#: Rows that are passed on to the next round at once.
+LIVE_AT_ONCE = 10_000
+
+
+def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16, onward: bool = False):
+    """Pairs of different roots under a key that may be near: all, or for each root under a key that of most alike bitmaps, which are no more than rows came in.
+
+    With ``onward`` pairs are rows (false, node, node), and unless all are given, the rows that are in such a pair follow, as (true, key, node)
+    with what else they had; roots only merge, so the others are in none later, either.
+    """
+
+    def paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        if not onward:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        others = [pa.nulls(len(a), t) for t in (pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), *others], _MET_NAMES)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -321,6 +337,7 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
         other = np.concatenate(([True], (key[same][1:] != key[same][:-1]) | (root[same][1:] != root[same][:-1])))
         group = np.empty(len(key), np.int64)  # of each row's key and root
         group[same] = np.cumsum(other) - 1
+        live = np.zeros(len(key), bool)
         best = np.full((int(other.sum()), 3), np.iinfo(np.int64).max)  # for each group the least distance, and the rows of that pair
         for start in range(0, int(ahead[-1]), step):
             at = np.arange(start, min(start + step, int(ahead[-1])))
@@ -336,8 +353,9 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
             again = _named_before(before, key, a, b)
             a, b, apart = a[~again], b[~again], apart[~again]
             if every and len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+                yield paired(node[a], node[b])
             elif len(a):
+                live[a] = live[b] = True
                 at, apart, a, b = np.concatenate((group[a], group[b])), np.tile(apart, 2), np.tile(a, 2), np.tile(b, 2)
                 o = np.lexsort((b, a, apart, at))
                 o = o[np.concatenate(([True], at[o][1:] != at[o][:-1]))]
@@ -346,7 +364,13 @@ def _pairs_with(near: tuple[int, int], every: bool, step: int = 1 << 16):
         best = best[best[:, 1] < len(key)]
         if len(best):
             chosen = np.unique(np.column_stack((node[best[:, 1]], node[best[:, 2]])), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(chosen[:, 0]), pa.array(chosen[:, 1])], ["a", "b"])
+            yield paired(chosen[:, 0], chosen[:, 1])
+        live = np.flatnonzero(live) if onward else live[:0]
+        for k in range(0, len(live), LIVE_AT_ONCE):
+            at = live[k : k + LIVE_AT_ONCE]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * BEFORE, pa.int32()), pa.array(before[at].ravel()))
+            bitmaps = pa.array([bits.column[i] for i in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), *(pa.array(x[at]) for x in (key, node, n)), bitmaps, lists], _MET_NAMES)
 
     return pairs
 
@@ -390,8 +414,13 @@ def resembling(docs: DataFrame, size: int = SIZE, near: tuple[int, int] = NEAR,
     discard(met)
     every = False
     while True:
-        pairs = rooted(mixed).select("key", "node", "n", "bits", "before", "root").repartition("key").mapInArrow(_pairs_with(near, every), "a long, b long")
-        pairs = materialize(pairs.distinct(), "shingle-pairs")
+        found = rooted(mixed).select("key", "node", "n", "bits", "before", "root").repartition("key").mapInArrow(_pairs_with(near, every, onward=True), _MET)
+        before, found = mixed, materialize(found, "met-shingles")
+        discard(before)
+        # only rows that are in a pair meet again: most keys in common are those of texts that aren't near
+        mixed = found.where("live").select(F.col("x").alias("key"), F.col("y").alias("node"), "n", "bits", "before")
+        mixed.scratch_path = found.scratch_path
+        pairs = materialize(found.where("not live").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "shingle-pairs")
         links = _verified(narrow, facts, pairs, size, near)
         discard(pairs)
         some = bool(links.limit(1).count())

@@ -88,3 +88,20 @@ def test_fingerprints_are_compared_before_the_sets(spark, monkeypatch):
     kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
     assert len(made) == 1 and made[0][0] == 3 and made[0][1] > 0
+
+
+def test_only_rows_in_a_pair_meet_again():
+    sets = {1: range(0, 100), 2: range(3, 103), 3: range(500, 600), 4: range(900, 1000)}
+    rows = [(7, 1, 1), (7, 2, 2), (7, 3, 3), (8, 3, 3), (8, 4, 4)]
+    names = ["key", "node", "n", "bits", "before", "root"]
+    values = [[k for k, _, _ in rows], [i for _, i, _ in rows], [100] * 5, [shingles.parities(np.array(sets[i], np.uint64)) for _, i, _ in rows], [[5], [6], [], [], [4]], [r for _, _, r in rows]]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
+    met = [r for b in shingles._pairs_with((4, 5), False, onward=True)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["x"], r["y"]) for r in met if not r["live"]] == [(1, 2)]
+    again = [r for r in met if r["live"]]
+    assert [(r["x"], r["y"], r["n"], r["bits"]) for r in again] == [(7, 1, 100, values[3][0]), (7, 2, 100, values[3][1])]
+    # what they remember stays as it was, filled up with their own key
+    assert [set(r["before"]) - {7} for r in again] == [{5}, {6}]
+    every = [r for b in shingles._pairs_with((4, 5), True, onward=True)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["live"], r["x"], r["y"]) for r in every] == [(False, 1, 2)]
