@@ -387,3 +387,100 @@ def near_pairs(classes: DataFrame, others: DataFrame | None = None, threshold: f
     joined = joined.select(F.col("l.rep").alias("left_id"), F.col("r.rep").alias("right_id"), F.col("l.joined").alias("a"), F.col("r.joined").alias("b"))
     counted = joined.mapInArrow(_counted, f"left_id {rep}, right_id {rep}, na long, nb long, da long, db long, shared_set long, shared_bag long, inside boolean, equal boolean")
     return counted.select("left_id", "right_id", scores(*map(F.col, _PAIR_FACTS)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+class _Wording:
+    """Prompts' token sequences in a form to be searched for: those inside an item by one automaton, and those that share tokens with it by lists of the prompts under each token."""
+
+    def __init__(self, block: dict[str, list[str]], t: float) -> None:
+        import ahocorasick
+
+        self.t, self.sequences, self.ids = t, list(block), list(block.values())
+        self.padded = [f" {s} " for s in self.sequences]
+        bags = [Counter(s.split(" ")) for s in self.sequences]
+        self.n, self.d = np.array([b.total() for b in bags], np.int64), np.array([len(b) for b in bags], np.int64)
+        under: dict[str, list[tuple[int, int]]] = {}
+        for k, bag in enumerate(bags):
+            for word, times in bag.items():
+                under.setdefault(word, []).append((k, times))
+        self.known = {word: i for i, word in enumerate(under)}
+        self.begin = np.cumsum([0, *map(len, under.values())])
+        self.prompt, self.times = np.array([x for v in under.values() for x in v], np.int64).reshape(-1, 2).T
+        self.automaton = ahocorasick.Automaton()
+        for k in np.flatnonzero(self.n > 1).tolist():
+            self.automaton.add_word(self.padded[k], k)
+        self.automaton.make_automaton()
+        # an item with more tokens, and more different ones, can be near by what it holds whole only
+        self.most, self.kinds = int(self.n.max()) / (t - 0.35) + 1 if t > 0.35 else np.inf, int(self.d.max()) * (2 - t) / t + 1
+
+    def near(self, sequence: str) -> list[tuple]:
+        """(prompt, na, nb, da, db, shared_set, shared_bag, inside, equal) of all prompts that can be near the sequence."""
+        bag = Counter(sequence.split(" "))
+        na, da, padded = bag.total(), len(bag), f" {sequence} "
+        held = {k for _, k in self.automaton.iter(padded)} if len(self.automaton) else set()
+        rows = [(k, na, int(self.n[k]), da, int(self.d[k]), int(self.d[k]), int(self.n[k]), True, self.sequences[k] == sequence) for k in sorted(held)]
+        if na > self.most and da > self.kinds:
+            return rows
+        words = [(self.known[w], c) for w, c in bag.items() if w in self.known]
+        if not words:
+            return rows
+        at = np.concatenate([np.arange(self.begin[i], self.begin[i + 1]) for i, _ in words])
+        mine = np.repeat([c for _, c in words], [self.begin[i + 1] - self.begin[i] for i, _ in words])
+        shared = np.bincount(self.prompt[at], minlength=len(self.n))
+        both = np.bincount(self.prompt[at], np.minimum(self.times[at], mine), len(self.n))
+        short, long, few = np.minimum(na, self.n), np.maximum(na, self.n), np.where(na <= self.n, da, self.d)
+        t = self.t - 1e-9
+        fit = (2 * shared >= t * (da + self.d)) | (2 * both >= t * (na + self.n)) | ((shared >= (0.9 - 1e-9) * few) & (short / long + 0.35 >= t))
+        part = (na > 1) & (na <= self.n) & (shared == da)  # the item may be a stretch of the prompt
+        for k in np.flatnonzero((fit | part) & (shared > 0)).tolist():
+            if k not in held and ((inside := bool(part[k]) and padded in self.padded[k]) or fit[k]):
+                rows.append((k, na, int(self.n[k]), da, int(self.d[k]), int(shared[k]), int(both[k]), inside, self.sequences[k] == sequence))
+        return rows
+
+
+def _worded(shared, token: str, t: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if token not in _automata:
+            made = _Wording(shared.value, t) if shared.value else None
+            _automata.clear()
+            _automata[token] = made
+        prompts = _automata[token]
+        for whole in batches:
+            for start in range(0, whole.num_rows, SEARCHED):
+                batch = whole.slice(start, SEARCHED)
+                rows = []
+                for item, sequence in zip(batch.column("item_id").to_pylist(), batch.column("joined").to_pylist(), strict=True):
+                    if sequence and prompts:
+                        found = prompts.near(sequence)
+                        digest = hashlib.sha256(sequence.encode()).digest() if found else b""
+                        rows += [(item, digest, prompt, *facts) for k, *facts in found for prompt in prompts.ids[k]]
+                types = [batch.schema.field("item_id").type, pa.binary(), pa.string(), *[pa.int64()] * 6, *[pa.bool_()] * 2]
+                columns = zip(*rows, strict=True) if rows else [[]] * 11
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["item_id", "sequence", "right_id", *_PAIR_FACTS])
+
+    return run
+
+
+def near_prompts(items: DataFrame, prompts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(left_id, right_id, similarity) of classes of items and of prompts, both (item_id, text), at least ``threshold`` alike: the pairs of ``near_pairs(sequence_classes(items), sequence_classes(prompts))``.
+
+    Prompts are broadcast in blocks. Each item is compared where it is read: with
+    those that it holds whole, and unless it is too long for any other likeness, by
+    counts of all tokens shared. Only items near a prompt are shuffled, by
+    digests of their sequences; as equal sequences are near the same prompts, the
+    least id among them is that of the class.
+    """
+    spark = items.sparkSession
+    each = items.select("item_id", F.array_join(T.overlap_tokens(F.col("text")), " ").alias("joined"))
+    item = items.schema["item_id"].dataType.simpleString()
+    schema = f"item_id {item}, sequence binary, right_id string, na long, nb long, da long, db long, shared_set long, shared_bag long, inside boolean, equal boolean"
+    found = None
+    blocks = _blocks(sequence_classes(prompts).select(F.col("rep").cast("string").alias("prompt_id"), F.col("joined").alias("text")))
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        each = scratch.kept(each, "token-sequences")
+    for block in chain([first], [second] if second is not None else [], blocks):
+        part = each.mapInArrow(_worded(spark.sparkContext.broadcast(block), uuid.uuid4().hex, threshold - 5e-7), schema)
+        found = part if found is None else found.unionByName(part)
+    near = found.withColumn("similarity", scores(*map(F.col, _PAIR_FACTS))).where(F.col("similarity") >= threshold)
+    return near.groupBy("sequence", "right_id").agg(F.min("item_id").alias("left_id"), F.first("similarity").alias("similarity")).select("left_id", "right_id", "similarity")
